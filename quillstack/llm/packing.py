@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -20,41 +21,78 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstack.llm.chunks import KEPT, LONGEST
 from quillstack.llm.common import map_texts, materialise
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 WINDOW = 2048
 
-# White space of the tokeniser's pattern that also splits words in ASCII: words never share a token across it.
+# Words are what lies between white space of ASCII; they never share a token. Pieces are the tokeniser's own.
 _words = regex.compile(r"[^\x20\x09-\x0D]+")
-_controls = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_controls = regex.compile(r"[\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words, and pieces of words, that a worker keeps before it forgets them all.
+KEPT = 500_000
+#: Longer ones are never kept.
+LONGEST = 200
+
+
+def _simple(word: str) -> bool:
+    """Whether the tokeniser's normaliser only lower-cases the word, letter by letter as Python does."""
+    return word.isascii() or word.isprintable() and is_normalized("NFC", word) and "\u0130" not in word and "\u03a3" not in word
 
 
 class Words:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes, from the ids of their words."""
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes, from the ids of their words.
+
+    The library encodes each new word; words that only differ in case or in punctuation share their pieces,
+    which it encodes side by side in one text.
+    """
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        cut, whole = [], []
+        for w in words:
+            if "<|" in w or not _simple(w):
+                whole.append(w)
+            else:
+                cut.append((w, _pieces.findall(w.lower())))
+        new = list({p for _, pieces in cut for p in pieces} - self.pieces.keys())
+        for at in range(0, len(new), 1000):
+            part = new[at:at + 1000]
+            found = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids, place = np.array(found.ids, "<u4"), np.array(found.word_ids)
+            stops = np.searchsorted(place, np.arange(len(part)), side="right").tolist()
+            for piece, start, stop in zip(part, [0, *stops[:-1]], stops, strict=True):
+                self.pieces[piece] = ids[start:stop].tobytes()
+        for w, pieces in cut:
+            self.memo[w] = b"".join(map(self.pieces.__getitem__, pieces))
+        for w, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.memo[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _forget(self, words: list[str]) -> None:
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        if len(self.memo) > KEPT:
+            self.memo.clear()
+        for memo in (self.memo, self.pieces):
+            for w in words:
+                if len(w) > LONGEST:
+                    memo.pop(w, None)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 512):
+        for at in range(0, len(texts), 1024):
             # str.split() also splits at white space beyond ASCII, so it serves only texts without any
-            cut = [_words.findall(t) if _controls.search(t) else t.split() for t in texts[at:at + 512]]
+            cut = [_words.findall(t) if _controls.search(t) else t.split() for t in texts[at:at + 1024]]
             new = list(set().union(*cut) - self.memo.keys())
-            for i in range(0, len(new), 4096):
-                part = new[i:i + 4096]
-                for word, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.memo[word] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
             for words in cut:
                 yield b"".join(map(self.memo.__getitem__, words))
-            if len(self.memo) > KEPT:
-                self.memo.clear()
-            for word in new:
-                if len(word) > LONGEST:
-                    self.memo.pop(word, None)
+            self._forget(new)
 
 
 _loaded: dict[str, Words] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, packing, pii, simhash, tokens, urls, warc
+from quillstack.llm import bpe, packing, pii, quality, simhash, tokens, urls, warc
 from quillstack.llm.common import scratch_path
 
 
@@ -27,6 +27,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("__reject").alias("reject_probability"), (F.col("__reject") <= quality.THRESHOLD).alias("keep"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
 
@@ -46,8 +51,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_counts, op2_warc_round_trip, op3_personal_data, op5_bpe_round_trip, op6_simhash_near_duplicates,
-        op9_packing, op10_url_filter)
+        op1_token_counts, op2_warc_round_trip, op3_personal_data, op4_quality_classifier,
+        op5_bpe_round_trip, op6_simhash_near_duplicates, op9_packing, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
