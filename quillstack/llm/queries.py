@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, packing, pii, quality, simhash, tokens, urls, warc
+from quillstack.llm import bpe, packing, pii, quality, simhash, tokens, topk, urls, vectors, warc
 from quillstack.llm.common import scratch_path
 
 
@@ -41,6 +41,15 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -57,5 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_round_trip": warc.oracle(),
+    "op7_embedding_near_duplicates": vectors.oracle(),
+    "op8_top_k": topk.oracle(),
     "op10_url_filter": urls.oracle(),
 }
