@@ -61,7 +61,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_warc_round_trip, op3_personal_data, op4_quality_classifier,
-        op5_bpe_round_trip, op6_simhash_near_duplicates, op9_packing, op10_url_filter)
+        op5_bpe_round_trip, op6_simhash_near_duplicates,
+        op7_embedding_near_duplicates, op8_top_k, op9_packing, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
