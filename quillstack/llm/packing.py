@@ -31,9 +31,12 @@ WINDOW = 2048
 _words = regex.compile(r"[^\x20\x09-\x0D]+")
 _controls = regex.compile(r"[\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Kinds of the characters of Latin-1: a letter or digit, s white space of ASCII, o white space beyond, p full stop or
+# comma, x other signs.
+_kinds = bytes(ord("s" if chr(i) in " \t\n\r\x0b\x0c" else "o" if chr(i).isspace() else "p" if chr(i) in ".," else "a" if regex.match(r"[\p{L}\p{N}]", chr(i)) else "x") for i in range(256))
 #: Words, and pieces of words, that a worker keeps before it forgets them all.
-KEPT = 500_000
-#: Longer ones are never kept.
+KEPT = 700_000
+#: All are forgotten after a text with a longer one, so memory is bounded.
 LONGEST = 200
 
 
@@ -42,6 +45,20 @@ def _simple(word: str) -> bool:
     return word.isascii() or word.isprintable() and is_normalized("NFC", word) and "\u0130" not in word and "\u03a3" not in word
 
 
+def words_of(text: str) -> list[str]:
+    """Strings without white space whose ids, one after another, are those of the text."""
+    try:
+        kinds = text.encode("latin-1").translate(_kinds)
+    except UnicodeEncodeError:
+        pass
+    else:  # is in normal form, and lower case goes letter by letter
+        # full stops and commas next to other signs would be one piece with them
+        if not (b"o" in kinds or b"pp" in kinds or b"px" in kinds or b"xp" in kinds or "<|" in text):
+            return text.lower().replace(".", " . ").replace(",", " , ").split()
+    # str.split() also splits at white space beyond ASCII, so it serves only texts without any
+    return _words.findall(text) if _controls.search(text) else text.split()
+
+
 class Words:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, from the ids of their words.
 
@@ -51,48 +68,44 @@ class Words:
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # of words and of pieces of words, which are words themselves
 
-    def _learn(self, words: list[str]) -> None:
-        cut, whole = [], []
+    def _learn(self, words: set[str]) -> None:
+        cut, whole, new = [], [], set()
         for w in words:
-            if "<|" in w or not _simple(w):
+            if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100"):
+                new.add(w)  # one piece
+            elif "<|" in w or not _simple(w):
                 whole.append(w)
             else:
-                cut.append((w, _pieces.findall(w.lower())))
-        new = list({p for _, pieces in cut for p in pieces} - self.pieces.keys())
+                pieces = _pieces.findall(w.lower())
+                cut.append((w, pieces))
+                new.update(pieces)
+        new = list(new.difference(self.memo))
         for at in range(0, len(new), 1000):
             part = new[at:at + 1000]
             found = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids, place = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            stops = np.searchsorted(place, np.arange(len(part)), side="right").tolist()
-            for piece, start, stop in zip(part, [0, *stops[:-1]], stops, strict=True):
-                self.pieces[piece] = ids[start:stop].tobytes()
+            raw = np.array(found.ids, "<u4").tobytes()
+            stops = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right")).tolist()
+            start = 0
+            for piece, stop in zip(part, stops, strict=True):
+                self.memo[piece] = raw[start:stop]
+                start = stop
         for w, pieces in cut:
-            self.memo[w] = b"".join(map(self.pieces.__getitem__, pieces))
+            self.memo[w] = b"".join(map(self.memo.__getitem__, pieces))
         for w, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _forget(self, words: list[str]) -> None:
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
-        if len(self.memo) > KEPT:
-            self.memo.clear()
-        for memo in (self.memo, self.pieces):
-            for w in words:
-                if len(w) > LONGEST:
-                    memo.pop(w, None)
-
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 1024):
-            # str.split() also splits at white space beyond ASCII, so it serves only texts without any
-            cut = [_words.findall(t) if _controls.search(t) else t.split() for t in texts[at:at + 1024]]
-            new = list(set().union(*cut) - self.memo.keys())
+        for at in range(0, len(texts), 64):
+            cut = [words_of(t) for t in texts[at:at + 64]]
+            found = [list(map(self.memo.get, words)) for words in cut]
+            new = {w for words, ids in zip(cut, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
             self._learn(new)
-            for words in cut:
-                yield b"".join(map(self.memo.__getitem__, words))
-            self._forget(new)
+            for words, ids in zip(cut, found, strict=True):
+                yield b"".join(map(self.memo.__getitem__, words) if None in ids else ids)
+            if len(self.memo) > KEPT or any(len(w) > LONGEST for w in new):
+                self.memo.clear()
 
 
 _loaded: dict[str, Words] = {}
