@@ -9,6 +9,7 @@ ordered by segment number, checked against the total length, and the chunked fra
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import uuid
 import zlib
@@ -172,7 +173,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data in b.column(0):
             held, size = [], 0
-            for row in _parsed(gzip.decompress(data.as_py())):
+            # reads member by member; gzip.decompress would copy the rest of the archive for each
+            whole = gzip.GzipFile(fileobj=io.BytesIO(data.as_py())).read()
+            for row in _parsed(whole):
                 held.append(row)
                 size += len(row[8] or b"")
                 if size > 4 << 20:
