@@ -16,6 +16,11 @@ PAYLOAD, CHECK = 8, 3
 SPAN = 26 ** PAYLOAD
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once and named, so that nested uses don't multiply the expression."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _letter(n: Column) -> Column:
     return F.substring(F.lit(ALPHABET), (n % 26 + 1).cast("int"), F.lit(1))
 
@@ -27,6 +32,10 @@ def value_at(code: Column, i: int) -> Column:
 
 def checksum(payload: Column) -> Column:
     """Three letters: sums of the letters' values, plain and with two weights by place."""
+    return let(payload, _checksum)
+
+
+def _checksum(payload: Column) -> Column:
     v = [F.when(F.length(payload) > i, value_at(payload, i)).otherwise(0) for i in range(PAYLOAD)]
     plain = sum(v[1:], v[0])
     second = sum((x * (i + 3) for i, x in enumerate(v[1:], 1)), v[0] * 3)
@@ -36,8 +45,8 @@ def checksum(payload: Column) -> Column:
 
 def payload_of(number: Column) -> Column:
     """Eight letters for a 40-bit number; one that needs nine loses its last, as ids have always been written."""
-    n = F.when(number >= SPAN, F.floor(number / 26)).otherwise(number).cast("long")
-    return F.concat(*(_letter(F.floor(n / 26 ** k).cast("long")) for k in range(PAYLOAD - 1, -1, -1)))
+    short = F.when(number >= SPAN, F.floor(number / 26)).otherwise(number).cast("long")
+    return let(short, lambda n: F.concat(*(_letter(F.floor(n / 26 ** k).cast("long")) for k in range(PAYLOAD - 1, -1, -1))))
 
 
 def dashed(code: Column) -> Column:
@@ -52,13 +61,12 @@ def encode(uuid: Column) -> Column:
     """XXXX-XXXX-XXX from the first ten hexadecimal digits of a uuid."""
     prefix = F.substring(F.lower(F.replace(uuid, F.lit("-"), F.lit(""))), 1, 10)
     payload = payload_of(F.conv(prefix, 16, 10).cast("long"))
-    return dashed(F.concat(payload, checksum(payload)))
+    return let(payload, lambda p: dashed(F.concat(p, _checksum(p))))
 
 
 def is_valid(code: Column) -> Column:
     """Whether 11 letters of the alphabet end in the checksum of the first eight."""
-    c = plain(code)
-    return F.coalesce(c.rlike(f"^[{ALPHABET}]{{11}}$") & (F.substring(c, 9, 3) == checksum(F.substring(c, 1, 8))), F.lit(False))
+    return F.coalesce(let(plain(code), lambda c: c.rlike(f"^[{ALPHABET}]{{11}}$") & (F.substring(c, 9, 3) == checksum(F.substring(c, 1, 8)))), F.lit(False))
 
 
 def is_code(block_id: Column) -> Column:
@@ -68,14 +76,13 @@ def is_code(block_id: Column) -> Column:
 
 def decode(code: Column) -> Column:
     """Ten hexadecimal digits of a valid code, else null."""
-    c = plain(code)
-    number = sum((value_at(c, i).cast("long") * 26 ** (PAYLOAD - 1 - i) for i in range(1, PAYLOAD)), value_at(c, 0).cast("long") * 26 ** (PAYLOAD - 1))
+    number = let(plain(code), lambda c: sum((value_at(c, i).cast("long") * 26 ** (PAYLOAD - 1 - i) for i in range(1, PAYLOAD)), value_at(c, 0).cast("long") * 26 ** (PAYLOAD - 1)))
     return F.when(is_valid(code), F.lpad(F.lower(F.hex(number)), 10, "0"))
 
 
 def migrated(block_id: Column) -> Column:
     """The id as a code: as it is if it is one, else encoded."""
-    return F.when(is_code(block_id), block_id).otherwise(encode(block_id))
+    return let(block_id, lambda b: F.when(is_code(b), b).otherwise(encode(b)))
 
 
 def similarity(a: Column, b: Column) -> Column:

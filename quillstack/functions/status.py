@@ -83,12 +83,12 @@ def plain_html(html: str | None) -> str:
 
 @F.pandas_udf(T.StringType())
 def _dump(texts):
-    return texts.map(dump_kind)
+    return texts.map(dump_kind, na_action="ignore")
 
 
 @F.pandas_udf(T.IntegerType())
 def _plain_length(texts):
-    return texts.map(lambda t: len(plain_html(t).strip()))
+    return texts.map(lambda t: len(plain_html(t).strip()), na_action="ignore")
 
 
 def suspicion(text: Column, html: Column | None = None, exact: bool = True) -> Column:

@@ -54,7 +54,7 @@ def export_keys(prefix: Column, name: Column) -> Column:
 
 def size_text(size: Column) -> Column:
     """Bytes for people: B, KB, MB or GB with one decimal."""
-    at = lambda k, unit: F.concat(F.format_string("%.1f", size / float(1024 ** k)), F.lit(unit))
+    at = lambda k, unit: F.concat(F.format_string("%.1f", F.bround(size / float(1024 ** k), 1)), F.lit(unit))
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 ** 2, at(1, " KB")).when(size < 1024 ** 3, at(2, " MB")).otherwise(at(3, " GB"))
 
 

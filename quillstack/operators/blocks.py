@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import status as st
 from quillstack.functions import texts as tx
+from quillstack.functions.ids import similarity
 
 
 def type_stats(blocks: DataFrame) -> DataFrame:
@@ -174,9 +175,8 @@ def block_similarity(blocks: DataFrame, expected: DataFrame, cutoff: float = 70.
 
     Compared within a document only, exact ones by an equi-join first.
     """
-    from quillstack.functions.ids import similarity
-
-    exact = blocks.join(expected.withColumnRenamed("id", "seen"), ["doc_id", "seen"], "left_semi").select("doc_id", "seen", F.col("seen").alias("id"), F.lit(100.0).alias("score"))
+    blocks, expected = blocks.distinct(), expected.groupBy("doc_id", "id").agg(F.min("pos").alias("pos"))
+    exact = blocks.join(expected.select("doc_id", F.col("id").alias("seen")), ["doc_id", "seen"], "left_semi").select("doc_id", "seen", F.col("seen").alias("id"), F.lit(100.0).alias("score"))
     rest = blocks.join(exact.select("doc_id", "seen"), ["doc_id", "seen"], "left_anti")
     scored = rest.join(expected, "doc_id").withColumn("score", similarity(F.col("seen"), F.col("id"))).where(F.col("score") >= cutoff)
     best = scored.groupBy("doc_id", "seen").agg(F.max_by("id", F.struct("score", -F.col("pos"))).alias("id"), F.max("score").alias("score"))

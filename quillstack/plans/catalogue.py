@@ -16,9 +16,10 @@ from quillstack.operators import files as fi
 from quillstack.operators import jobs as jo
 from quillstack.operators import tree as tr
 from quillstack.sources import binding as b
-from quillstack.sources.binding import BLOCKS, EDGES, EVENTS, FILES, JOBS, LISTING, TREE
+from quillstack.sources.binding import BLOCKS, EDGES, EVENTS, FILES, JOBS, LINES, LISTING, TREE
 from quillstack.streaming import events as ev
 
+LISTING_ONLY, BLOCKS_ONLY = LISTING.removeprefix(LINES + ", "), BLOCKS.removeprefix(LINES + ", ")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -200,7 +201,7 @@ def duplicate_sibling_names(spark, sf_dir):
     return tr.repeated_names(b.edges(spark, sf_dir).withColumn("name", F.substring("name", 1, 9)))
 
 
-@query(f"""WITH {FILES}, {LISTING} SELECT coalesce(l.key, f.r2_key) AS key, CASE WHEN l.key IS NULL THEN 'db_only' WHEN f.r2_key IS NULL THEN 'storage_only' WHEN l.size <> f.file_size THEN 'size_mismatch' ELSE 'both' END AS state
+@query(f"""WITH {FILES}, {LISTING_ONLY} SELECT coalesce(l.key, f.r2_key) AS key, CASE WHEN l.key IS NULL THEN 'db_only' WHEN f.r2_key IS NULL THEN 'storage_only' WHEN l.size <> f.file_size THEN 'size_mismatch' ELSE 'both' END AS state
 FROM listing l FULL OUTER JOIN files f ON l.key = f.r2_key""")
 def file_reconcile(spark, sf_dir):
     return fi.reconcile(b.listing(spark, sf_dir), b.files(spark, sf_dir))
@@ -217,7 +218,7 @@ def snapshot_diff(spark, sf_dir):
     return fi.changes(before, after, "id", ["name", "sort_order"])
 
 
-@query(f"""WITH {EDGES}, {FILES}, {BLOCKS}, a AS (SELECT DISTINCT doc_id FROM blocks WHERE page > 0), h AS (SELECT node_id, bool_or(file_type = 'ocr_html') AS html FROM files GROUP BY 1)
+@query(f"""WITH {EDGES}, {FILES}, {BLOCKS_ONLY}, a AS (SELECT DISTINCT doc_id FROM blocks WHERE page > 0), h AS (SELECT node_id, bool_or(file_type = 'ocr_html') AS html FROM files GROUP BY 1)
 SELECT e.id, CASE WHEN e.sort_order = 6 THEN 'unknown' WHEN a.doc_id IS NULL THEN 'missing_blocks' WHEN coalesce(h.html, false) THEN 'complete' ELSE 'missing_files' END AS status
 FROM edges e LEFT JOIN a ON a.doc_id = e.id LEFT JOIN h ON h.node_id = e.id WHERE e.node_type = 'document'""")
 def document_status(spark, sf_dir):
@@ -561,6 +562,6 @@ def token_bucket(spark, sf_dir):
     return ev.rate_limited(b.events(spark, sf_dir))
 
 
-@query(f"""WITH {EVENTS}, o AS (SELECT *, lag(ts) OVER (PARTITION BY job ORDER BY ts, seq) AS before FROM evs) SELECT job, seq, epoch(ts - before)::bigint AS idle, epoch(ts - before) > 43200 AS suspect FROM o WHERE before IS NOT NULL""")
+@query(f"""WITH {EVENTS}, o AS (SELECT *, lag(ts) OVER (PARTITION BY job ORDER BY ts, seq) AS before FROM evs) SELECT job, seq, floor(epoch(ts - before))::bigint AS idle, floor(epoch(ts - before)) > 43200 AS suspect FROM o WHERE before IS NOT NULL""")
 def zombie_scan(spark, sf_dir):
     return ev.idle(b.events(spark, sf_dir), 43_200)

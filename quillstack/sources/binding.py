@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 1240, 1754
@@ -42,32 +42,41 @@ TREE = EDGES + """,
     UNION ALL SELECT e.*, t.path || '.' || e.id, t.depth + 1 FROM edges e JOIN tree t ON e.parent_id = t.id)"""
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with a number of their own, as given ones repeat."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(order))
+
+
+LINES = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::int AS line FROM lineitem)"
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered files: node_id, r2_key, file_type, file_size, file_name."""
     kinds = F.when(F.col("l_returnflag") == "N", "ocr_html").when(F.col("l_returnflag") == "R", " Result_MD ").otherwise("crop")
-    return table(spark, sf_dir, "lineitem").select(
+    return lines(spark, sf_dir).select(
         F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("node_id"),
-        F.concat(F.lit("tree_docs/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".pdf")).alias("r2_key"),
+        F.concat(F.lit("tree_docs/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("line").cast("string"), F.lit(".pdf")).alias("r2_key"),
         F.lower(F.trim(kinds)).alias("file_type"), F.col("l_extendedprice").cast("long").alias("file_size"),
-        F.concat(F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("file_name"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("created_at"))
+        F.concat(F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("file_name"), "line", F.col("l_shipdate").alias("created_at"))
 
 
-FILES = """files AS (SELECT 'O' || l_orderkey AS node_id, 'tree_docs/' || l_orderkey || '/' || l_partkey || '_' || l_linenumber || '.pdf' AS r2_key,
+FILES = LINES + """, files AS (SELECT 'O' || l_orderkey AS node_id, 'tree_docs/' || l_orderkey || '/' || l_partkey || '_' || line || '.pdf' AS r2_key,
   CASE l_returnflag WHEN 'N' THEN 'ocr_html' WHEN 'R' THEN 'result_md' ELSE 'crop' END AS file_type, trunc(l_extendedprice)::bigint AS file_size,
-  l_partkey || '.pdf' AS file_name, l_linenumber AS line, l_shipdate AS created_at FROM lineitem)"""
+  l_partkey || '.pdf' AS file_name, line, l_shipdate AS created_at FROM li)"""
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the store holds: keys of shipped lines, some with another size, and keys no one registered."""
-    t = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F")
-    key = F.concat(F.lit("tree_docs/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
+    t = lines(spark, sf_dir).where(F.col("l_linestatus") == "F")
+    key = F.concat(F.lit("tree_docs/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("line").cast("string"))
     stray = F.col("l_discount") > 0.09
     size = F.col("l_extendedprice").cast("long") + F.when(F.col("l_tax") > 0.07, 1).otherwise(0)
     return t.select(F.concat(key, F.when(stray, ".png").otherwise(".pdf")).alias("key"), size.alias("size"))
 
 
-LISTING = """listing AS (SELECT 'tree_docs/' || l_orderkey || '/' || l_partkey || '_' || l_linenumber || CASE WHEN l_discount > 0.09 THEN '.png' ELSE '.pdf' END AS key,
-  trunc(l_extendedprice)::bigint + CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END AS size FROM lineitem WHERE l_linestatus = 'F')"""
+LISTING = LINES + """, listing AS (SELECT 'tree_docs/' || l_orderkey || '/' || l_partkey || '_' || line || CASE WHEN l_discount > 0.09 THEN '.png' ELSE '.pdf' END AS key,
+  trunc(l_extendedprice)::bigint + CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END AS size FROM li WHERE l_linestatus = 'F')"""
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +104,12 @@ EVENTS = "evs AS (SELECT user_id AS job, ts, event_id AS seq, event_type AS stat
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of annotated pages: doc_id, page, pos, id, block_type, coords_px, linked_block_id, code, ocr_text, is_correction."""
-    line, order = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    line, order = F.col("line"), F.col("l_orderkey").cast("string")
     kind = F.when(F.col("l_returnflag") == "N", "text").when(F.col("l_returnflag") == "R", "image").otherwise("stamp")
     x1, y1 = (F.col("l_quantity") * 24).cast("int"), (F.col("l_discount") * 15000 + F.col("l_tax") * 4000).cast("int")
     text = F.when(line == 3, "[Ошибка: timeout]").when(line == 4, "[НеПовторяемая ошибка: context]").when(line == 5, "").when(line == 6, F.lit(None).cast("string")).otherwise(
         F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" from "), F.col("l_suppkey").cast("string")))
-    return table(spark, sf_dir, "lineitem").select(
+    return lines(spark, sf_dir).select(
         F.concat(F.lit("O"), order).alias("doc_id"), F.floor((line - 1) / 2).cast("int").alias("page"), line.alias("pos"),
         F.concat(F.lit("O"), order, F.lit("-"), line.cast("string")).alias("id"), kind.alias("block_type"),
         F.array(x1, y1, x1 + (F.col("l_tax") * 2000).cast("int"), y1 + (F.col("l_quantity") * 3).cast("int")).alias("coords_px"),
@@ -108,10 +117,10 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("DOC-"), (F.col("l_suppkey") % 3).cast("string")).alias("code"), text.alias("ocr_text"), (F.col("l_linestatus") == "F").alias("is_correction"))
 
 
-BLOCKS = """blocks AS (SELECT 'O' || l_orderkey AS doc_id, ((l_linenumber - 1) // 2)::int AS page, l_linenumber AS pos, 'O' || l_orderkey || '-' || l_linenumber AS id,
+BLOCKS = LINES + """, blocks AS (SELECT 'O' || l_orderkey AS doc_id, ((line - 1) // 2)::int AS page, line AS pos, 'O' || l_orderkey || '-' || line AS id,
   CASE l_returnflag WHEN 'N' THEN 'text' WHEN 'R' THEN 'image' ELSE 'stamp' END AS block_type,
   [trunc(l_quantity * 24)::int, trunc(l_discount * 15000 + l_tax * 4000)::int, trunc(l_quantity * 24)::int + trunc(l_tax * 2000)::int, trunc(l_discount * 15000 + l_tax * 4000)::int + trunc(l_quantity * 3)::int] AS px,
-  CASE WHEN l_linenumber > 1 AND l_returnflag = 'N' THEN 'O' || l_orderkey || '-' || (l_linenumber - 1) END AS linked_block_id,
+  CASE WHEN line > 1 AND l_returnflag = 'N' THEN 'O' || l_orderkey || '-' || (line - 1) END AS linked_block_id,
   'DOC-' || (l_suppkey % 3) AS code,
-  CASE l_linenumber WHEN 3 THEN '[Ошибка: timeout]' WHEN 4 THEN '[НеПовторяемая ошибка: context]' WHEN 5 THEN '' WHEN 6 THEN NULL ELSE 'part ' || l_partkey || ' from ' || l_suppkey END AS ocr_text,
-  l_linestatus = 'F' AS is_correction FROM lineitem)"""
+  CASE line WHEN 3 THEN '[Ошибка: timeout]' WHEN 4 THEN '[НеПовторяемая ошибка: context]' WHEN 5 THEN '' WHEN 6 THEN NULL ELSE 'part ' || l_partkey || ' from ' || l_suppkey END AS ocr_text,
+  l_linestatus = 'F' AS is_correction FROM li)"""

@@ -95,5 +95,5 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 def idle(events: DataFrame, limit: int) -> DataFrame:
     """Seconds since a job's event before, and whether they pass the limit."""
     before = F.lag("ts").over(Window.partitionBy("job").orderBy("ts", "seq"))
-    gone = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("before").cast("timestamp"))
+    gone = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))) / 1_000_000)
     return events.withColumn("before", before).where("before is not null").select("job", "seq", gone.alias("idle"), (gone > limit).alias("suspect"))
