@@ -32,7 +32,7 @@ TOXIC = ("abuse_any", "abuse_some", "abuse_share", "label_toxic")
 TRUST = 1 - 1e-12
 BUCKETS = 1 << 18
 #: Documents in the training sample, labelled ones first, and most features of one of them.
-SAMPLE, FEATURES = 6_000, 8_192
+SAMPLE, FEATURES = 4_000, 8_192
 #: L1 penalty of the scorer, and the probability of rejection above which a document goes; chosen on held-out labels.
 PENALTY, THRESHOLD = 4e-3, 0.25
 STRIP = ".,;:!?\"'()[]<>|*#$%&"
@@ -135,14 +135,19 @@ def fit(rows: list[np.ndarray], target: np.ndarray, penalty: float = PENALTY, ro
     if not len(rows):
         return weights, -2.0
     sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int64)
-    used, index = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows])
+    seen = np.bincount(flat, minlength=BUCKETS)
+    used = np.flatnonzero(seen)
+    seen = seen[used]
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    index = place[flat]
+    del flat
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     n = len(rows)
     # features are scaled by how often they occur, so that rare decisive words learn as fast as votes
-    seen = np.bincount(index, minlength=len(used))
     scale = 1 / np.sqrt(seen / n + 1e-3)
-    value = scale[index]
+    value = scale.astype(np.float32)[index]
     w, look, b, t = np.zeros(len(used)), np.zeros(len(used)), float(np.log((target.mean() + 1e-3) / (1.001 - target.mean()))), 1.0
     probe = np.random.default_rng(0).standard_normal(len(used))
     size = 1.0
@@ -220,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     found = found.sort_values("doc_id")
     keep = 1 - junk_model.posterior(found.junk.tolist()) if len(found) else np.zeros(0)
     keep = keep * (1 - toxic_model.posterior(found.toxic.tolist())) if len(found) else keep
-    weights, intercept = fit([np.asarray(f, np.int64) for f in found.f], 1 - keep)
+    weights, intercept = fit(found.f.tolist(), 1 - keep)
     return junk_model, toxic_model, weights, intercept
 
 
