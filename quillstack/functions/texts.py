@@ -62,7 +62,7 @@ def html_to_markdown(html: Column) -> Column:
     """Headings (two levels lower), emphasis, lists, links and paragraphs of plain html; other tags are dropped."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", "")
     for level, mark in ((1, "####"), (2, "#####"), (3, "######"), (4, "######")):
-        out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", rf"\n{mark} $1\n\n")
+        out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", f"\n{mark} $1\n\n")
     for pattern, new in ((r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)>", "**$1**"), (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)>", "*$1*"),
                          (r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"), (r"(?is)<li\b[^>]*>(.*?)</li>", "- $1\n"),
                          (r"(?is)<br\s*/?>", "\n"), (r"(?is)</p>", "\n\n"), (r"(?s)<[^>]+>", "")):

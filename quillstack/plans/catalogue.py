@@ -60,7 +60,7 @@ judged AS (SELECT doc_id, source, lang, ocr_text, CASE WHEN s = '' OR s IS NULL
        "count(*) FILTER (status = 'not_recognized') AS empty, CASE WHEN count(*) FILTER (status = 'success') = 0 THEN 'error' WHEN count(*) FILTER (status = 'success') < 0.9 * count(*) THEN 'partial' ELSE 'done' END AS status FROM judged GROUP BY source")
 def ocr_coverage_report(spark, sf_dir):
     """How much of each source was recognised, and whether its job is done, partial or an error."""
-    found = marked_documents(spark, sf_dir).select("source", st.status(F.col("ocr_text")).alias("s"))
+    found = marked_documents(spark, sf_dir).select("source", st.status(F.col("ocr_text"), exact=False).alias("s"))
     n = lambda s: F.count_if(F.col("s") == s)
     out = found.groupBy("source").agg(F.count("*").alias("total"), n("success").alias("recognized"), n("error").alias("failed"), n("not_recognized").alias("empty"))
     return out.withColumn("status", st.coverage(F.col("recognized"), F.col("total")))
@@ -68,12 +68,19 @@ def ocr_coverage_report(spark, sf_dir):
 
 @query(f"WITH {MARKED} SELECT doc_id, status, status <> 'success' AS needs_ocr FROM judged")
 def text_status(spark, sf_dir):
-    return marked_documents(spark, sf_dir).select("doc_id", st.status(F.col("ocr_text")).alias("status"), st.needs_recognition(F.col("ocr_text"), F.lit(False)).alias("needs_ocr"))
+    """Statuses with tags cut by a pattern, which SQL can express too."""
+    return marked_documents(spark, sf_dir).select("doc_id", st.status(F.col("ocr_text"), False).alias("status"), st.needs_recognition(F.col("ocr_text"), F.lit(False), False).alias("needs_ocr"))
+
+
+@query()
+def text_status_parsed(spark, sf_dir):
+    """Statuses with an html parser's text and JSON dumps found; tests hold the functions against cases."""
+    return marked_documents(spark, sf_dir).select("doc_id", st.status(F.col("ocr_text")).alias("status"), st.suspicion(F.col("ocr_text")).alias("reason"))
 
 
 @query(f"WITH {MARKED} SELECT l.quality, l.toxic, j.status, count(*) AS n FROM judged j JOIN labels l ON j.doc_id = l.doc_id GROUP BY ALL")
 def quality_vs_labels(spark, sf_dir):
-    found = marked_documents(spark, sf_dir).select("doc_id", st.status(F.col("ocr_text")).alias("status"))
+    found = marked_documents(spark, sf_dir).select("doc_id", st.status(F.col("ocr_text"), False).alias("status"))
     return found.join(b.table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic", "status").agg(F.count("*").alias("n"))
 
 

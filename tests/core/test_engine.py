@@ -90,8 +90,8 @@ def test_codes(spark):
 def test_statuses(spark):
     cases = {None: "not_recognized", "": "not_recognized", " \n": "not_recognized", "[Ошибка: x]": "error", "[НеПовторяемая ошибка: x]": "error", "text": "success",
              '[{"bbox": [1], "label": "a"}]': "error", '[{"a": {"rows": 1}}]': "error", "[1, 2]": "success", "Let me see. I need to look.": "error", "Давай посмотрим. Мне нужно": "error",
-             "<p>Let me see. I need to</p>": "success", "<div>" * 20: "error", '<table data-bbox="1 150 2 3"><tr><td>long enough a cell</td></tr></table>': "error",
-             '<h2>t</h2><table data-bbox="1 150 2 3"><tr><td>long enough a cell</td></tr></table>': "success"}
+             "<p>Let me see. I need to</p>": "success", "<div>" * 20: "error", '<table data-bbox="1 150 2 3"><tr><td>a cell that is long enough</td></tr></table>': "error",
+             '<h2>t</h2><table data-bbox="1 150 2 3"><tr><td>a cell that is long enough</td></tr></table>': "success"}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert [r[0] for r in df.select(status.status(F.col("t"))).collect()] == list(cases.values())
 
