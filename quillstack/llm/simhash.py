@@ -282,7 +282,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     found = near_duplicates(docs, id_col, text_col, words, limit)
     ids = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    one, stays = docs.alias("one"), ids.select(F.col("doc_id").alias("stays"))
+    # always a merge join, so that what is shuffled grows with the input alone; ids repeat neither here nor much there
+    one, stays = docs.alias("one"), ids.select(F.col("doc_id").alias("stays")).hint("merge")
     kept = one.join(stays, F.col(f"one.{id_col}") == F.col("stays"), "left").where(F.col("stays").isNotNull() | F.col(f"one.{id_col}").isNull())
     kept = kept.select("one.*")
     if ids.where("n > 1").limit(1).count():
