@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillstack.llm.common import materialise
 
 #: Entries of a leaf page, children of a node, candidates of a block, queries of a block.
-PAGE, FAN, BLOCK, QUERIES = 64, 16, 8192, 1024
+PAGE, FAN, BLOCK, QUERIES = 512, 16, 8192, 1024
 SCALE = 64
 
 
@@ -45,8 +45,9 @@ class Node:
     pivot: np.ndarray
     radius: float
     to_parent: float
-    rows: np.ndarray | None = None  # of a leaf
-    distances: np.ndarray | None = None  # of its rows to the pivot
+    page: np.ndarray | None = None  # a leaf's vectors, side by side
+    rows: np.ndarray | None = None  # their places
+    distances: np.ndarray | None = None  # and distances to the pivot
     children: list[Node] = field(default_factory=list)
     pivots: np.ndarray | None = None  # of the children
     reach: np.ndarray | None = None  # their distances to this pivot, and to what lies below them
@@ -62,11 +63,13 @@ def build(x: np.ndarray, rows: np.ndarray, pivot: np.ndarray, parent: np.ndarray
     distances = _distance(x[rows], pivot)
     node = Node(pivot, float(distances.max(initial=0)), float(_distance(pivot, parent)))
     if len(rows) <= PAGE:
-        node.rows, node.distances = rows, distances
+        order = distances.argsort(kind="stable")
+        node.rows, node.distances = rows[order], distances[order]
+        node.page = np.ascontiguousarray(x[node.rows])
         return node
     some = rows[:: max(1, len(rows) // 512)]
     seeds, nearest = [int(np.argmax(_distance(x[some], pivot)))], np.full(len(some), np.inf)
-    while len(seeds) < FAN:
+    while len(seeds) < min(FAN, -(-2 * len(rows) // PAGE)):
         nearest = np.minimum(nearest, _distance(x[some], x[some[seeds[-1]]]))
         if nearest.max() == 0:
             break
@@ -83,7 +86,7 @@ def build(x: np.ndarray, rows: np.ndarray, pivot: np.ndarray, parent: np.ndarray
     return node
 
 
-def search(root: Node, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
+def search(root: Node, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
     """The k best (score, -id) but the query's own, ties to the smaller id."""
     norm = float(np.sqrt(q @ q)) * (1 + 1e-9)
     slack = 1e-6 * (1 + norm)
@@ -97,12 +100,13 @@ def search(root: Node, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int,
         if -bound < worst:
             break
         if node.rows is not None:
-            rows = node.rows
-            if worst > -np.inf:
-                rows = rows[score + norm * node.distances + slack >= worst]
-            found = x[rows] @ q
+            # entries lie by distance, so those that the stored distances rule out come first
+            first = int(node.distances.searchsorted((worst - score - slack) / norm)) if norm and worst > -np.inf else 0
+            found = node.page[first:] @ q
             ok = np.flatnonzero(found >= worst)
-            for s, i in zip(found[ok].tolist(), ids[rows[ok]].tolist(), strict=True):
+            if len(ok) > k + 1:  # one more than k, as the query itself may be there
+                ok = ok[found[ok] >= np.partition(found[ok], -k - 1)[-k - 1]]
+            for s, i in zip(found[ok].tolist(), ids[node.rows[first:][ok]].tolist(), strict=True):
                 if i == own:
                     continue
                 if len(best) < k:
@@ -155,7 +159,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
             y, y_ids = x[~asks], ids[~asks]
             root = build(y, np.arange(len(y)), y[0], y[0])
             for q, own in zip(x[asks], ids[asks].tolist(), strict=True):
-                out += [(own, -i, int(s)) for s, i in search(root, y, y_ids, q, own, k)]
+                out += [(own, -i, int(s)) for s, i in search(root, y_ids, q, own, k)]
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
