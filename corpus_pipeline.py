@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import packing, pii, quality, simhash
+from quillstack.llm import packing, pii, quality, shingles
 from quillstack.llm.common import materialise
 
 
@@ -18,8 +18,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies (operator 6)."""
-    return simhash.keep_one(docs)
+    """One document, that with the smallest id, of each group linked by 0.8 or more of their five-word shingles."""
+    return shingles.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("simhash near-dedup", keep_one_of_copies),
+    ("near-dedup", keep_one_of_copies),
     ("personal data", mask_personal_data),
     ("packing", pack_sequences),
 ]

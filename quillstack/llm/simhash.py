@@ -28,19 +28,24 @@ PROBE = 2
 HOT = 2048
 
 
-def fingerprint(text: bytes, words: int, seed: int) -> int:
-    """SimHash of the word shingles, repeats included; no words: zero; too few words: the whole sequence."""
+def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; no words: none; too few words: the whole sequence."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], "<u8")
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(lengths + 1) - lengths - 1
     stops = (starts + lengths)[words - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops, strict=False)], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops, strict=False)], "<u8")
+
+
+def fingerprint(text: bytes, words: int, seed: int) -> int:
+    """SimHash of the word shingles, repeats included; no words: zero; too few words: the whole sequence."""
+    hashes = shingle_hashes(text, words, seed)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -276,11 +281,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 3) -> DataFrame:
-    """The documents with one row of each component, that with the smallest id; all columns as they were.
+    """The documents with one row of each component, that with the smallest id; all columns as they were."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, words, limit), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id names their component in ``found`` (doc_id, component_id).
 
     Of rows that repeat an id, one stays. Rows without an id can't be told apart and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, words, limit)
     ids = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     # always a merge join, so that what is shuffled grows with the input alone; ids repeat neither here nor much there
     one, stays = docs.alias("one"), ids.select(F.col("doc_id").alias("stays")).hint("merge")
