@@ -16,6 +16,7 @@ from math import fsum
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ TOXIC = ("abuse_any", "abuse_some", "abuse_share", "label_toxic")
 #: Accuracy of people's labels: enough to outweigh all heuristics.
 TRUST = 1 - 1e-12
 BUCKETS = 1 << 18
-#: Documents in the training sample, labelled ones first, and most features of one of them.
-SAMPLE, FEATURES = 4_000, 8_192
+#: Documents in the training sample, labelled ones first.
+SAMPLE = 6_000
+#: Bytes of features in a block of the training table, and tasks that read it in each round at most.
+BLOCK, TASKS = 2 << 20, 8
 #: L1 penalty of the scorer, and the probability of rejection above which a document goes; chosen on held-out labels.
 PENALTY, THRESHOLD = 4e-3, 0.25
 STRIP = ".,;:!?\"'()[]<>|*#$%&"
@@ -129,45 +132,96 @@ def features(text: str) -> list[int]:
     return [b for w in set(text.lower().split()) for b in word_features(w)] + vote_features(*votes(text))
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, penalty: float = PENALTY, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic scorer for soft targets, by proximal gradient steps with an L1 penalty."""
-    weights, intercept = np.zeros(BUCKETS), 0.0
-    if not len(rows):
+def blocks(found: DataFrame, junk_model: Labellers, toxic_model: Labellers) -> DataFrame:
+    """(f, sizes, target): features of many sampled documents end to end, their counts, and the probabilities of rejection."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keep = (1 - junk_model.posterior(b.column(0).to_pylist())) * (1 - toxic_model.posterior(b.column(1).to_pylist()))
+            data = b.column(2).to_pylist()
+            ends = np.cumsum([len(x) for x in data])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK)) + 1).tolist(), len(data)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                sizes = np.array([len(x) // 4 for x in data[i:j]], "<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (b"".join(data[i:j]), sizes.tobytes(), (1 - keep[i:j]).tobytes())], names=["f", "sizes", "target"])
+
+    return found.select("junk", "toxic", "f").coalesce(TASKS).mapInArrow(rows, "f binary, sizes binary, target binary")
+
+
+def sums(table: RDD, used: np.ndarray | None, x: np.ndarray, intercept: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(X' e, [documents, sum of e]) over all blocks, for e = 1 (ones), X x (linear) or sigmoid(X x + intercept) - target (error).
+
+    used: the buckets that x and the result are limited to. A task returns one vector.
+    """
+    at = np.flatnonzero(x)
+    shared = table.context.broadcast((used, at.astype(np.int32), x[at], intercept))
+
+    def task(rows: Iterator[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+        used, at, some, intercept = shared.value
+        dense = np.zeros(BUCKETS)
+        dense[at if used is None else used[at]] = some
+        total, counts = np.zeros(BUCKETS), np.zeros(2)
+        for f, sizes, target in rows:
+            f, target = np.frombuffer(f, "<i4"), np.frombuffer(target, "<f8")
+            owner = np.repeat(np.arange(len(target), dtype=np.int32), np.frombuffer(sizes, "<i4"))
+            if kind == "ones":
+                e, counted = np.ones(len(target)), target
+            else:
+                z = np.bincount(owner, dense[f], len(target))
+                e = counted = z if kind == "linear" else 1 / (1 + np.exp(-np.clip(z + intercept, -40, 40))) - target
+            total += np.bincount(f, e[owner], BUCKETS)
+            counts += len(target), counted.sum()
+        if counts[0]:
+            yield (total if used is None else total[used]).tobytes(), counts.tobytes()
+
+    out, counts = np.zeros(len(x)), np.zeros(2)
+    for v, c in table.mapPartitions(task).collect():  # one row a task
+        out += np.frombuffer(v)
+        counts += np.frombuffer(c)
+    shared.destroy()
+    return out, counts
+
+
+def fit(blocks: DataFrame, penalty: float = PENALTY, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic scorer for soft targets, by proximal gradient steps with an L1 penalty.
+
+    The documents stay in the table of blocks, which executors keep; the driver holds vectors of at most BUCKETS numbers.
+    """
+    table = blocks.rdd.map(lambda r: tuple(map(bytes, r))).persist(StorageLevel.MEMORY_AND_DISK)  # an RDD, as rounds need no plan
+    try:
+        return _steps(table, penalty, rounds)
+    finally:
+        table.unpersist()
+
+
+def _steps(table: RDD, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
+    weights = np.zeros(BUCKETS)
+    seen, (n, targets) = sums(table, None, weights, 0.0, "ones")
+    if not n:
         return weights, -2.0
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.asarray(r, np.int32) for r in rows])
-    seen = np.bincount(flat, minlength=BUCKETS)
     used = np.flatnonzero(seen)
-    seen = seen[used]
-    place = np.zeros(BUCKETS, np.int32)
-    place[used] = np.arange(len(used))
-    index = place[flat]
-    del flat
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    n = len(rows)
     # features are scaled by how often they occur, so that rare decisive words learn as fast as votes
-    scale = 1 / np.sqrt(seen / n + 1e-3)
-    value = scale.astype(np.float32)[index]
-    w, look, b, t = np.zeros(len(used)), np.zeros(len(used)), float(np.log((target.mean() + 1e-3) / (1.001 - target.mean()))), 1.0
+    scale = 1 / np.sqrt(seen[used] / n + 1e-3)
+    mean = targets / n
+    w, look, b, t = np.zeros(len(used)), np.zeros(len(used)), float(np.log((mean + 1e-3) / (1.001 - mean))), 1.0
     probe = np.random.default_rng(0).standard_normal(len(used))
     size = 1.0
     for _ in range(12):  # largest curvature by power iteration
-        probe = np.bincount(index, value * np.bincount(owner, value * probe[index], n)[owner], len(used)) / n
+        probe = scale * sums(table, used, scale * probe, 0.0, "linear")[0] / n
         size = float(np.linalg.norm(probe))
         probe /= max(size, 1e-12)
     step = 4 / max(size, 1.0)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * look[index], n) + b, -40, 40)))
-        error = (p - target) / n
-        gradient = np.bincount(index, value * error[owner], len(used))
-        new = look - step * gradient
+        gradient, (_, error) = sums(table, used, scale * look, b, "error")
+        new = look - step * scale * gradient / n
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
-        b -= min(step, 4.0) * error.sum()
+        b -= min(step, 4.0) * error / n
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         look = new + (before - 1) / t * (new - w)
         w = new
     weights[used] = w * scale
-    return weights, b
+    return weights, float(b)
 
 
 class Scorer:
@@ -216,16 +270,14 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
 
     def featured(batches) -> Iterator[pa.RecordBatch]:
         for kept, texts in batches:
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([sorted(features(t)) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "junk", "toxic", "f"])
+            found = [np.array(sorted(features(t)), "<i4").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], names=["doc_id", "junk", "toxic", "f"])
 
     # the sample has a fixed bound, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("doc_id", "junk", "toxic")), "doc_id")
-    found = map_texts(texts, "text", ["doc_id", "junk", "toxic"], f"doc_id {kind}, junk string, toxic string, f array<int>", featured)
-    found = found.where(F.size("f") <= FEATURES).groupBy("doc_id").agg(F.min(F.struct("f", "junk", "toxic")).alias("x")).select("doc_id", "x.*").toPandas()
-    found = found.sort_values("doc_id")
-    keep = 1 - junk_model.posterior(found.junk.tolist()) if len(found) else np.zeros(0)
-    keep = keep * (1 - toxic_model.posterior(found.toxic.tolist())) if len(found) else keep
-    weights, intercept = fit(found.f.tolist(), 1 - keep)
+    found = map_texts(texts, "text", ["doc_id", "junk", "toxic"], f"doc_id {kind}, junk string, toxic string, f binary", featured)
+    found = found.groupBy("doc_id").agg(F.min(F.struct("f", "junk", "toxic")).alias("x")).select("x.*")
+    weights, intercept = fit(materialise(blocks(found, junk_model, toxic_model), "features"))
     return junk_model, toxic_model, weights, intercept
 
 
