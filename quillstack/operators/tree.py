@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstack.llm.common import materialise
+
+#: Levels after which the lineage is cut.
+CUT = 8
+
 
-def with_paths(nodes: DataFrame, levels: int = 16) -> DataFrame:
+def with_paths(nodes: DataFrame) -> DataFrame:
     """path and depth of every node by one equi-join a level; a node whose parent is unknown starts its own path.
 
-    Stops as soon as a level is empty; nodes in a cycle, which no root reaches, are left out.
+    Stops only when a level is empty. Nodes in a cycle, which no root reaches, are left out; where a repeated id lets a
+    root reach a cycle, a path ends before an id it already holds. Every CUT-th level goes to a scratch table.
     """
     known = nodes.select(F.col("id").alias("known"))
     roots = nodes.join(known, nodes.parent_id == known.known, "left_anti")
     level = roots.withColumns({"path": F.col("id"), "depth": F.lit(0)})
     out = level
-    for depth in range(1, levels):
+    for depth in count(1):
         above = level.select(F.col("id").alias("above"), F.col("path").alias("above_path"))
-        level = nodes.join(above, nodes.parent_id == F.col("above")).select(nodes["*"], F.concat("above_path", F.lit("."), nodes.id).alias("path"), F.lit(depth).alias("depth"))
+        level = nodes.join(above, nodes.parent_id == F.col("above")).where(~F.array_contains(F.split("above_path", r"\."), nodes.id)).select(nodes["*"], F.concat("above_path", F.lit("."), nodes.id).alias("path"), F.lit(depth).alias("depth"))
+        if depth % CUT == 0:
+            level = materialise(level, "level")
         if level.isEmpty():
             break
         out = out.union(level)
