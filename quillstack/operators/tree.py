@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialise
-
-#: Levels after which the lineage is cut.
-CUT = 8
+from quillstack.scratch import materialise
 
 
 def with_paths(nodes: DataFrame) -> DataFrame:
-    """path and depth of every node by one equi-join a level; a node whose parent is unknown starts its own path.
+    """path and depth of every node; a node whose parent is unknown starts its own path.
 
-    Stops only when a level is empty. Nodes in a cycle, which no root reaches, are left out; where a repeated id lets a
-    root reach a cycle, a path ends before an id it already holds. Every CUT-th level goes to a scratch table.
+    Paths grow by doubling: each round a node takes over the path of the node its own path hangs from, so a tree of n
+    levels takes about log2(n) equi-joins, each from a scratch table. A round that completes no path is the last, since
+    a node with a longer way to its root has nodes of every shorter one above it. Nodes in a cycle, which no root
+    reaches, are left out; where a repeated id lets a root reach a cycle, a path ends before an id it already holds.
     """
-    known = nodes.select(F.col("id").alias("known"))
-    roots = nodes.join(known, nodes.parent_id == known.known, "left_anti")
-    level = roots.withColumns({"path": F.col("id"), "depth": F.lit(0)})
-    out = level
-    for depth in count(1):
-        above = level.select(F.col("id").alias("above"), F.col("path").alias("above_path"))
-        level = nodes.join(above, nodes.parent_id == F.col("above")).where(~F.array_contains(F.split("above_path", r"\."), nodes.id)).select(nodes["*"], F.concat("above_path", F.lit("."), nodes.id).alias("path"), F.lit(depth).alias("depth"))
-        if depth % CUT == 0:
-            level = materialise(level, "level")
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+    known = nodes.select(F.col("id").alias("_known")).distinct()
+    start = nodes.join(known, nodes.parent_id == F.col("_known"), "left")
+    now = start.select(nodes["*"], F.col("_known").alias("_above"), nodes.id.alias("path"), F.lit(0).alias("depth"))
+    now = materialise(now, "paths")
+    out = now.where("_above is null")
+    while True:
+        above = now.select(F.col("id").alias("_id"), F.col("_above").alias("_next"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        open_paths = now.where("_above is not null")
+        longer = open_paths.join(above, F.col("_above") == F.col("_id")).where(~F.arrays_overlap(F.split("_path", r"\."), F.split("path", r"\.")))
+        longer = longer.select(*(F.col(c) for c in nodes.columns), F.col("_next").alias("_above"), F.concat("_path", F.lit("."), "path").alias("path"), (F.col("_depth") + F.col("depth") + 1).alias("depth"))
+        longer = materialise(longer, "paths")
+        if longer.where("_above is null").isEmpty():
+            return out.drop("_above")
+        out = out.union(longer.where("_above is null"))
+        now = now.where("_above is null").union(longer)
 
 
 def pairs(tree: DataFrame) -> DataFrame:
