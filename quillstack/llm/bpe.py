@@ -17,11 +17,11 @@ from heapq import heappop, heappush
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from quillstack.llm.chunks import KEPT, spans
+from quillstack.llm.chunks import KEPT, runs, spans
 from quillstack.llm.common import map_texts
+from quillstack.llm.splits import Splitter, of_tiktoken
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters up to which pre-tokens share a queue; longer ones get one each.
@@ -191,7 +191,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.ranks = ranks_of(path)
         self.pairs = Pairs(self.ranks)
-        self.pattern = regex.compile(pattern)
+        self.pattern = Splitter(pattern, of_tiktoken(pattern))
         self.words: list[bytes] = [b""] * self.pairs.none
         for token, i in self.ranks.items():
             self.words[i] = token
@@ -201,8 +201,8 @@ class Codec:
         self.later: dict[str, bytes] = {}
 
     def _learn(self, heads: set[str], tails: set[str]) -> None:
-        cut = [(self.first, h, self.pattern.findall(h)) for h in heads - self.first.keys()]
-        cut += [(self.later, t, self.pattern.findall(" " + t)) for t in tails - self.later.keys()]
+        cut = [(self.first, h, self.pattern(h)) for h in heads - self.first.keys()]
+        cut += [(self.later, t, self.pattern(" " + t)) for t in tails - self.later.keys()]
         short: list[str] = []
         for piece in {p for _, _, pieces in cut for p in pieces} - self.pieces.keys():
             whole = self.ranks.get(piece.encode())
@@ -225,8 +225,12 @@ class Codec:
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         at = 0
         while at < len(texts):
+            if len(texts[at]) > GROUP:
+                yield self._long(texts[at])
+                at += 1
+                continue
             cut, room = [], GROUP
-            while at < len(texts) and (room > 0 or not cut):
+            while at < len(texts) and len(texts[at]) <= room:
                 cut.append(spans(texts[at]))
                 room -= len(texts[at])
                 at += 1
@@ -235,6 +239,22 @@ class Codec:
                 yield np.frombuffer(self.first[head] + b"".join(map(self.later.__getitem__, tail)), "<u4").tolist()
             self._forget()
 
+    def _long(self, text: str) -> list[int]:
+        """The same for one text, run by run, so that its spans are never held all at once."""
+        out, start = array("I"), self.first
+        for part in runs(text):
+            head, tail = spans(part)
+            if start is self.first:
+                self._learn({head}, set(tail))
+            else:
+                self._learn(set(), {head, *tail})
+            out.frombytes(start[head])
+            for span in tail:
+                out.frombytes(self.later[span])
+            self._forget()
+            start = self.later
+        return out.tolist()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
 

@@ -8,7 +8,7 @@ keeps the tokens of the spans it has met, up to a bound.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Spans that a worker keeps before it forgets them all.
 KEPT = 800_000
@@ -36,6 +36,19 @@ class Memo(dict):
         return value
 
 
+#: Characters of a text that are taken apart at once.
+RUN = 4_000_000
+
+
+def runs(text: str, size: int = RUN) -> Iterator[str]:
+    """A long text in parts of about ``size`` characters, without the isolated space that starts each part but the first."""
+    at = 0
+    while len(text) - at > size and (m := _edge.search(text, at + size)):
+        yield text[at:m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 def spans(text: str) -> tuple[str, list[str]]:
     """The first span, and all later ones without the space that starts each of them."""
     parts = _edge.split(text) if _odd.search(text) else text.split(" ")

@@ -1,45 +1,16 @@
-"""Shared pieces of the corpus operators: scratch tables, Arrow mapping, connected components."""
+"""Shared pieces of the corpus operators: Arrow mapping and connected components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+from quillstack.scratch import materialise, scratch_path
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", sc.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _own_dirs:
-        _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillstack-")
-    return _own_dirs[sc.applicationId]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/quillstack-{uuid.uuid4().hex}/{label}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "map_texts", "materialise", "scratch_path"]
 
 
 def map_texts(df: DataFrame, text: Column | str, keep: list[Column | str], schema: str,

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from quillstack.llm.common import map_texts
 
-# Kinds in their order, and the cues before account values.
+# Kinds in their order, and the cues before account values, in any case.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
-CUES = ("account", "acct", "iban", "ssn", "passport", "token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "key")
+CUES = ("account", "acct", "iban", "ssn", "social security number", "passport", "passport number", "token", "access token", "access_token", "secret", "client_secret",
+        "password", "passwd", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "accesskey", "private key", "private_key", "key", "license", "licence")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,7 +33,11 @@ _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _host = re.compile(r"://(?:[A-Za-z0-9._~%-]+(?::[^\s/@]*)?@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
 _scheme = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+-.")
-_value = re.compile(r"[ \t]*(?:[:=#]|is)?[ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_/+.-]{7,}[A-Za-z0-9])")
+# What may stand between a cue and its value, and the value; blanks are never given back, so long runs are read once.
+_between = re.compile(r"[\"']?[ \t]*+(?:(?:number|num|no|nr|id)\b\.?[ \t]*+)?(?:[:=#]|is\b)?[ \t]*+[\"']?", re.IGNORECASE)
+_value = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+.-]{7,}[A-Za-z0-9]")
+_iban = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")
+_capitals = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @lru_cache(maxsize=1)
@@ -43,8 +48,7 @@ def _anchors() -> ahocorasick.Automaton:
     for word, kind in (("@", "email"), ("+", "phone"), ("://", "url")):
         found.add_word(word, (kind, len(word)))
     for cue in CUES:
-        for word in {cue, cue.capitalize(), cue.upper()}:
-            found.add_word(word, ("account", len(word)))
+        found.add_word(cue, ("account", len(cue)))
     found.make_automaton()
     return found
 
@@ -55,11 +59,27 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, digits[-1::-2])) + sum(doubled[int(d)] for d in digits[-2::-2])) % 10 == 0
 
 
+def iban(text: str) -> bool:
+    """Whether an account number's letters as numbers, first four places last, leave 1 when divided by 97."""
+    plain = text.replace(" ", "").replace("-", "").upper()
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def account(text: str, at: int) -> tuple[int, int] | None:
+    """Start and end of the value after a cue that ends at ``at``: a checked account number, in groups or not, or a word with three digits."""
+    start = _between.match(text, at).end()
+    if (m := _iban.match(text, start)) and iban(m.group()):
+        return start, m.end()
+    m = _value.match(text, start)
+    return (start, m.end()) if m and sum(c in "0123456789" for c in m.group()) >= 3 else None
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of all spans, in this order."""
     out: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = url_end = account_end = 0
-    for at, (kind, width) in _anchors().iter(text):
+    low = text.lower() if text.isascii() else text.translate(_capitals)
+    for at, (kind, width) in _anchors().iter(low):
         if kind == "digit":
             if at >= card_end and (m := _card.match(text, at)):
                 card_end = m.end()
@@ -82,7 +102,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
                 out.append((at, 3, m.end()))
         elif kind == "url":
             start = colon = at - width + 1
-            while start > url_end and text[start - 1] in _scheme and colon - start < 32:
+            while start > url_end and text[start - 1] in _scheme:
                 start -= 1
             while start < colon and not text[start].isalpha():
                 start += 1
@@ -93,9 +113,9 @@ def find(text: str) -> list[tuple[int, int, int]]:
             start = at - width + 1
             if start < account_end or start and (text[start - 1].isalnum() or text[start - 1] in "_-") or text[at + 1:at + 2].isalnum():
                 continue
-            if (m := _value.match(text, at + 1)) and sum(c in "0123456789" for c in m.group(1)) >= 3:
-                account_end = m.end(1)
-                out.append((m.start(1), 5, account_end))
+            if (found := account(text, at + 1)) and found[0] >= account_end:
+                account_end = found[1]
+                out.append((found[0], 5, account_end))
     out.sort()
     return out
 
@@ -117,7 +137,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, counts of the base kinds, base_sha256, spans. A null text is the empty text: zeros, the digest
-    of nothing, no spans. Repeated rows and null ids are kept. One pass without a shuffle; Python sees only spans' text."""
+    of nothing, no spans. Repeated rows and null ids are kept. One pass without a shuffle; a text is read once, in linear time."""
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for kept, texts in batches:
             n, base, every = ([], [], [], []), [], []

@@ -1,7 +1,8 @@
 """Token counts with a whole-token shortcut.
 
 Offline, the driver proves which vocabulary strings the library encodes alone as one token. Pre-tokens
-found in that set count one each; only the rest are merged, once per worker and distinct pre-token.
+found in that set count one each; only the rest are merged, once per worker and distinct pre-token. The driver also
+learns which characters the library's older tables don't know, so that pre-tokens are the library's own.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from quillstack.llm.chunks import Memo, spans
+from quillstack.llm.chunks import Memo, runs, spans
 from quillstack.llm.common import map_texts
+from quillstack.llm.splits import Splitter, of_tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -48,8 +50,9 @@ def whole_tokens(path: str) -> frozenset[str]:
 class Counter:
     """Counts tokens of whole texts as the library does, special strings of a text included."""
 
-    def __init__(self, path: str, whole: frozenset[str]):
-        self.tok, self.pattern, self.special = _loaded(path)
+    def __init__(self, path: str, whole: frozenset[str], stand_ins: dict[int, str]):
+        self.tok, pattern, self.special = _loaded(path)
+        self.pattern = Splitter(pattern.pattern, stand_ins)
         self.whole = whole
         self.pieces = Memo(self._piece)
         self.later = Memo(lambda span: self._split(" " + span))
@@ -62,13 +65,17 @@ class Counter:
         return self.tok.pre_tokenizer.pre_tokenize_str(piece)[0][0]
 
     def _split(self, span: str) -> int:
-        return sum(map(self.pieces.__getitem__, self.pattern.findall(span)))
+        return sum(map(self.pieces.__getitem__, self.pattern(span)))
 
     def _plain(self, text: str) -> int:
         if not text:
             return 0
-        head, tail = spans(text)
-        return self.first[head] + sum(map(self.later.__getitem__, tail))
+        n, start = 0, self.first
+        for part in runs(text):
+            head, tail = spans(part)
+            n += start[head] + sum(map(self.later.__getitem__, tail))
+            start = self.later
+        return n
 
     def __call__(self, text: str) -> int:
         if self.special is None or not self.special.search(text):
@@ -87,12 +94,13 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty: no bytes, no tokens. Repeated rows stay repeated; other columns are not read.
     No shuffle: one pass over the text column.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(public_tokenizers.path(tokenizer)))
+    path = public_tokenizers.path(tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast((whole_tokens(path), of_tokenizer(_loaded(path)[0])))
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         count = _counters.get(tokenizer)
         if count is None:
-            count = _counters[tokenizer] = Counter(public_tokenizers.path(tokenizer), whole.value)
+            count = _counters[tokenizer] = Counter(public_tokenizers.path(tokenizer), *shared.value)
         for kept, texts in batches:
             n = [count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
