@@ -1,9 +1,10 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers, and the labels table where it has a row, vote on two questions: is the text junk,
-is it toxic. Expectation-maximisation over the counts of vote patterns estimates how often each labeller is right
-for either class; nothing else of the votes reaches the driver. Posteriors of a bounded sample then train a hashed
-linear scorer with an L1 penalty, which scores every whole text.
+Overlapping heuristic labellers, and people's labels where the labels table has a row, vote on two questions: is the
+text junk, is it toxic. Expectation-maximisation over the counts of vote patterns estimates how often each labeller,
+people included, is right for either class; nothing else of the votes reaches the driver. Posteriors of a bounded sample
+then train a hashed linear scorer with an L1 penalty, which scores every whole text. The sample holds documents with
+labels, and others that a heuristic votes against: without either, votes say too little to learn from.
 """
 
 from __future__ import annotations
@@ -28,16 +29,16 @@ COMMON = frozenset("the of and to in is that it for was on are as with by at be
                    "se las es le les et des du est pour dans qui sur au der die das und zu den von mit ist im nicht ein eine".split())
 ABUSE = frozenset("trash pathetic idiot worthless disgusting stupid clown scum loser moron".split())
 JUNK = ("symbols", "pipes", "stutter", "capitals", "same_lines", "few_words", "common_words", "sentences", "label_quality")
-TOXIC = ("abuse_any", "abuse_some", "abuse_share", "label_toxic")
-#: Accuracy of people's labels: enough to outweigh all heuristics.
-TRUST = 1 - 1e-12
+TOXIC = ("abuse_any", "abuse_share", "label_toxic")
+#: First guesses at the accuracy of heuristics and of people, and the imaginary documents a class that stand for them.
+GUESS, TRUST = (0.8, 10), (0.999, 1000)
 BUCKETS = 1 << 18
-#: Documents in the training sample, labelled ones first.
-SAMPLE = 6_000
+#: Documents in the training sample; three quarters of them labelled, as far as there are so many.
+SAMPLE = 8_000
 #: Bytes of features in a block of the training table, and tasks that read it in each round at most.
 BLOCK, TASKS = 2 << 20, 8
 #: L1 penalty of the scorer, and the probability of rejection above which a document goes; chosen on held-out labels.
-PENALTY, THRESHOLD = 4e-3, 0.25
+PENALTY, THRESHOLD = 4e-3, 0.4
 STRIP = ".,;:!?\"'()[]<>|*#$%&"
 _drop_symbols = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)) + b" \t\r\n.,;:!?'\"()-|/_"
 _upper, _letters = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123))
@@ -67,7 +68,7 @@ def votes(text: str) -> tuple[str, str]:
             pick(capitals > 0.6 and letters > 20, capitals < 0.3), pick(same > 0.3 and len(lines) > 3, same < 0.1 and len(lines) > 3),
             pick(few < 0.25 and 40 < n < 2000, few > 0.4), pick(common < 0.02 and n > 30, common > 0.1), pick(ends < 0.005 and n > 40, ends > 0.03))
     hits = sum(w.strip(STRIP) in ABUSE for w in low) if any(a in lower for a in ABUSE) else 0
-    toxic = (pick(hits > 0, hits == 0), pick(hits > 2, hits == 0), pick(hits > 0.005 * n, hits == 0))
+    toxic = (pick(hits > 0, hits == 0), pick(hits > 0.005 * n, False))
     return "".join(junk), "".join(toxic)
 
 
@@ -88,11 +89,11 @@ class Labellers:
         return 1 / (1 + np.exp(np.clip(log_good - log_bad, -60, 60)))
 
 
-def expectation_maximisation(patterns: list[str], counts: np.ndarray, start: np.ndarray, trusted: np.ndarray, rounds: int = 200) -> Labellers:
+def expectation_maximisation(patterns: list[str], counts: np.ndarray, start: np.ndarray, weight: np.ndarray, rounds: int = 200) -> Labellers:
     """Fit from vote patterns and how often each occurs; start holds each labeller's first guess at its accuracy.
 
-    Trusted labellers (people's labels) keep theirs, so the classes stay what people mean by them; of the others the
-    accuracies are estimated. Ten imaginary documents a class at the first guess keep every estimate inside (0, 1).
+    weight: imaginary documents a class that vote as the first guess says. They keep every estimate inside (0, 1); many of
+    them for people's labels keep the classes what people mean by them.
     """
     model = Labellers(start.copy(), start.copy(), 0.1)
     if not patterns:
@@ -102,12 +103,11 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, start: np.
     for _ in range(rounds):
         p = model.posterior(patterns)
         wb, wg = (counts * p)[:, None], (counts * (1 - p))[:, None]
-        bad = ((wb * b).sum(0) + 10 * start) / ((wb * (b | g)).sum(0) + 10)
-        good = ((wg * g).sum(0) + 10 * start) / ((wg * (b | g)).sum(0) + 10)
-        bad, good = np.where(trusted, start, bad), np.where(trusted, start, good)
+        bad = ((wb * b).sum(0) + weight * start) / ((wb * (b | g)).sum(0) + weight)
+        good = ((wg * g).sum(0) + weight * start) / ((wg * (b | g)).sum(0) + weight)
         prior = float(np.clip((counts @ p + 1) / (counts.sum() + 10), 1e-4, 0.5))
         done = max(abs(bad - model.bad).max(), abs(good - model.good).max(), abs(prior - model.prior)) < 1e-9
-        model = Labellers(np.where(trusted, bad, np.clip(bad, 1e-4, 1 - 1e-4)), np.where(trusted, good, np.clip(good, 1e-4, 1 - 1e-4)), prior)
+        model = Labellers(np.clip(bad, 1e-4, 1 - 1e-4), np.clip(good, 1e-4, 1 - 1e-4), prior)
         if done:
             break
     return model
@@ -261,12 +261,17 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     def label_model(question: str, names: tuple[str, ...]) -> Labellers:
         found = voted.groupBy(question).count().collect()  # at most 3 ** len(names) patterns
         found.sort()
-        trusted = np.array([n.startswith("label_") for n in names])
-        return expectation_maximisation([r[0] for r in found], np.array([r[1] for r in found], float), np.where(trusted, TRUST, 0.8), trusted)
+        start, weight = np.array([TRUST if n.startswith("label_") else GUESS for n in names]).T
+        return expectation_maximisation([r[0] for r in found], np.array([r[1] for r in found], float), start, weight)
 
     junk_model, toxic_model = label_model("junk", JUNK), label_model("toxic", TOXIC)
-    order = [F.desc("labelled"), F.xxhash64("doc_id"), "doc_id", "junk", "toxic"]
-    chosen = voted.where("doc_id is not null").orderBy(*order).limit(sample).dropDuplicates(["doc_id"])
+    order = [F.xxhash64("doc_id"), "doc_id", "junk", "toxic"]
+    named = voted.where("doc_id is not null")
+    against = named.where("not labelled and (contains(junk, 'b') or contains(toxic, 'b'))")
+    known = named.where("labelled").orderBy(*order).limit(sample * 3 // 4)
+    chosen = known.union(against.orderBy(*order).limit(sample // 4)).dropDuplicates(["doc_id"])
+    if labels is None or known.isEmpty():
+        chosen = named.orderBy(*order).limit(sample).dropDuplicates(["doc_id"])
 
     def featured(batches) -> Iterator[pa.RecordBatch]:
         for kept, texts in batches:
@@ -282,9 +287,9 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """All rows and columns of docs and __reject, the scorer's probability that a document should go.
+    """All rows and columns of docs and, last, reject_probability: the scorer's that a document should go.
 
-    A null or empty text has no words and all junk votes. labels (doc_id, quality, toxic) may be missing or empty;
+    Underscores go before that name where docs has a column of it. A null or empty text has no words and all junk votes. labels (doc_id, quality, toxic) may be missing or empty;
     documents without a row there are judged by the heuristics alone. Repeated rows are scored alike.
     """
     *_, weights, intercept = train(docs, labels, id_col, text_col, sample)
@@ -297,9 +302,13 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
             scorer.append(Scorer(*shared.value))
         return texts.fillna("").map(scorer[0])
 
-    return docs.withColumn("__reject", score(F.col(text_col)))
+    name = "reject_probability"
+    while name in map(str.lower, docs.columns):
+        name = "_" + name
+    return docs.withColumn(name, score(F.col(text_col)))
 
 
 def filtered(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents whose probability of rejection is at most the threshold; all columns as they were."""
-    return classify(docs, labels, **options).where(F.col("__reject") <= threshold).select(docs.columns)
+    scored = classify(docs, labels, **options)
+    return scored.where(F.col(scored.columns[-1]) <= threshold).select(docs.columns)

@@ -29,7 +29,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.select("doc_id", F.col("__reject").alias("reject_probability"), (F.col("__reject") <= quality.THRESHOLD).alias("keep"))
+    return found.select("doc_id", "reject_probability", (F.col("reject_probability") <= quality.THRESHOLD).alias("keep"))
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

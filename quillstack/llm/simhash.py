@@ -272,12 +272,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes the smallest known id it reaches, or null. Repeated rows stay repeated. Other columns are not read.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    known = classes.where("rep is not null").select("fp", F.col("rep").cast("long").alias("rep"))
-    reached = components(links(known, limit))
-    # a class of rows without ids can only borrow a component, so it is left without one
-    named = known.join(reached, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    # classes are named by their fingerprints, so that those of rows without ids link too
+    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    reached = components(links(classes.select("fp", F.col("fp").alias("rep")), limit))
+    joined = materialise(classes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
+    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(joined.join(named, "component").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 3) -> DataFrame:

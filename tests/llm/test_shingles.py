@@ -1,11 +1,14 @@
 """Near copies by five-word shingles against brute force."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillstack.llm import quality, shingles
+from quillstack.llm import packing, pii, quality, shingles
 
 
 def plain_set(text, words=5):
@@ -64,8 +67,22 @@ def test_the_stage_finds_near_copies_of_a_table(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
 
 
-def test_pipeline_packs_one_of_each_group(spark, sf_dir):
+def test_pipeline_against_plain_python(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     clean = {r.doc_id: r.text for r in quality.filtered(docs, labels).collect()}
-    got = corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()
-    assert {r.doc_id for r in got} == set(plain_components(clean).values())
+    chosen = frozenset(map(pii.KINDS.index, (*pii.BASE, "account")))
+    texts = {i: pii.redacted(clean[i] or "", chosen) for i in set(plain_components(clean).values())}
+    tok = Tokenizer.from_file(packing.public_tokenizers.path(packing.TOKENIZER))
+    ids = {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in got} == set(ids)
+    for r in got:
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes())
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+
+
+def test_pipeline_of_empty_tables(spark, sf_dir, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

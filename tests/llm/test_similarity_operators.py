@@ -8,8 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-import corpus_pipeline
-from quillstack.llm import packing, pii, quality, queries, simhash, topk, vectors
+from quillstack.llm import quality, queries, simhash, topk, vectors
 from quillstack.llm.common import components
 
 
@@ -149,7 +148,7 @@ def test_expectation_maximisation_finds_the_accuracies():
     bad = np.where(right, truth[:, None], ~truth[:, None])
     silent = rng.random(bad.shape) < 0.3
     patterns, counts = np.unique(["".join(row) for row in np.where(silent, "-", np.where(bad, "b", "g"))], return_counts=True)
-    model = quality.expectation_maximisation(patterns.tolist(), counts.astype(float), np.full(4, 0.7), np.zeros(4, bool))
+    model = quality.expectation_maximisation(patterns.tolist(), counts.astype(float), np.full(4, 0.7), np.full(4, 10.0))
     assert np.abs(model.bad - accuracy).max() < 0.05 and np.abs(model.good - accuracy).max() < 0.05 and abs(model.prior - 0.2) < 0.03
 
 
@@ -158,7 +157,7 @@ def test_quality_holds_on_labels_it_has_not_seen(spark):
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
     held = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 0}
     seen = labels.where(~labels.doc_id.isin([*held]))
-    found = quality.classify(docs.join(labels.select("doc_id"), "doc_id"), seen).select("doc_id", "__reject").collect()
+    found = quality.classify(docs.join(labels.select("doc_id"), "doc_id"), seen).select("doc_id", "reject_probability").collect()
     wrong = [(held[r.doc_id], r[1]) for r in found if r.doc_id in held and held[r.doc_id] != (r[1] > quality.THRESHOLD)]
     assert len(wrong) <= 0.02 * len(held), len(wrong)
     assert sum(not bad for bad, _ in wrong) <= 0.005 * len(held)
@@ -166,28 +165,12 @@ def test_quality_holds_on_labels_it_has_not_seen(spark):
 
 def test_quality_edge_cases(spark):
     rows = [(1, "The cat and the dog are in the house. It was for them.", "x", 1.0), (2, None, None, None), (3, "", "", 0.0), (None, "null id of the row", "x", 1.0), (1, "again the same id", "x", 1.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, junk string, __x double")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, junk string, reject_probability double")
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     for table in (labels, labels.limit(0), None):
         found = quality.filtered(docs, table)
         assert found.columns == docs.columns and found.count() <= len(rows)
-    assert quality.classify(docs, labels).count() == len(rows)
+    scored = quality.classify(docs, labels)
+    assert scored.count() == len(rows) and scored.columns == [*docs.columns, "_reject_probability"]
+    assert sorted(r.reject_probability for r in scored.collect() if r.reject_probability is not None) == [0.0, 1.0, 1.0, 1.0]
     assert quality.filtered(docs.limit(0), labels).count() == 0
-
-
-def test_pipeline_against_plain_python(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    clean = {r.doc_id: r.text for r in quality.filtered(docs, labels).collect()}
-    fps = {i: plain_fingerprint(t or "") for i, t in clean.items()}
-    want = least_reached(fps, [(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 3])
-    chosen = frozenset(map(pii.KINDS.index, (*pii.BASE, "account")))
-    texts = {i: pii.redacted(clean[i] or "", chosen) for i in set(want.values())}
-    words = packing.Words(packing.public_tokenizers.path(packing.TOKENIZER))
-    ids = {i: next(words([t])) + np.array([1], "<u4").tobytes() for i, t in texts.items()}
-    got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in got} == set(ids)
-    for r in got:
-        assert r.doc_tokens == len(ids[r.doc_id]) // 4
-        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start:4 * (r.start + r.length)])
-    assert sum(r.length for r in got) == sum(len(x) // 4 for x in ids.values())
