@@ -30,13 +30,13 @@ def made(spark, wrong):
 
 
 def test_people_are_a_labeller_among_others(spark, monkeypatch):
-    docs, labels = made(spark, 40)
+    docs, labels = made(spark, 8)
     model, _, *fitted = quality.train(docs, labels)
     assert model.bad[-1] < quality.TRUST[0]  # they missed some, and the estimate says so
     labels_alone = lambda patterns, counts, start, weight: quality.Labellers(*[np.where(weight > 100, start, 0.5)] * 2, 0.1)
     monkeypatch.setattr(quality, "expectation_maximisation", labels_alone)
     *_, weights, intercept = quality.train(docs, labels)
-    missed = [r.text for r in docs.where("doc_id >= 200 and doc_id < 240").collect()]
+    missed = [r.text for r in docs.where("doc_id >= 200 and doc_id < 208").collect()]
     scores = [np.mean([quality.Scorer(*s)(t) for t in missed]) for s in (fitted, (weights, intercept))]
     assert scores[0] > 0.9 > scores[1]
 
