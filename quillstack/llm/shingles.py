@@ -1,9 +1,12 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
-
-Texts become sets of hashed shingles; equal sets are one class. MinHash bands bring classes together, and pairs that
-meet are verified on their whole sets. First each class is compared with one class of each of its meeting places only;
-once those links are known, classes that still lie in different components of a place are compared with one another.
-So a group of near copies never becomes all its pairs.
+"""Near-duplicates by SimHash fingerprints and the exact Jaccard similarity of word shingles.
+
+Texts become sets of hashed shingles; equal sets are one class. MinHash bands leave the classes without a partner out.
+Fingerprints within a few bits, found by the generalised pigeonhole search, propose the first pairs. They can't reach
+all sets of a similarity of 0.8, so shared rare shingles propose the rest: two sets that are similar enough share one of
+the rarest shingles of either, as far as the similarity lets these differ. Every pair is verified on the whole sets. Of
+a meeting place, classes are compared with one hub first, and then only those that are not yet in the hub's component
+with the others, as long as their numbers of shingles that nobody else has let them be similar; so a group of near
+copies doesn't become all its pairs.
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import components, map_texts, materialise
-from quillstack.llm.simhash import keep_least, shingle_hashes
+from quillstack.llm.simhash import keep_least, links, majority, shingle_hashes
 
-WORDS, SIMILARITY = 5, 0.8
+WORDS, SIMILARITY, LIMIT = 5, 0.8, 3
 #: Sets of similarity s meet with probability 1 - (1 - s ** ROWS) ** BANDS: all but 3 in a million at 0.8.
 BANDS, ROWS = 24, 4
 #: Bits of the filter that leaves most sets without a partner out of the shuffle; 64 a row on the driver.
@@ -29,11 +32,6 @@ BATCH = 8 << 20
 _factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: bytes, words: int = WORDS, seed: int = 42) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles; no words: none; too few words: the whole sequence."""
-    return np.unique(shingle_hashes(text, words, seed))
-
-
 def bands(found: np.ndarray) -> np.ndarray:
     """One key a band: equal where the ROWS smallest hashes of the band are."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -44,73 +42,60 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, key, n, bands, hashes) of every row: the set's digest, size, band keys and hashes. No shuffle."""
+    """(doc_id, key, fp, n, bands, hashes) of every row: the set's digest, the fingerprint, the set's size, band keys and hashes. No shuffle."""
     def rows(batches) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "key", "n", "bands", "hashes"]
+        names = ["doc_id", "key", "fp", "n", "bands", "hashes"]
         for kept, texts in batches:
-            held, began, size = [], 0, 0
+            held, fps, began, size = [], [], 0, 0
             for i, text in enumerate(texts, 1):
-                held.append(shingle_set(text.encode(), words))
+                hashes = shingle_hashes(text.encode(), words, 42)
+                fps.append(majority(hashes))
+                held.append(np.unique(hashes))
                 size += held[-1].nbytes
                 if size < BATCH and i < len(texts):
                     continue
                 data = [h.tobytes() for h in held]
                 keys = np.array([xxhash.xxh3_64_intdigest(d) for d in data], np.uint64).view(np.int64)
                 met = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([bands(h) for h in held])))
-                yield pa.RecordBatch.from_arrays([kept.column(0).slice(began, i - began), pa.array(keys), pa.array([len(h) for h in held], pa.int32()), met, pa.array(data, pa.binary())], names=names)
-                held, began, size = [], i, 0
+                yield pa.RecordBatch.from_arrays([kept.column(0).slice(began, i - began), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([len(h) for h in held], pa.int32()),
+                                                  met, pa.array(data, pa.binary())], names=names)
+                held, fps, began, size = [], [], i, 0
 
-    return map_texts(docs, text_col, [id_col], f"doc_id {dict(docs.dtypes)[id_col]}, key long, n int, bands array<long>, hashes binary", rows)
+    return map_texts(docs, text_col, [id_col], f"doc_id {dict(docs.dtypes)[id_col]}, key long, fp long, n int, bands array<long>, hashes binary", rows)
 
 
-def _may(n, m, similarity: float):
-    """Whether sets of these sizes can be that similar."""
-    return np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, key, n): every hash of every set."""
+    for b in batches:
+        n = b.column("n").to_numpy()
+        ends = np.cumsum(n)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // (BATCH // 8))) + 1).tolist(), len(n)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            data = np.frombuffer(b"".join(b.column("hashes").slice(i, j - i).to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(data), pa.array(np.repeat(b.column("key").to_numpy()[i:j], n[i:j])), pa.array(np.repeat(n[i:j], n[i:j]))], names=["token", "key", "n"])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Whole meeting places, many at a time, from rows sorted by their first column."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last place may go on in the next batch
-        if held and (cut or held[0][0][0] != now[0][0]):
-            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in now], strict=True)]
-            held = []
-        elif cut:
-            yield [x[:cut] for x in now]
-        held.append([x[cut:] for x in now])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def _against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, first, first_n, key, n) for each class that meets another; first: the least key of the place."""
-    for band, key, n in _places(batches):
-        start = np.flatnonzero(np.diff(band, prepend=band[0] - 1))
-        sizes = np.diff(np.append(start, len(band)))
-        first = np.repeat(start, sizes)
-        hit = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (band, key[first], n[first], key, n)], names=["band", "first", "first_n", "key", "n"])
-
-
-def _across(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of one place in different components, but for those with its first class, which are known."""
-        for band, component, key, n, first in _places(batches):
-            start = np.flatnonzero(np.diff(band, prepend=band[0] - 1))
-            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(band)], strict=True):
-                if e - s < 3 or component[s] == component[e - 1]:  # sorted by component
-                    continue
-                rest = s + np.flatnonzero(key[s:e] != first[s:e])
-                c, k, m = component[rest], key[rest], n[rest]
-                for i in range(len(rest) - 1):
-                    at = i + 1 + np.flatnonzero((c[i + 1:] != c[i]) & _may(m[i + 1:], m[i], similarity))
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[at], k[i])), pa.array(np.maximum(k[at], k[i]))], names=["a", "b"])
-    return run
+def rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, key, n, shared): the shingles of each set (key, n, hashes) of which any set that similar has one among its own.
+
+    shared: how many of a set's n shingles another set has. In the order of how many sets have them, a set's first
+    n - ceil(similarity * n) + 1 shingles are enough; those that no other set has come first and lead nowhere.
+    """
+    tokens = sets.mapInArrow(_tokens, "token long, key long, n int")
+    common = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    of_key = Window.partitionBy("key")
+    ranked = tokens.join(common, "token").withColumns({"shared": F.count("*").over(of_key), "rank": F.row_number().over(of_key.orderBy("sets", "token"))})
+    return ranked.where(F.col("rank") <= F.col("shared") - F.ceil(similarity * F.col("n") - 1e-9) + 1).select("token", "key", "n", F.col("shared").cast("int").alias("shared"))
+
+
+def _possible(similarity: float, a: str = "", b: str = "other_"):
+    """Whether the shingles that others have too let two sets be that similar."""
+    both = F.least(f"{a}shared", f"{b}shared")
+    return both >= similarity / (1 + similarity) * (F.col(f"{a}n") + F.col(f"{b}n")) - 1e-9
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -141,13 +126,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = materialise(shingled(docs, id_col, text_col, words), "shingles")
-    classes = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    met = classes.where("n > 0").select(F.explode("bands").alias("band"), "key", "n")
-    met = met.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_against_first, "band long, first long, first_n int, key long, n int")
-    met = materialise(met, "met")
-
-    word = F.shiftright("key", 6).bitwiseAND(FILTER // 64 - 1)
-    bits = met.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS INT))")).alias("v"))
+    classes = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    met = classes.where("n > 0").select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    word = F.shiftright("band", 6).bitwiseAND(FILTER // 64 - 1)
+    bits = met.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(band & 63 AS INT))")).alias("v"))
     filled = np.zeros(FILTER // 64, np.int64)
     for w, v in bits.toLocalIterator():  # FILTER / 64 rows at most
         filled[w] = v
@@ -155,29 +137,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.column(0).to_numpy()
-            there = shared.value[k >> 6 & FILTER // 64 - 1] >> (k & 63) & 1
-            yield b.filter(pa.array(there.astype(bool)))
+            found = b.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            there = (shared.value[found >> 6 & FILTER // 64 - 1] >> (found & 63) & 1).any(axis=1)
+            yield b.select(["key", "fp", "n", "hashes"]).filter(pa.array(there))
 
-    sets = rows.select("key", "hashes").mapInArrow(partnered, "key long, hashes binary").dropDuplicates(["key"])
+    sets = rows.where("n > 0").select("key", "fp", "n", "hashes", "bands").mapInArrow(partnered, "key long, fp long, n int, hashes binary").dropDuplicates(["key"])
     sets = materialise(sets, "sets")
-    near = F.least("n", "first_n") >= F.lit(similarity) * F.greatest("n", "first_n") - 1e-9
-    pairs = met.where((F.col("first") != F.col("key")) & near).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    links = materialise(_verified(pairs, sets, similarity), "links")
-    reached = components(links)
-
-    label = reached.select(F.col("node").alias("key"), "component")
-    named = met.join(label, "key", "left").select("band", F.coalesce("component", "key").alias("component"), "key", "n", "first")
-    named = named.repartition("band").sortWithinPartitions("band", "component")
-    pairs = named.mapInArrow(_across(similarity), "a long, b long").distinct()
-    more = materialise(_verified(pairs, sets, similarity), "links")
+
+    # fingerprints: classes of one fingerprint with the least of them, and these as the pigeonhole search links them
+    least = sets.groupBy("fp").agg(F.min("key").alias("rep"))
+    same = sets.join(least, "fp").where("key <> rep").select("key", F.col("rep").alias("other_key"))
+    near = links(materialise(least, "fingerprints"), LIMIT).select(F.col("a").alias("key"), F.col("b").alias("other_key"))
+    linked = materialise(_verified(_pairs(same.union(near)), sets, similarity), "links")
+
+    places = materialise(rare(sets.select("key", "n", "hashes"), similarity), "places")
+    fields = ("key", "n", "shared")
+    hubs = places.groupBy("token").agg(F.max_by(F.struct(*fields), F.struct(F.col("shared") / F.col("n"), -F.col("key"))).alias("hub"))
+    hubs = hubs.select("token", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in fields))
+
+    def named(reached: DataFrame) -> DataFrame:
+        """Places with the components that are known so far."""
+        label = reached.select(F.col("node").alias("key"), "component")
+        return materialise(places.join(label, "key", "left").select("token", "key", "n", "shared", F.coalesce("component", "key").alias("component")), "named")
+
+    def apart(now: DataFrame) -> DataFrame:
+        """Members of each place that aren't in its hub's component, with hub."""
+        hub = hubs.join(now.select("token", F.col("key").alias("other_key"), F.col("component").alias("other_component")), ["token", "other_key"])
+        return now.join(hub, "token").where("component <> other_component")
+
+    for whole in (False, True):
+        reached = components(linked)
+        now = named(reached)
+        if whole:  # those apart with all of the hub's component, and with one another
+            others = now.select("token", *(F.col(c).alias(f"other_{c}") for c in (*fields, "component")))
+            rest = apart(now).select("token", *fields, "component", F.col("other_component").alias("main"))
+            found = rest.join(others, "token").where((F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("key") < F.col("other_key"))))
+        else:
+            found = apart(now)
+        more = materialise(_verified(_pairs(found.where(_possible(similarity))), sets, similarity), "links")
+        linked = linked.union(more)
     if more.limit(1).count():
-        reached = components(links.union(more))
+        reached = components(linked)
 
     joined = classes.join(reached, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
-    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "component").select("key", "component_id")
-    return rows.select("doc_id", "key").join(named, "key", "left").select("doc_id", "key", "component_id")
+    joined = materialise(joined, "joined")
+    names = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows.select("doc_id", "key").join(joined.join(names, "component").select("key", "component_id"), "key", "left").select("doc_id", "key", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -43,15 +43,19 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops, strict=False)], "<u8")
 
 
-def fingerprint(text: bytes, words: int, seed: int) -> int:
-    """SimHash of the word shingles, repeats included; no words: zero; too few words: the whole sequence."""
-    hashes = shingle_hashes(text, words, seed)
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: bits that more than half of the hashes have; zero for none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int, seed: int) -> int:
+    """SimHash of the word shingles, repeats included; no words: zero; too few words: the whole sequence."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint of every row as a signed long. No shuffle."""
     def rows(batches) -> Iterator[pa.RecordBatch]:
