@@ -37,3 +37,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if f"{scratch_root(spark).split(':')[-1].lstrip('/')}/quillstack-" in folder:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
