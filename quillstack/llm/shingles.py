@@ -5,8 +5,8 @@ Fingerprints within a few bits, found by the generalised pigeonhole search, prop
 all sets of a similarity of 0.8, so shared rare shingles propose the rest: two sets that are similar enough share one of
 the rarest shingles of either, as far as the similarity lets these differ. Every pair is verified on the whole sets. Of
 a meeting place, classes are compared with one hub first, and then only those that are not yet in the hub's component
-with the others, as long as their numbers of shingles that nobody else has let them be similar; so a group of near
-copies doesn't become all its pairs.
+with the others. Numbers of shingles that nobody else has, and bitmaps whose differing bits count shingles that differ,
+rule pairs out inside the join; so a group of near copies doesn't become all its pairs.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 
 from quillstack.llm.common import components, map_texts, materialise
 from quillstack.llm.simhash import keep_least, links, majority, shingle_hashes
+from quillstack.scratch import discard
 
 WORDS, SIMILARITY, LIMIT = 5, 0.8, 3
 #: Sets of similarity s meet with probability 1 - (1 - s ** ROWS) ** BANDS: all but 3 in a million at 0.8.
 BANDS, ROWS = 24, 4
 #: Bits of the filter that leaves most sets without a partner out of the shuffle; 64 a row on the driver.
 FILTER = 1 << 24
+#: Words of 64 bits in a set's bitmap.
+MAP = 8
 #: Bytes of sets in one Arrow batch.
 BATCH = 8 << 20
 _factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,10 +91,38 @@ def rare(sets: DataFrame, similarity: float) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("shared") - F.ceil(similarity * F.col("n") - 1e-9) + 1).select("token", "key", "n", F.col("shared").cast("int").alias("shared"))
 
 
-def _possible(similarity: float, a: str = "", b: str = "other_"):
-    """Whether the shingles that others have too let two sets be that similar."""
-    both = F.least(f"{a}shared", f"{b}shared")
-    return both >= similarity / (1 + similarity) * (F.col(f"{a}n") + F.col(f"{b}n")) - 1e-9
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes that fall on each bit: two sets differ in at least as many hashes as bitmaps do in bits."""
+    odd = np.bincount((found & np.uint64(64 * MAP - 1)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _possible(similarity: float):
+    """Whether what two sets share with any other, and how their bitmaps differ, let them be that similar."""
+    total = F.col("n") + F.col("other_n")
+    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"other_m{i}"))) for i in range(1, MAP)), F.bit_count(F.col("m0").bitwiseXOR(F.col("other_m0"))))
+    return (F.least("shared", "other_shared") >= similarity / (1 + similarity) * total - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-9)
+
+
+def _partners(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys that meet another in a band, of a size that lets them be similar; rows come sorted by band, size and key."""
+        last: tuple[int, int, int] | None = None
+        said = True  # whether the last key has been given out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band, n, key = (c.to_numpy() for c in b.columns)
+            if last:
+                band, n, key = (np.append(x, y) for x, y in zip(last, (band, n, key), strict=True))
+            close = (band[1:] == band[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-9)
+            hit = np.append(False, close) | np.append(close, False)
+            if last and said:
+                hit[0] = False
+            said = bool(hit[-1]) or bool(last and said and len(band) == 1)
+            last = (band[-1], n[-1], key[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit])], names=["key"])
+    return run
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -127,21 +158,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = materialise(shingled(docs, id_col, text_col, words), "shingles")
     classes = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
-    met = classes.where("n > 0").select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    word = F.shiftright("band", 6).bitwiseAND(FILTER // 64 - 1)
-    bits = met.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(band & 63 AS INT))")).alias("v"))
+    met = classes.where("n > 0").select(F.explode("bands").alias("band"), "n", "key")
+    met = met.repartition("band").sortWithinPartitions("band", "n", "key").mapInArrow(_partners(similarity), "key long")
+    word = F.shiftright("key", 6).bitwiseAND(FILTER // 64 - 1)
+    bits = met.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS INT))")).alias("v"))
     filled = np.zeros(FILTER // 64, np.int64)
     for w, v in bits.toLocalIterator():  # FILTER / 64 rows at most
         filled[w] = v
     shared = spark.sparkContext.broadcast(filled)
+    maps = [f"m{i}" for i in range(MAP)]
 
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = b.column("bands").flatten().to_numpy().reshape(-1, BANDS)
-            there = (shared.value[found >> 6 & FILTER // 64 - 1] >> (found & 63) & 1).any(axis=1)
-            yield b.select(["key", "fp", "n", "hashes"]).filter(pa.array(there))
+            k = b.column("key").to_numpy()
+            b = b.filter(pa.array((shared.value[k >> 6 & FILTER // 64 - 1] >> (k & 63) & 1).astype(bool)))
+            found = np.array([bitmap(np.frombuffer(h, "<u8")) for h in b.column("hashes").to_pylist()], np.int64).reshape(-1, MAP)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[:, i].copy()) for i in range(MAP))], names=["key", "fp", "n", "hashes", *maps])
 
-    sets = rows.where("n > 0").select("key", "fp", "n", "hashes", "bands").mapInArrow(partnered, "key long, fp long, n int, hashes binary").dropDuplicates(["key"])
+    schema = "key long, fp long, n int, hashes binary, " + ", ".join(f"{m} long" for m in maps)
+    sets = rows.where("n > 0").select("key", "fp", "n", "hashes").mapInArrow(partnered, schema).dropDuplicates(["key"])
     sets = materialise(sets, "sets")
 
     # fingerprints: classes of one fingerprint with the least of them, and these as the pigeonhole search links them
@@ -156,33 +191,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = hubs.select("token", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in fields))
 
     def named(reached: DataFrame) -> DataFrame:
-        """Places with the components that are known so far."""
-        label = reached.select(F.col("node").alias("key"), "component")
-        return materialise(places.join(label, "key", "left").select("token", "key", "n", "shared", F.coalesce("component", "key").alias("component")), "named")
+        """Places with bitmaps and the components that are known so far."""
+        label = sets.select("key", *maps).join(reached.select(F.col("node").alias("key"), "component"), "key", "left")
+        return materialise(places.join(label, "key").select("token", *fields, *maps, F.coalesce("component", "key").alias("component")), "named")
 
     def apart(now: DataFrame) -> DataFrame:
         """Members of each place that aren't in its hub's component, with hub."""
-        hub = hubs.join(now.select("token", F.col("key").alias("other_key"), F.col("component").alias("other_component")), ["token", "other_key"])
+        hub = hubs.join(now.select("token", *(F.col(c).alias(f"other_{c}") for c in ("key", "component", *maps))), ["token", "other_key"])
         return now.join(hub, "token").where("component <> other_component")
 
     for whole in (False, True):
         reached = components(linked)
         now = named(reached)
         if whole:  # those apart with all of the hub's component, and with one another
-            others = now.select("token", *(F.col(c).alias(f"other_{c}") for c in (*fields, "component")))
-            rest = apart(now).select("token", *fields, "component", F.col("other_component").alias("main"))
+            others = now.select("token", *(F.col(c).alias(f"other_{c}") for c in (*fields, *maps, "component")))
+            rest = apart(now).select("token", *fields, *maps, "component", F.col("other_component").alias("main"))
             found = rest.join(others, "token").where((F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("key") < F.col("other_key"))))
         else:
             found = apart(now)
         more = materialise(_verified(_pairs(found.where(_possible(similarity))), sets, similarity), "links")
         linked = linked.union(more)
+        discard(now)
     if more.limit(1).count():
         reached = components(linked)
 
     joined = classes.join(reached, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     joined = materialise(joined, "joined")
     names = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return rows.select("doc_id", "key").join(joined.join(names, "component").select("key", "component_id"), "key", "left").select("doc_id", "key", "component_id")
+    found = rows.select("doc_id", "key").join(joined.join(names, "component").select("key", "component_id"), "key", "left").select("doc_id", "key", "component_id")
+    found = materialise(found, "found")
+    discard(rows, classes, sets, places, joined)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
