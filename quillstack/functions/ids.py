@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The alphabet, look-alikes of each letter, and look-alikes of hexadecimal digits.
+# The alphabet, look-alikes of each character, and look-alikes of hexadecimal digits.
 ALPHABET = "34679ACDEFGHJKLMNPQRTUVWXY"
-LOOKALIKES = {"0": "ODQC", "1": "LTJ", "2": "Z7", "5": "S6", "8": "B369", "Z": "27", "B": "836ER", "S": "56"}
+LOOKALIKES = {
+    "0": "ODQC", "1": "LTJ", "2": "Z7", "5": "S6", "8": "B369", "Z": "27", "B": "836ER", "S": "56", "O": "0DQ", "I": "1LT",
+    "3": "89E", "4": "AH", "6": "G85", "7": "T2Y", "9": "P86", "A": "4HR", "D": "0OQ", "E": "F3B", "F": "EP", "G": "6CQ", "H": "A4MN", "K": "XR",
+    "M": "NHW", "N": "MH", "P": "RF9", "Q": "0OD", "R": "PKA", "T": "7Y1", "U": "VW", "V": "UY", "W": "MV", "X": "KY", "Y": "VT7",
+}
+DIGITS = "0123456789ABCDEFGHIJKLMNOP"
 HEX_FROM, HEX_TO = "OoIl|!іІSsGg", "001111115566"
 PAYLOAD, CHECK = 8, 3
 SPAN = 26 ** PAYLOAD
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value computed once and named, so that nested uses don't multiply the expression."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _letter(n: Column) -> Column:
     return F.substring(F.lit(ALPHABET), (n % 26 + 1).cast("int"), F.lit(1))
 
@@ -32,10 +33,6 @@ def value_at(code: Column, i: int) -> Column:
 
 def checksum(payload: Column) -> Column:
     """Three letters: sums of the letters' values, plain and with two weights by place."""
-    return let(payload, _checksum)
-
-
-def _checksum(payload: Column) -> Column:
     v = [F.when(F.length(payload) > i, value_at(payload, i)).otherwise(0) for i in range(PAYLOAD)]
     plain = sum(v[1:], v[0])
     second = sum((x * (i + 3) for i, x in enumerate(v[1:], 1)), v[0] * 3)
@@ -45,8 +42,8 @@ def _checksum(payload: Column) -> Column:
 
 def payload_of(number: Column) -> Column:
     """Eight letters for a 40-bit number; one that needs nine loses its last, as ids have always been written."""
-    short = F.when(number >= SPAN, F.floor(number / 26)).otherwise(number).cast("long")
-    return let(short, lambda n: F.concat(*(_letter(F.floor(n / 26 ** k).cast("long")) for k in range(PAYLOAD - 1, -1, -1))))
+    short = F.when(number >= SPAN, F.floor(number / 26)).otherwise(number).cast("string")
+    return F.translate(F.lpad(F.conv(short, 10, 26), PAYLOAD, "0"), DIGITS, ALPHABET)
 
 
 def dashed(code: Column) -> Column:
@@ -61,12 +58,14 @@ def encode(uuid: Column) -> Column:
     """XXXX-XXXX-XXX from the first ten hexadecimal digits of a uuid."""
     prefix = F.substring(F.lower(F.replace(uuid, F.lit("-"), F.lit(""))), 1, 10)
     payload = payload_of(F.conv(prefix, 16, 10).cast("long"))
-    return let(payload, lambda p: dashed(F.concat(p, _checksum(p))))
+    return dashed(F.concat(payload, checksum(payload)))
 
 
 def is_valid(code: Column) -> Column:
     """Whether 11 letters of the alphabet end in the checksum of the first eight."""
-    return F.coalesce(let(plain(code), lambda c: c.rlike(f"^[{ALPHABET}]{{11}}$") & (F.substring(c, 9, 3) == checksum(F.substring(c, 1, 8)))), F.lit(False))
+    c = plain(code)
+    # a product, not a conjunction: both sides are always computed, so that what they share is computed once
+    return F.coalesce(c.rlike(f"^[{ALPHABET}]{{11}}$").cast("int") * (F.substring(c, 9, 3) == checksum(F.substring(c, 1, 8))).cast("int") == 1, F.lit(False))
 
 
 def is_code(block_id: Column) -> Column:
@@ -76,13 +75,13 @@ def is_code(block_id: Column) -> Column:
 
 def decode(code: Column) -> Column:
     """Ten hexadecimal digits of a valid code, else null."""
-    number = let(plain(code), lambda c: sum((value_at(c, i).cast("long") * 26 ** (PAYLOAD - 1 - i) for i in range(1, PAYLOAD)), value_at(c, 0).cast("long") * 26 ** (PAYLOAD - 1)))
-    return F.when(is_valid(code), F.lpad(F.lower(F.hex(number)), 10, "0"))
+    number = F.conv(F.translate(F.substring(plain(code), 1, PAYLOAD), ALPHABET, DIGITS), 26, 16)
+    return F.when(is_valid(code), F.lpad(F.lower(number), 10, "0"))
 
 
 def migrated(block_id: Column) -> Column:
     """The id as a code: as it is if it is one, else encoded."""
-    return let(block_id, lambda b: F.when(is_code(b), b).otherwise(encode(b)))
+    return F.when(is_code(block_id), block_id).otherwise(encode(block_id))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -109,29 +108,35 @@ def _checks(code: str) -> bool:
 
 
 def repaired(code: str | None, most: int = 3) -> str | None:
-    """The valid code closest to a damaged one: itself, one letter put in or taken out, or up to three look-alikes changed.
+    """The valid code closest to a damaged one: itself, one letter put in or taken out, or up to three characters changed.
 
-    The first found in alphabetical order of changes; null if there is none.
+    A character becomes one of its look-alikes; one without any that isn't in the alphabet, one of the alphabet's first
+    eight. The first found in alphabetical order of changes, with dashes; null if there is none.
     """
     c = (code or "").replace("-", "").replace(" ", "").upper()
+    with_dashes = lambda t: f"{t[:4]}-{t[4:8]}-{t[8:]}"
     if _checks(c):
-        return c
+        return with_dashes(c)
     if len(c) == PAYLOAD + CHECK - 1:
-        return next((t for i in range(len(c) + 1) for x in ALPHABET if _checks(t := c[:i] + x + c[i:])), None)
-    if len(c) == PAYLOAD + CHECK + 1:
-        return next((t for i in range(len(c)) if _checks(t := c[:i] + c[i + 1:])), None)
-    if len(c) != PAYLOAD + CHECK:
+        tries = (c[:i] + x + c[i:] for i in range(len(c) + 1) for x in ALPHABET)
+    elif len(c) == PAYLOAD + CHECK + 1:
+        tries = (c[:i] + c[i + 1:] for i in range(len(c)))
+    elif len(c) == PAYLOAD + CHECK:
+        tries = _changed(c, most)
+    else:
         return None
-    either = {a: sorted({b for b in LOOKALIKES.get(a, "") if b in ALPHABET} | {b for b, many in LOOKALIKES.items() if a in many and b in ALPHABET}) for a in set(c)}
+    return next((with_dashes(t) for t in tries if _checks(t)), None)
+
+
+def _changed(code: str, most: int) -> Iterator[str]:
+    either = [sorted(x for x in LOOKALIKES.get(c, "") if x in ALPHABET) or ([] if c in ALPHABET else list(ALPHABET[:8])) for c in code]
     for n in range(1, most + 1):
-        for places in combinations(range(len(c)), n):
-            for letters in product(*(either[c[p]] for p in places)):
-                t = list(c)
-                for p, x in zip(places, letters, strict=True):
-                    t[p] = x
-                if _checks(made := "".join(t)):
-                    return made
-    return None
+        for places in combinations([i for i, x in enumerate(either) if x], n):
+            for letters in product(*(either[i] for i in places)):
+                made = list(code)
+                for i, x in zip(places, letters, strict=True):
+                    made[i] = x
+                yield "".join(made)
 
 
 @F.pandas_udf(T.StringType())

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstack.functions.status import stripped
+
 
 def strip_thinking(text: Column) -> Column:
     """Without closed, unclosed and orphaned think blocks."""
     out = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
     out = F.regexp_replace(out, r"(?is)<think>.*$", "")
-    return F.regexp_replace(F.regexp_replace(out, r"(?is)^.*?</think>", ""), r"(?U)^\s+|\s+$", "")
+    return stripped(F.regexp_replace(out, r"(?is)^.*?</think>", ""))
 
 
 def sanitize_markdown(text: Column) -> Column:
     """Without image placeholders, at most one empty line in a row."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\[img:[^\]]*_img\]", ""), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"\[img:[^\]]*_img\]", ""), r"\n{3,}", "\n\n"))
 
 
 def strip_fence(text: Column) -> Column:
@@ -69,7 +71,7 @@ def html_to_markdown(html: Column) -> Column:
         out = F.regexp_replace(out, pattern, new)
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    return stripped(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
 def filled_prompt(prompt: Column, document: Column, page: Column, block: Column) -> Column:

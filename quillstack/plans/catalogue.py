@@ -69,7 +69,8 @@ def ocr_coverage_report(spark, sf_dir):
 @query(f"WITH {MARKED} SELECT doc_id, status, status <> 'success' AS needs_ocr FROM judged")
 def text_status(spark, sf_dir):
     """Statuses with tags cut by a pattern, which SQL can express too."""
-    return marked_documents(spark, sf_dir).select("doc_id", st.status(F.col("ocr_text"), False).alias("status"), st.needs_recognition(F.col("ocr_text"), F.lit(False), False).alias("needs_ocr"))
+    found = marked_documents(spark, sf_dir).select("doc_id", st.status(F.col("ocr_text"), False).alias("status"))
+    return found.select("doc_id", "status", (F.col("status") != "success").alias("needs_ocr"))
 
 
 @query()
@@ -100,14 +101,14 @@ codes AS (SELECT o_orderkey, uuid, n, p || substr('34679ACDEFGHJKLMNPQRTUVWXY',
 
 @query(f"WITH {CODES} SELECT o_orderkey, left(c, 4) || '-' || substr(c, 5, 4) || '-' || substr(c, 9, 3) AS code, true AS valid, lpad(lower(to_hex(n)), 10, '0') AS decoded FROM codes")
 def block_codes(spark, sf_dir):
-    code = ids.encode(F.col("uuid"))
-    return _uuids(spark, sf_dir).select("o_orderkey", code.alias("code"), ids.is_valid(code).alias("valid"), ids.decode(code).alias("decoded"))
+    coded = _uuids(spark, sf_dir).select("o_orderkey", ids.encode(F.col("uuid")).alias("code"))
+    return coded.select("o_orderkey", "code", ids.is_valid(F.col("code")).alias("valid"), ids.decode(F.col("code")).alias("decoded"))
 
 
 @query(f"WITH {CODES} SELECT o_orderkey, left(c, 4) || '-' || substr(c, 5, 4) || '-' || substr(c, 9, 3) AS code, left(c, 4) || '-' || substr(c, 5, 4) || '-' || substr(c, 9, 3) AS again FROM codes")
 def block_code_migration(spark, sf_dir):
-    code = ids.migrated(F.col("uuid"))
-    return _uuids(spark, sf_dir).select("o_orderkey", code.alias("code"), ids.migrated(code).alias("again"))
+    coded = _uuids(spark, sf_dir).select("o_orderkey", ids.migrated(F.col("uuid")).alias("code"))
+    return coded.select("o_orderkey", "code", ids.migrated(F.col("code")).alias("again"))
 
 
 @query()
