@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstack.functions.status import stripped
+from quillstack.functions.tables import within
 
 
 def strip_thinking(text: Column) -> Column:
@@ -61,8 +62,10 @@ def size_text(size: Column) -> Column:
 
 
 def html_to_markdown(html: Column) -> Column:
-    """Headings (two levels lower), emphasis, lists, links and paragraphs of plain html; other tags are dropped."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", "")
+    """Tables, headings (two levels lower), emphasis, code, lists, links and paragraphs of html; other tags are dropped."""
+    out = F.when(html.rlike(r"(?i)<table\b"), within(html)).otherwise(html)
+    out = F.regexp_replace(out, r"(?is)<(script|style)\b.*?</\1>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?is)<pre\b[^>]*>(.*?)</pre>", "\n```\n$1\n```\n"), r"(?is)<code\b[^>]*>(.*?)</code>", "`$1`")
     for level, mark in ((1, "####"), (2, "#####"), (3, "######"), (4, "######")):
         out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", f"\n{mark} $1\n\n")
     for pattern, new in ((r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)>", "**$1**"), (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)>", "*$1*"),

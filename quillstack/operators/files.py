@@ -96,3 +96,29 @@ def batches(keys: DataFrame, size: int = 1000) -> DataFrame:
     """(prefix, key, batch): keys in runs of ``size`` within their prefix, in order."""
     order = Window.partitionBy("prefix").orderBy("key")
     return keys.select("prefix", "key", F.floor((F.row_number().over(order) - 1) / size).alias("batch"))
+
+
+def of_node(files: DataFrame, node_id: str, file_type: str | None = None) -> DataFrame:
+    """A node's registered files, all or of one type, the newest first."""
+    found = files.where(F.col("node_id") == node_id)
+    return (found.where(F.col("file_type") == file_type) if file_type else found).orderBy(F.desc("created_at"), "r2_key")
+
+
+def first_of_type(files: DataFrame, file_type: str) -> DataFrame:
+    """(node_id, r2_key): each node's newest file of a type."""
+    of_type = files.where(F.col("file_type") == file_type)
+    return of_type.groupBy("node_id").agg(F.max_by("r2_key", F.struct("created_at", "r2_key")).alias("r2_key"))
+
+
+def under(listing: DataFrame, prefix: str, delimiter: str = "/") -> DataFrame:
+    """(name, objects, bytes, folder) right below a prefix: folders with what they hold, and objects."""
+    rest = F.substr("key", F.lit(len(prefix) + 1))
+    folder = F.instr(rest, delimiter) > 0
+    name = F.concat(F.lit(prefix), F.substring_index(rest, delimiter, 1), F.when(folder, delimiter).otherwise(""))
+    return listing.where(F.col("key").startswith(prefix)).groupBy(name.alias("name"), folder.alias("folder")).agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
+
+
+def renamed(listing: DataFrame, old: str, new: str) -> DataFrame:
+    """Objects under a prefix moved to another; the rest stays."""
+    moved = F.concat(F.lit(new), F.substr("key", F.lit(len(old) + 1)))
+    return listing.withColumn("key", F.when(F.col("key").startswith(old), moved).otherwise(F.col("key")))

@@ -72,3 +72,39 @@ def transition(status: Column, action: str) -> Column:
 def back_off(errors: Column, base: float = 15.0, most: float = 180.0) -> Column:
     """Seconds to the next poll after so many errors in a row."""
     return F.when(errors > 0, F.least(base * F.pow(F.lit(2.0), F.least(errors - 1, F.lit(3))), F.lit(most))).otherwise(F.lit(base))
+
+
+def listed(jobs: DataFrame, statuses: tuple[str, ...] | None = None, node: str | None = None) -> DataFrame:
+    """Jobs of these statuses and this node, the most urgent and then the newest first as their place says."""
+    found = jobs.where(F.col("status").isin(*statuses)) if statuses else jobs
+    found = found.where(F.col("node_id") == node) if node else found
+    return found.orderBy("priority", F.desc("created_at"), F.desc("id"))
+
+
+def without(jobs: DataFrame, files: DataFrame, settings: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs, their files and their settings without those of the ids in ``gone`` (id)."""
+    of_job = gone.select(F.col("id").alias("job_id"))
+    return jobs.join(gone.select("id"), "id", "left_anti"), files.join(of_job, "job_id", "left_anti"), settings.join(of_job, "job_id", "left_anti")
+
+
+def retried(jobs: DataFrame, ids: DataFrame, reset: bool = False) -> DataFrame:
+    """Jobs with one more retry, or none, for the ids."""
+    hit = jobs.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    count = F.lit(0) if reset else F.coalesce("retry_count", F.lit(0)) + 1
+    return hit.withColumn("retry_count", F.when(F.col("_hit"), count).otherwise(F.col("retry_count"))).drop("_hit")
+
+
+def started(jobs: DataFrame, at: Column) -> DataFrame:
+    """Jobs that are processed, with a start if they had none."""
+    return jobs.withColumn("started_at", F.when(F.col("status") == "processing", F.coalesce("started_at", at)).otherwise(F.col("started_at")))
+
+
+def counts(jobs: DataFrame) -> DataFrame:
+    """(status, n): how many jobs there are of each status."""
+    return jobs.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def has_room(jobs: DataFrame, most: int = 100) -> DataFrame:
+    """(active, room): queued and processed jobs, and whether the queue takes another."""
+    n = F.count_if(F.col("status").isin("queued", "processing"))
+    return jobs.agg(n.alias("active"), (n < most).alias("room"))

@@ -118,3 +118,30 @@ def renumbered(tree: DataFrame) -> DataFrame:
 def repeated_names(tree: DataFrame) -> DataFrame:
     """Names that several siblings have."""
     return tree.groupBy("parent_id", "name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def children(tree: DataFrame, parent_id: str | None) -> DataFrame:
+    """A node's children, or the roots, in their order."""
+    here = F.col("parent_id").isNull() if parent_id is None else F.col("parent_id") == parent_id
+    return tree.where(here).orderBy("sort_order", "name", "id")
+
+
+def child_types(node_type: Column) -> Column:
+    """What may be created below a node: folders take both kinds, documents none."""
+    return F.when(node_type == "folder", F.array(F.lit("folder"), F.lit("document"))).otherwise(F.array().cast("array<string>"))
+
+
+def locked(tree: DataFrame, ids: DataFrame, lock: bool = True) -> DataFrame:
+    """Documents of these ids with is_locked set or cleared; other nodes stay."""
+    hit = tree.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    return hit.withColumn("is_locked", F.when(F.col("_hit") & (F.col("node_type") == "document"), lock).otherwise(F.coalesce("is_locked", F.lit(False)))).drop("_hit")
+
+
+def created(tree: DataFrame, new: DataFrame) -> DataFrame:
+    """The tree with new nodes (id, parent_id, node_type, name) below known ones, each after its last sibling."""
+    last = tree.groupBy("parent_id").agg(F.max("sort_order").alias("_last"))
+    after = Window.partitionBy("parent_id").orderBy("name", "id")
+    allowed = tree.where("node_type = 'folder'").select(F.col("id").alias("_parent"))
+    placed = new.join(allowed, F.col("parent_id") == F.col("_parent"), "left").where("_parent is not null or parent_id is null")
+    placed = placed.withColumn("_k", F.row_number().over(after)).join(last.withColumnRenamed("parent_id", "_p"), F.col("parent_id").eqNullSafe(F.col("_p")), "left")
+    return tree.unionByName(placed.select(*new.columns, (F.coalesce("_last", F.lit(-1)) + F.col("_k")).cast("int").alias("sort_order")), allowMissingColumns=True)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import geometry as geo
 from quillstack.functions import ids
+from quillstack.functions import responses as rs
 from quillstack.functions import status as st
+from quillstack.functions import tables as tb
 from quillstack.functions import texts as tx
 from quillstack.operators import blocks as bl
 from quillstack.operators import files as fi
@@ -573,3 +575,198 @@ def token_bucket(spark, sf_dir):
 @query(f"""WITH {EVENTS}, o AS (SELECT *, lag(ts) OVER (PARTITION BY job ORDER BY ts, seq) AS before FROM evs) SELECT job, seq, floor(epoch(ts - before))::bigint AS idle, floor(epoch(ts - before)) > 43200 AS suspect FROM o WHERE before IS NOT NULL""")
 def zombie_scan(spark, sf_dir):
     return ev.idle(b.events(spark, sf_dir), 43_200)
+
+
+def _responses(spark, sf_dir):
+    """Turns of conversations as a server's responses: plain, in parts, structured, in the reasoning, an error, reasoning alone."""
+    k, t = F.col("turn") % 6, F.col("text")
+    said = lambda content, reason="stop", thought=None: F.to_json(F.struct(F.array(F.struct(F.lit(reason).alias("finish_reason"), F.struct(content.alias("content"), (F.lit(None).cast("string") if thought is None else thought).alias("reasoning_content")).alias("message"))).alias("choices")))
+    part = lambda **fields: F.to_json(F.struct(*(v.alias(n) for n, v in fields.items())))
+    parts = F.concat(F.lit('{"choices":[{"finish_reason":"length","message":{"content":['), F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2), F.lit(","), part(text=F.concat(F.lit(" "), t)), F.lit(","), part(content=F.lit("end")), F.lit(",7]}}]}"))
+    html = F.concat(F.lit("<p>"), t, F.lit("</p>"))
+    thought = F.concat(F.lit("Title: Rooms list.\nNow <table><tr><td>"), t, F.lit("</td></tr></table>"))
+    response = F.when(k == 0, said(html)).when(k == 1, parts).when(k == 2, said(part(ocr_html=F.concat(F.lit(" "), html)))).when(k == 3, said(F.lit(""), thought=thought)).when(k == 4, F.lit('{"error":"busy"}')).otherwise(said(F.concat(F.lit("Let me see. "), t)))
+    return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", response.alias("response"))
+
+
+_REASONS = r"(?i)^(?:\d+\.\s+\*\*|(?:Let me|I need to|I will|I should|I see|I can|First[,.]|Looking at|Analyzing|The user|The input|The image|The document|The table|This is|This looks|Here |Now |OK |Sure |Based on|Alright|To (?:analyze|process|extract|transcribe))\b)"
+_CUT = "CASE WHEN regexp_matches(ltrim({0}), '" + _REASONS + "') THEN CASE WHEN regexp_matches({0}, '(?i)<(?:p|table|h[1-6]|div|ul|ol|span|br|hr|img)\\b') THEN regexp_extract({0}, '(?is)<(?:p|table|h[1-6]|div|ul|ol|span|br|hr|img)\\b.*') ELSE '' END ELSE {0} END"
+SAID = f"""said AS (SELECT conv_id, turn, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations),
+joined AS (SELECT *, array_to_string(list_filter([t, t, 'end'], lambda x: x <> ''), chr(10)) AS parts, regexp_replace('Let me see. ' || text, '\\s+$', '') AS thought FROM said),
+cut AS (SELECT conv_id, turn, text, {_CUT.format("parts")} AS parts, {_CUT.format("thought")} AS thought FROM joined)"""
+
+
+@query(f"""WITH {SAID}, x AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '<p>' || text || '</p>' WHEN 1 THEN CASE WHEN parts = '' THEN '' ELSE '[LENGTH_TRUNCATED]' || parts END WHEN 2 THEN '<p>' || text || '</p>'
+  WHEN 3 THEN '<div data-label="Section-Header"><h1>Rooms list</h1></div>' || chr(10) || '<table><tr><td>' || text || '</td></tr></table>' WHEN 4 THEN '[Ошибка: Chandra: некорректный ответ (busy)]' ELSE thought END AS text FROM cut)
+SELECT conv_id, turn, CASE WHEN text = '' THEN '[Ошибка: Chandra: пустой ответ модели]' ELSE text END AS text FROM x""")
+def parse_response(spark, sf_dir):
+    return rs.read(_responses(spark, sf_dir), "response", "text").select("conv_id", "turn", "text")
+
+
+@query(f"""WITH {SAID} SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '<p>' || text || '</p>' WHEN 1 THEN array_to_string(list_filter([t, t, 'end'], lambda x: x <> ''), chr(10)) WHEN 5 THEN regexp_replace('Let me see. ' || text, '\\s+$', '') ELSE '' END AS text
+FROM said WHERE turn % 6 NOT IN (2, 4)""")
+def message_text(spark, sf_dir):
+    message = F.get_json_object("response", "$.choices[0].message")
+    return _responses(spark, sf_dir).where("turn % 6 not in (2, 4)").select("conv_id", "turn", rs.message_text(message).alias("text"))
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'I need to read. ' || text WHEN 1 THEN 'Here <b>is</b> <p>' || text ELSE text END AS x FROM conversations) SELECT conv_id, turn, {_CUT.format("x")} AS text FROM m""")
+def strip_reasoning(spark, sf_dir):
+    k, t = F.col("turn") % 3, F.col("text")
+    said = F.when(k == 0, F.concat(F.lit("I need to read. "), t)).when(k == 1, F.concat(F.lit("Here <b>is</b> <p>"), t)).otherwise(t)
+    return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", rs.strip_untagged_reasoning(said).alias("text"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[CONTEXT_OVERFLOW]' END AS marker FROM conversations")
+def final_errors(spark, sf_dir):
+    code = F.when(F.col("turn") % 2 == 0, 400).otherwise(500)
+    return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", rs.final_error(code, F.concat(F.lit("exceeds the Context Size: "), "text")).alias("marker"))
+
+
+def _stamps(spark, sf_dir):
+    """Order lines as stamps' JSON; every third in a fence, every fifth broken."""
+    text = lambda c: F.col(c).cast("string")
+    line = F.col("line")
+    data = F.to_json(F.struct(
+        F.concat(F.lit("DOC-"), text("l_suppkey")).alias("document_code"), F.lit("").alias("stage"), text("line").alias("sheet_number"), F.when(line % 2 == 0, text("l_partkey")).alias("total_sheets"), F.col("l_linestatus").alias("project_name"),
+        F.array(F.struct(F.lit("1").alias("change_num"), F.lit(None).cast("string").alias("doc_num")), F.struct(text("line").alias("change_num"), F.when(line % 3 == 0, text("l_partkey")).alias("doc_num"))).alias("revisions"),
+        F.array(F.struct(F.col("l_returnflag").alias("role"), F.concat(F.lit("P"), text("l_suppkey")).alias("surname")), F.struct(F.lit("").alias("role"), F.lit("nobody").alias("surname"))).alias("signatures")))
+    told = F.when(line % 5 == 0, F.concat(F.lit("broken "), data)).when(line % 3 == 0, F.concat(F.lit("see ```json\n"), data, F.lit("\n``` there"))).otherwise(F.concat(F.lit(" "), data))
+    return b.lines(spark, sf_dir).select("l_orderkey", "line", told.alias("ocr_text"))
+
+
+STAMP_PARTS = LINES + """, parts AS (SELECT l_orderkey, line, [['Шифр', 'DOC-' || l_suppkey], ['Лист', line || CASE WHEN line % 2 = 0 THEN ' (из ' || l_partkey || ')' ELSE '' END], ['Объект', l_linestatus],
+  ['Статус', 'Изм. ' || line || CASE WHEN line % 3 = 0 THEN ' (Док. № ' || l_partkey || ')' ELSE '' END], ['Ответственные', l_returnflag || ': P' || l_suppkey]] AS p FROM li WHERE line % 5 <> 0)"""
+
+
+@query(f"WITH {STAMP_PARTS} SELECT l_orderkey, line, array_to_string(list_transform(p, lambda x: x[1] || ': ' || x[2]), ' | ') AS parts FROM parts")
+def stamp_parts(spark, sf_dir):
+    read = _stamps(spark, sf_dir).select("l_orderkey", "line", rs.parsed_json(F.col("ocr_text")).alias("data")).where("data is not null")
+    return rs.with_stamp_parts(read, "data", "parts").select("l_orderkey", "line", rs.stamp_line(F.col("parts")).alias("parts"))
+
+
+@query(f"WITH {LINES} SELECT l_orderkey, line, CASE WHEN line % 5 = 0 THEN 'suspicious' ELSE 'ok' END AS quality, line % 5 <> 0 AS found FROM li")
+def json_quality(spark, sf_dir):
+    read = _stamps(spark, sf_dir).withColumn("data", rs.parsed_json(F.col("ocr_text")))
+    return read.select("l_orderkey", "line", rs.json_quality(F.col("ocr_text"), F.col("data")).alias("quality"), F.col("data").isNotNull().alias("found"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'plan' ELSE '' END AS fragment_type, CASE WHEN p_size % 3 = 0 THEN p_type END AS zone_name, CASE WHEN p_size % 3 <> 0 THEN p_type END AS location_text, p_name AS content_summary,
+CASE WHEN p_size % 5 = 0 THEN [p_brand, p_name] ELSE []::varchar[] END AS key_entities, true AS is_image FROM part""")
+def image_ocr_fields(spark, sf_dir):
+    size = F.col("p_size")
+    place = F.when(size % 3 == 0, F.to_json(F.struct(F.col("p_type").alias("zone_name")))).otherwise(F.concat(F.lit('"'), "p_type", F.lit('"')))
+    entities = F.when(size % 5 == 0, F.to_json(F.array("p_brand", "p_name"))).otherwise(F.lit('"none"'))
+    data = F.concat(F.lit('{"location":'), place, F.lit(',"key_entities":'), entities, F.lit(',"content_summary":"'), "p_name", F.lit('"'), F.when(size % 2 == 0, F.lit(',"fragment_type":"plan"')).otherwise(""), F.lit("}"))
+    data = F.when(size % 7 == 0, F.concat(F.lit('{"analysis":'), data, F.lit("}"))).otherwise(data)
+    read = b.table(spark, sf_dir, "part").select("p_partkey", data.alias("data"))
+    read = read.select("p_partkey", rs.image_fields(F.col("data")).alias("f"), rs.is_image_json(F.col("data")).alias("is_image"))
+    return read.select("p_partkey", "f.fragment_type", "f.zone_name", "f.location_text", "f.content_summary", "f.key_entities", "is_image")
+
+
+@query("""SELECT p_partkey, '| Name | Size\\| |' || chr(10) || '|---|---|' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |' || chr(10) || '|  | ' || p_brand || ' ' || p_type || ' |' || chr(10) || '| wide |  |' AS markdown FROM part""".replace("\\\\", "\\"))
+def table_to_markdown(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string")
+    html = F.concat(F.lit("<table><tr><th>Name</th><th>Size|</th></tr><tr><td rowspan='2'>"), "p_name", F.lit("</td><td>"), text("p_size"), F.lit("</td></tr><tr><td><b>"), "p_brand", F.lit("</b><br/>"), "p_type", F.lit("</td></tr><tr><td colspan=2>wide</td></tr></table>"))
+    return b.table(spark, sf_dir, "part").select("p_partkey", tb.to_markdown(html).alias("markdown"))
+
+
+@query("""SELECT p_partkey, '<p>before &amp; on</p>' || chr(10) || '<table><thead><tr><th>Name</th><th>Size</th></tr></thead><tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr></tbody></table>' || chr(10) || '<p>' || p_brand || '</p>' AS html FROM part""")
+def md_table_to_html(spark, sf_dir):
+    text = F.concat(F.lit("before & on\n\n| Name | Size |\n|---|:--|\n| "), "p_name", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |\n"), "p_brand")
+    return b.table(spark, sf_dir, "part").select("p_partkey", tb.to_html(text).alias("html"))
+
+
+@query()
+def filter_mixed_text(spark, sf_dir):
+    """Documents with pictures and descriptions of them mixed in, cleaned; tests compare with plain Python."""
+    k = F.col("doc_id") % 3
+    text = F.concat(F.when(k == 0, F.lit('<div class="a" data-label="Image">x</div><img src="y">')).when(k == 1, F.lit("A photograph showing the residential building from the street ЖК ")).otherwise(""), "text")
+    clean = tb.without_images(text, F.when(F.col("doc_id") % 7 == 0, "qwen").otherwise("chandra"))
+    return b.table(spark, sf_dir, "documents").select("doc_id", clean.alias("c")).select("doc_id", "c.text", "c.removed_chars", "c.removed_image_segments")
+
+
+@query(f"WITH {EDGES} SELECT id, name FROM edges WHERE parent_id IS NULL")
+def root_nodes(spark, sf_dir):
+    return tr.children(b.edges(spark, sf_dir), None).select("id", "name")
+
+
+@query(f"WITH {EDGES} SELECT id, name, sort_order FROM edges WHERE parent_id = 'N3'")
+def node_children(spark, sf_dir):
+    return tr.children(b.edges(spark, sf_dir), "N3").select("id", "name", "sort_order")
+
+
+@query(f"WITH {EDGES} SELECT id, CASE WHEN node_type = 'folder' THEN ['folder', 'document'] ELSE []::varchar[] END AS allowed FROM edges")
+def allowed_child_types(spark, sf_dir):
+    return b.edges(spark, sf_dir).select("id", tr.child_types(F.col("node_type")).alias("allowed"))
+
+
+@query(f"WITH {EDGES} SELECT id, node_type = 'document' AND sort_order = 2 AS is_locked FROM edges")
+def lock_documents(spark, sf_dir):
+    nodes = b.edges(spark, sf_dir).withColumn("is_locked", F.lit(None).cast("boolean"))
+    return tr.locked(nodes, nodes.where("sort_order = 2")).select("id", "is_locked")
+
+
+@query(f"""WITH {EDGES}, last AS (SELECT parent_id, max(sort_order) AS n FROM edges GROUP BY 1) SELECT id, parent_id, sort_order FROM edges
+UNION ALL SELECT 'new' || e.id, e.id, coalesce(n, -1) + 1 FROM edges e LEFT JOIN last l ON l.parent_id = e.id WHERE e.node_type = 'folder' AND e.sort_order = 1""")
+def tree_create(spark, sf_dir):
+    nodes = b.edges(spark, sf_dir)
+    new = nodes.where("sort_order = 1").select(F.concat(F.lit("new"), "id").alias("id"), F.col("id").alias("parent_id"), F.lit("document").alias("node_type"), F.lit("a").alias("name"))
+    return tr.created(nodes, new).select("id", "parent_id", "sort_order")
+
+
+@query(f"WITH {JOBS} SELECT id, priority, created_at FROM jobs WHERE status IN ('queued', 'processing')")
+def job_list(spark, sf_dir):
+    return jo.listed(b.jobs(spark, sf_dir), ("queued", "processing")).select("id", "priority", "created_at")
+
+
+@query(f"WITH {JOBS} SELECT status, count(*) AS n FROM jobs GROUP BY 1")
+def job_status_counts(spark, sf_dir):
+    return jo.counts(b.jobs(spark, sf_dir))
+
+
+@query(f"WITH {JOBS} SELECT count(*) FILTER (status IN ('queued', 'processing')) AS active, count(*) FILTER (status IN ('queued', 'processing')) < 100 AS room FROM jobs")
+def queue_capacity(spark, sf_dir):
+    return jo.has_room(b.jobs(spark, sf_dir))
+
+
+@query(f"WITH {JOBS} SELECT id, CASE WHEN status = 'done' THEN retry_count ELSE retry_count + 1 END AS retry_count FROM jobs")
+def job_retry(spark, sf_dir):
+    jobs = b.jobs(spark, sf_dir)
+    return jo.retried(jobs, jobs.where("status <> 'done'")).select("id", "retry_count")
+
+
+@query(f"WITH {JOBS} SELECT id, CASE WHEN status = 'processing' THEN updated_at WHEN status = 'done' THEN created_at END AS started_at FROM jobs")
+def job_started(spark, sf_dir):
+    jobs = b.jobs(spark, sf_dir).withColumn("started_at", F.when(F.col("status") == "done", F.col("created_at")))
+    return jo.started(jobs, F.col("updated_at")).select("id", "started_at")
+
+
+@query(f"WITH {JOBS}, {FILES} SELECT f.node_id AS job_id, f.r2_key FROM files f WHERE 'J' || substr(f.node_id, 2) NOT IN (SELECT id FROM jobs WHERE status = 'done')")
+def job_delete(spark, sf_dir):
+    """Files that are left once finished jobs are deleted with theirs."""
+    jobs = b.jobs(spark, sf_dir)
+    files = b.files(spark, sf_dir).select(F.concat(F.lit("J"), F.expr("substr(node_id, 2)")).alias("job_id"), "node_id", "r2_key")
+    _, left, _ = jo.without(jobs, files, files.select("job_id"), jobs.where("status = 'done'"))
+    return left.select(F.col("node_id").alias("job_id"), "r2_key")
+
+
+@query(f"WITH {FILES} SELECT r2_key, file_type FROM files WHERE node_id = 'O1'")
+def node_files(spark, sf_dir):
+    return fi.of_node(b.files(spark, sf_dir), "O1").select("r2_key", "file_type")
+
+
+@query(f"WITH {FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY created_at DESC, r2_key DESC) AS k FROM files WHERE file_type = 'ocr_html') SELECT node_id, r2_key FROM r WHERE k = 1")
+def newest_file_of_type(spark, sf_dir):
+    return fi.first_of_type(b.files(spark, sf_dir), "ocr_html")
+
+
+@query(f"""WITH {LISTING}, u AS (SELECT *, substr(key, 11) AS rest FROM listing WHERE starts_with(key, 'tree_docs/'))
+SELECT 'tree_docs/' || split_part(rest, '/', 1) || CASE WHEN contains(rest, '/') THEN '/' ELSE '' END AS name, contains(rest, '/') AS folder, count(*) AS objects, sum(size)::bigint AS bytes FROM u GROUP BY 1, 2""")
+def list_with_delimiter(spark, sf_dir):
+    return fi.under(b.listing(spark, sf_dir), "tree_docs/")
+
+
+@query(f"WITH {LISTING} SELECT CASE WHEN starts_with(key, 'tree_docs/1/') THEN 'archive/one/' || substr(key, 13) ELSE key END AS key, size FROM listing")
+def rename_prefix(spark, sf_dir):
+    return fi.renamed(b.listing(spark, sf_dir), "tree_docs/1/", "archive/one/")
