@@ -17,6 +17,7 @@ from quillstack.operators import blocks as bl
 from quillstack.operators import files as fi
 from quillstack.operators import jobs as jo
 from quillstack.operators import tree as tr
+from quillstack.scratch import materialise
 from quillstack.sources import binding as b
 from quillstack.sources.binding import BLOCKS, EDGES, EVENTS, FILES, JOBS, LINES, LISTING, TREE
 from quillstack.streaming import events as ev
@@ -632,7 +633,8 @@ def _stamps(spark, sf_dir):
         F.array(F.struct(F.lit("1").alias("change_num"), F.lit(None).cast("string").alias("doc_num")), F.struct(text("line").alias("change_num"), F.when(line % 3 == 0, text("l_partkey")).alias("doc_num"))).alias("revisions"),
         F.array(F.struct(F.col("l_returnflag").alias("role"), F.concat(F.lit("P"), text("l_suppkey")).alias("surname")), F.struct(F.lit("").alias("role"), F.lit("nobody").alias("surname"))).alias("signatures")))
     told = F.when(line % 5 == 0, F.concat(F.lit("broken "), data)).when(line % 3 == 0, F.concat(F.lit("see ```json\n"), data, F.lit("\n``` there"))).otherwise(F.concat(F.lit(" "), data))
-    return b.lines(spark, sf_dir).select("l_orderkey", "line", told.alias("ocr_text"))
+    # written once, as optimising would else put its JSON into each use of the text
+    return materialise(b.lines(spark, sf_dir).select("l_orderkey", "line", told.alias("ocr_text")), "stamps")
 
 
 STAMP_PARTS = LINES + """, parts AS (SELECT l_orderkey, line, [['Шифр', 'DOC-' || l_suppkey], ['Лист', line || CASE WHEN line % 2 = 0 THEN ' (из ' || l_partkey || ')' ELSE '' END], ['Объект', l_linestatus],
