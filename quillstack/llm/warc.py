@@ -8,8 +8,6 @@ ordered by segment number, checked against the total length, and the chunked fra
 
 from __future__ import annotations
 
-import gzip
-import io
 import re
 import uuid
 import zlib
@@ -72,7 +70,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     if page_id is not None:
         own.append(("X-Page-ID", page_id))
     if is_revisit:
-        yield record([("WARC-Type", "revisit"), ("WARC-Profile", REVISIT), ("X-Refers-To-Page-ID", refers_to), *own], HTTP)
+        yield record([("WARC-Type", "revisit"), ("WARC-Profile", REVISIT), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", refers_to), *own], HTTP)
         return
     block = HTTP + chunked(payload)
     if len(block) <= segment:
@@ -125,25 +123,66 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows.mapInArrow(build, "archive binary").select(F.col("archive").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of an archive; raises ValueError where one is broken."""
+def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(bytes, error) of each gzip member, in one pass; a broken one has what could be read. Data that isn't gzip is one member."""
+    at, magic = 0, b"\x1f\x8b\x08"
+    if not data.startswith(magic):
+        yield data, None
+        return
+    while at < len(data):
+        if not data.startswith(magic, at):
+            after = data.find(magic, at)
+            if data[at:after if after >= 0 else len(data)].strip(b"\0"):  # zeros between or after members mean nothing
+                yield b"", "bytes that no archive member has"
+            if after < 0:
+                return
+            at = after
+        unpack, out, read = zlib.decompressobj(31), [], at
+        try:
+            while not unpack.eof and read < len(data):
+                out.append(unpack.decompress(data[read:read + (1 << 16)]))
+                read += 1 << 16
+        except zlib.error as e:
+            yield b"".join(out), str(e)
+            at = data.find(magic, at + 1)
+            if at < 0:
+                return
+            continue
+        yield b"".join(out), None if unpack.eof else "an archive member is cut off"
+        at = min(read, len(data)) - len(unpack.unused_data)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers with lower-case names, block, error) of each record; after a broken one, on with the next line that begins a record."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
+        headers, error, size = {}, None, 0
         if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError("a record has no header")
-        lines = data[at:end].decode().split("\r\n")[1:]
-        headers = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines)}
-        size, at = int(headers["content-length"]), end + 4
-        if data[at + size:at + size + 4] != b"\r\n\r\n":
-            raise ValueError("a block is shorter or longer than its header says")
-        yield headers, data[at:at + size]
-        at += size + 4
+            error, end = "a record has no header", at
+        else:
+            lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+            length = headers.get("content-length", "")
+            if not length.isdecimal():
+                error = "a record doesn't say its length"
+            else:
+                size, end = int(length), end + 4
+                if data[end + size:end + size + 4] != b"\r\n\r\n":
+                    error = "a block is shorter or longer than its header says"
+        yield headers, data[end:end + size] if error is None else b"", error
+        if error is None:
+            at = end + size + 4
+        else:
+            at = data.find(b"\r\nWARC/", max(at, 1))
+            if at < 0:
+                return
+            at += 2
 
 
 def body_of(block: bytes) -> bytes:
     head, _, body = block.partition(b"\r\n\r\n")
-    return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    return dechunked(body) if re.search(rb"(?i)transfer-encoding:\s*chunked", head) else body
 
 
 def _number(text: str | None) -> int | None:
@@ -151,16 +190,22 @@ def _number(text: str | None) -> int | None:
 
 
 def _parsed(data: bytes) -> Iterator[tuple]:
-    for h, block in parse(data):
-        kind, segment = h["warc-type"], _number(h.get("warc-segment-number"))
-        payload, error = block, None
-        if segment is None:
+    for h, block, error in parse(data):
+        kind, payload = h.get("warc-type"), block
+        try:
+            segment, total = _number(h.get("warc-segment-number")), _number(h.get("warc-segment-total-length"))
+            page, refers, length = _number(h.get("x-page-id")), _number(h.get("x-refers-to-page-id")), _number(h.get("x-payload-length"))
+        except ValueError as e:
+            segment = total = page = refers = length = None
+            error = error or str(e)
+        if error:
+            segment, payload = None, None
+        elif segment is None:
             try:
                 payload = None if kind == "revisit" else body_of(block)
             except ValueError as e:
                 payload, error = None, str(e)
-        yield (h.get("warc-segment-origin-id", h["warc-record-id"]), segment, _number(h.get("warc-segment-total-length")), _number(h.get("x-page-id")),
-               kind, _number(h.get("x-refers-to-page-id")), h.get("warc-payload-digest", "").rpartition(":")[2] or None, _number(h.get("x-payload-length")), payload, error)
+        yield (h.get("warc-segment-origin-id", h.get("warc-record-id")), segment, total, page, kind, refers, h.get("warc-payload-digest", "").rpartition(":")[2] or None, length, payload, error)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -173,11 +218,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data in b.column(0):
             held, size = [], 0
-            # reads member by member; gzip.decompress would copy the rest of the archive for each
-            whole = gzip.GzipFile(fileobj=io.BytesIO(data.as_py())).read()
-            for row in _parsed(whole):
-                held.append(row)
-                size += len(row[8] or b"")
+            for whole, broken in members(data.as_py()):
+                found = list(_parsed(whole))
+                if broken:  # what its last record says can't be trusted
+                    found = [*found[:-1], (*((found[-1] if found else (None,) * 10)[:8]), None, broken)]
+                    found[-1] = (found[-1][0], None, *found[-1][2:])
+                for row in found:
+                    held.append(row)
+                    size += len(row[8] or b"")
                 if size > 4 << 20:
                     yield _rows(held)
                     held, size = [], 0
@@ -207,7 +255,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per page record: page_id, record_type, refers_to, payload_digest and payload_bytes as its header says,
     payload (null for revisits and broken records), error (null if whole).
 
-    Records in one piece are decoded where they are read; only segments are shuffled, and a group is one payload.
+    A record or an archive member that is broken is a row with an error, and reading goes on after it. Foreign archives
+    without the X- headers have null page ids and lengths. Records in one piece are decoded where they are read; only segments are shuffled, and a group is one payload.
     """
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, PARSED)
     names = [x.split()[0] for x in PARSED.split(", ")]

@@ -120,12 +120,16 @@ def test_personal_data_query_and_redaction(spark, sf_dir, empty):
 def test_url_rules_and_terms(spark):
     cases = {"http://a.example.org/es/x": ("a.example.org", "/es/x", "example.org/es/", "block"), "https://x.org/en/1?q": ("x.org", "/en/1", "org/", "allow"),
              "http://Example.ORG/en/12": ("example.org", "/en/12", "example.org/en/1", "block"), "http://b.com/de/1#f": ("b.com", "/de/1", "com/de/", "block"),
-             "http://casino-win.net/en": ("casino-win.net", "/en", None, "block"), "http://casinos.net": ("casinos.net", "", None, "allow"),
-             "http://free.net/bets": ("free.net", "/bets", None, "block"), "http://free.net/free": ("free.net", "/free", None, "allow"),
+             "http://casino-win.net/en": ("casino-win.net", "/en", None, "block"), "http://casinoz.net": ("casinoz.net", "", None, "allow"),
+             "http://free.net/bets": ("free.net", "/bets", None, "block"), "http://a.net/%20p%6Frn": ("a.net", "/%20p%6Frn", None, "block"), "http://a.net/x%25%zz%C3porn": ("a.net", "/x%25%zz%C3porn", None, "allow"),
+             "http://a.net/keygen": ("a.net", "/keygen", None, "allow"), "http://free.net/free": ("free.net", "/free", None, "allow"),
              "http://a.org?x=/": ("a.org", "", None, "allow"), "no host": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow")}
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(cases)], "page_id long, url string, verdict string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()}
     assert got == dict(enumerate(cases.values()))
+    strict, soft = urls.vocabulary(spark.createDataFrame([("Zebra", None), ("ant", 0.5), ("bee", 1.0)], "term string, weight double"))
+    own = spark.createDataFrame([(1, "http://a.net/zebra"), (2, "http://a.net/ant/bee"), (3, "http://a.net/porn"), (None, "http://a.net/ant")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(own.union(own), strict=strict, soft=soft, soft_limit=1.5).collect()} == {1: "block", 2: "block", 3: "allow", None: "allow"}
 
 
 def test_archives_round_trip(spark):
@@ -161,6 +165,22 @@ def test_broken_segments_are_told():
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_broken_archives_have_error_rows(spark, tmp_path):
+    pack = lambda r: (lambda c: c.compress(r) + c.flush())(zlib.compressobj(1, zlib.DEFLATED, 31))
+    good = [pack(next(warc.records(i, "u", b"payload %d" % i, "d", None, False, warc.SEGMENT))) for i in range(3)]
+    plain = next(warc.records(9, "u", b"x", "d", None, False, warc.SEGMENT))
+    made = {"bad_member": good[0] + good[1][:20] + b"?" * 9 + good[1][29:] + good[2], "cut": good[0] + good[1][:-9], "no_blank": pack(plain.replace(b": ", b":", 5)), "zeros": good[0] + b"\0" * 9,
+            "short": pack(plain.replace(b"Content-Length: ", b"Content-Length: 9")) + good[1], "no_gzip": plain + b"junk\r\n" + plain, "empty": b"", "number": pack(plain.replace(b"X-Page-ID: 9", b"X-Page-ID: nine")) + good[2]}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    got = {n: sorted((str(r.page_id), r.error is None) for r in warc.read_archives(spark, f"{tmp_path}/{n}").collect()) for n in made}
+    ok = lambda *ids: [(str(i), True) for i in ids]
+    assert got["bad_member"][0] == ("0", True) and ("2", True) in got["bad_member"] and not all(x[1] for x in got["bad_member"])
+    assert got["cut"][0] == ("0", True) and len(got["cut"]) == 2 and not got["cut"][1][1]
+    assert got["no_blank"] == ok(9) and got["zeros"] == ok(0) and got["empty"] == []
+    assert got["short"] == [("1", True), ("9", False)] and got["no_gzip"] == [*ok(9, 9), ("None", False)] and got["number"] == [("2", True), ("None", False)]
+
+
 def test_words_of_the_packer_equal_the_library():
     path = public_tokenizers.path(packing.TOKENIZER)
     tok, words = Tokenizer.from_file(path), packing.Words(path)
