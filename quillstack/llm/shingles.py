@@ -97,11 +97,15 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _possible(similarity: float):
-    """Whether what two sets share with any other, and how their bitmaps differ, let them be that similar."""
-    total = F.col("n") + F.col("other_n")
+def _shared(similarity: float):
+    """Whether what two sets share with any other lets them be that similar."""
+    return F.least("shared", "other_shared") >= similarity / (1 + similarity) * (F.col("n") + F.col("other_n")) - 1e-9
+
+
+def _alike(similarity: float):
+    """Whether the bits in which their bitmaps differ let two sets be that similar."""
     differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"other_m{i}"))) for i in range(1, MAP)), F.bit_count(F.col("m0").bitwiseXOR(F.col("other_m0"))))
-    return (F.least("shared", "other_shared") >= similarity / (1 + similarity) * total - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-9)
+    return differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("other_n")) + 1e-9
 
 
 def _partners(similarity: float):
@@ -191,27 +195,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = hubs.select("token", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in fields))
 
     def named(reached: DataFrame) -> DataFrame:
-        """Places with bitmaps and the components that are known so far."""
-        label = sets.select("key", *maps).join(reached.select(F.col("node").alias("key"), "component"), "key", "left")
-        return materialise(places.join(label, "key").select("token", *fields, *maps, F.coalesce("component", "key").alias("component")), "named")
+        """Places with the components that are known so far."""
+        label = reached.select(F.col("node").alias("key"), "component")
+        return materialise(places.join(label, "key", "left").select("token", *fields, F.coalesce("component", "key").alias("component")), "named")
 
     def apart(now: DataFrame) -> DataFrame:
         """Members of each place that aren't in its hub's component, with hub."""
-        hub = hubs.join(now.select("token", *(F.col(c).alias(f"other_{c}") for c in ("key", "component", *maps))), ["token", "other_key"])
+        hub = hubs.join(now.select("token", *(F.col(c).alias(f"other_{c}") for c in ("key", "component"))), ["token", "other_key"])
         return now.join(hub, "token").where("component <> other_component")
 
     for whole in (False, True):
         reached = components(linked)
         now = named(reached)
-        if whole:  # those apart with all of the hub's component, and with one another
-            others = now.select("token", *(F.col(c).alias(f"other_{c}") for c in (*fields, *maps, "component")))
-            rest = apart(now).select("token", *fields, *maps, "component", F.col("other_component").alias("main"))
-            found = rest.join(others, "token").where((F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("key") < F.col("other_key"))))
-        else:
-            found = apart(now)
-        more = materialise(_verified(_pairs(found.where(_possible(similarity))), sets, similarity), "links")
+        found = apart(now).where(_shared(similarity))
+        if whole:  # those apart with all of the hub's component, and with one another; bitmaps go only where such are
+            rest = materialise(apart(now).select("token", *fields, "component", F.col("other_component").alias("main")), "rest")
+            others = now.join(rest.select("token").distinct(), "token", "left_semi").join(sets.select("key", *maps), "key")
+            others = others.select("token", *(F.col(c).alias(f"other_{c}") for c in (*fields, *maps, "component")))
+            found = rest.join(sets.select("key", *maps), "key").join(others, "token").where(
+                (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("key") < F.col("other_key"))) & _shared(similarity) & _alike(similarity))
+        more = materialise(_verified(_pairs(found), sets, similarity), "links")
         linked = linked.union(more)
-        discard(now)
+        discard(now, *([rest] if whole else []))
     if more.limit(1).count():
         reached = components(linked)
 
