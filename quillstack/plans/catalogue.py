@@ -561,15 +561,35 @@ def session_sync(spark, sf_dir):
     return ev.sessions(b.events(spark, sf_dir), "6 hours")
 
 
-@query()
+NUMBERED = EVENTS + ", e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY job ORDER BY ts, seq) AS k FROM evs)"
+JUDGED = NUMBERED + """, judged AS (SELECT job, ts, seq, status, progress, k, true AS written, status AS s, progress AS p, us AS t FROM e WHERE k = 1
+  UNION ALL SELECT job, ts, seq, status, progress, k, w, CASE WHEN w THEN status ELSE s END, CASE WHEN w THEN progress ELSE p END, CASE WHEN w THEN us ELSE t END
+  FROM (SELECT e.*, j.s, j.p, j.t, e.status = 'purchase' OR e.status <> j.s OR e.us - j.t >= 3000000 OR abs(e.progress - j.p) >= 0.05 AS w FROM judged j JOIN e ON e.job = j.job AND e.k = j.k + 1) n)"""
+
+
+@query(f"WITH RECURSIVE {JUDGED} SELECT job, ts, seq, status, progress FROM judged WHERE written")
 def debounce_updates(spark, sf_dir):
-    """Updates a job's status row gets from its events; tests compare with a plain loop."""
-    return ev.debounced(b.events(spark, sf_dir))
+    """Updates a job's status row gets from its events."""
+    return ev.debounced(b.events(spark, sf_dir), b.ENDS)
 
 
-@query()
+@query(f"WITH RECURSIVE {JUDGED}, l AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY k DESC) AS back FROM judged) SELECT job, ts, seq, status, progress FROM l WHERE back = 1 AND NOT written")
+def debounce_pending(spark, sf_dir):
+    """Updates that are written when the job's updater is flushed."""
+    return ev.pending(b.events(spark, sf_dir), b.ENDS)
+
+
+@query(f"WITH RECURSIVE {JUDGED} SELECT job, count(*) FILTER (written) AS written, count(*) FILTER (NOT written) AS skipped FROM judged GROUP BY job")
+def debounce_stats(spark, sf_dir):
+    return ev.debounce_stats(b.events(spark, sf_dir), b.ENDS)
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, taken AS (SELECT job, seq, k, us, true AS passes, 1.0::double AS tokens FROM e WHERE k = 1
+  UNION ALL SELECT job, seq, k, us, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END
+  FROM (SELECT e.*, least(2.0::double, x.tokens + (e.us - x.us)::double / 1000000::double / 86400::double * 2::double) AS t FROM taken x JOIN e ON e.job = x.job AND e.k = x.k + 1) n)
+SELECT job, seq, passes FROM taken""")
 def token_bucket(spark, sf_dir):
-    """Which requests of a job a bucket of tokens lets pass; tests compare with a plain loop."""
+    """Which requests of a job a bucket of tokens lets pass."""
     return ev.rate_limited(b.events(spark, sf_dir))
 
 

@@ -99,6 +99,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.least(F.abs(F.col("value")) / 100, F.lit(1.0)).alias("progress"))
 
 
+# The event type that ends a job.
+ENDS = ("purchase",)
 EVENTS = "evs AS (SELECT user_id AS job, ts, event_id AS seq, event_type AS status, least(abs(value) / 100, 1.0) AS progress FROM events)"
 
 

@@ -2,77 +2,113 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TERMINAL = ("done", "error", "partial", "cancelled", "purchase")
+# Statuses that are always written at once.
+TERMINAL = ("done", "error", "paused", "cancelled")
+SECOND = 1_000_000
 OUT = "job long, ts timestamp_ntz, seq long, status string, progress double"
-STATE = "status string, progress double, at double, written long"
+STATE = "status string, progress double, at long"
 
 
-def step(state: tuple | None, status: str, progress: float, at: float, wait: float = 3.0, least: float = 0.05) -> tuple[bool, tuple]:
-    """Whether an event is written at once, and the state after: (status, progress, time, number) of the last one written.
+def step(state: tuple | None, at: int, status: str, progress: float | None, terminal: tuple[str, ...] = TERMINAL, wait: float = 3.0, least: float = 0.05) -> tuple[bool, tuple]:
+    """Whether an event at this microsecond is written at once, and the state after: (status, progress, time) of the last one written.
 
-    It is if it is the first, ends the job, changes the status, moves progress by ``least``, or comes ``wait`` seconds later.
+    It is if it is the first, has a terminal status, changes the status, moves progress by ``least``, or comes ``wait`` seconds later.
     """
-    last = state
-    writes = last is None or status in TERMINAL or status != last[0] or at - last[2] >= wait or abs(progress - last[1]) >= least
-    if not writes:
-        return False, last
-    return True, (status, progress, at, (last[3] if last else 0) + 1)
+    progress = progress or 0.0
+    if state is None or status in terminal or status != state[0] or at - state[2] >= wait * SECOND or abs(progress - state[1]) >= least:
+        return True, (status, progress, at)
+    return False, state
 
 
-def _seconds(ts: pd.Series) -> pd.Series:
-    return (ts - pd.Timestamp("1970-01-01")) / pd.Timedelta(seconds=1)
+def take(state: tuple | None, at: int, most: float, period: float) -> tuple[bool, tuple]:
+    """Whether a bucket gives a token, and the state after: (tokens, time). It is full at first and refilled evenly."""
+    tokens = most if state is None else min(most, state[0] + (at - state[1]) / SECOND / period * most)
+    return (True, (tokens - 1, at)) if tokens >= 1 else (False, (tokens, at))
 
 
-def _fold(events: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
-    events = events.sort_values(["ts", "seq"])
-    keep = []
-    for status, progress, at in zip(events.status, events.progress, _seconds(events.ts), strict=True):
-        writes, state = step(state, status, progress, at)
-        keep.append(writes)
-    return events[keep], state
+def _fold(events: DataFrame, values: tuple[str, ...], said: str, move: Callable) -> DataFrame:
+    """Events with what ``move`` says of each, in the order of time and number in each job.
 
+    A job's rows reach one task together and sorted, and the task keeps one state, so a job with most of the events is
+    read batch by batch (the sort spills). Events without a time have no place in the order and are left out.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, state = None, None
+        for batch in batches:
+            out = []
+            for key, at, *rest in zip(batch["job"].to_pylist(), batch["ts"].cast(pa.int64()).to_pylist(), *(batch[c].to_pylist() for c in values), strict=True):
+                if key != job:
+                    job, state = key, None
+                ok, state = move(state, at, *rest)
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, said])
+
+    rows = events.where("ts is not null").select("job", "ts", "seq", *values).repartition("job").sortWithinPartitions("job", "ts", "seq")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{types}, {said} boolean")
+
+
+def judged(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """Each event and whether the status row of its job is written for it at once."""
+    return _fold(events, ("status", "progress"), "written", lambda state, at, status, progress: step(state, at, status, progress, terminal))
 
-def debounced(events: DataFrame) -> DataFrame:
+
+def debounced(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
     """Batch: the events of each job that its status row is written for."""
-    return events.select("job", "ts", "seq", "status", "progress").groupBy("job").applyInPandas(lambda rows: _fold(rows, None)[0], OUT)
+    return judged(events, terminal).where("written").drop("written")
 
 
-def debounced_stream(events: DataFrame) -> DataFrame:
-    """Stream: the same, with the last written row of each job as state that is dropped when the job ends."""
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        out, last = _fold(pd.concat(list(batches)), tuple(last) if last else None)
-        if last is not None:
-            state.update(last)
-        yield out
+def pending(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """What a flush at the end writes: the last event of each job whose last event was held back."""
+    row = F.struct("ts", "seq", "status", "progress", "written")
+    last = judged(events, terminal).groupBy("job").agg(F.max_by(row, F.struct("ts", "seq")).alias("e"))
+    return last.where("not e.written").select("job", "e.ts", "e.seq", "e.status", "e.progress")
 
-    return events.select("job", "ts", "seq", "status", "progress").groupBy("job").applyInPandasWithState(fold, OUT, STATE, "append", "NoTimeout")
 
+def debounce_stats(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """(job, written, skipped): how many events of a job were written and held back."""
+    return judged(events, terminal).groupBy("job").agg(F.count_if("written").alias("written"), F.count_if(~F.col("written")).alias("skipped"))
+
+
+def debounced_stream(events: DataFrame, terminal: tuple[str, ...] = TERMINAL, late: str = "1 hour", wait: float = 3.0) -> DataFrame:
+    """Stream: the same, with the last written row of each job as state.
+
+    State goes when a terminal status is written, and when the watermark has passed a job's last event by ``wait``: the next
+    event is written in either case, with or without it. Events later than the watermark are dropped; others are sorted
+    within a micro-batch and otherwise judged as they arrive.
+    """
+    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        last, keep = tuple(state.get) if state.exists else None, []
+        times = (rows.ts - pd.Timestamp("1970-01-01")) // pd.Timedelta(microseconds=1)
+        for at, status, progress in zip(times, rows.status, rows.progress.fillna(0.0), strict=True):
+            writes, last = step(last, at, status, progress, terminal, wait)
+            keep.append(writes)
+        if last[0] not in terminal:
+            state.update(last)
+            state.setTimeoutTimestamp(max(int(rows.ms.max() + wait * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield rows.loc[keep, ["job", "ts", "seq", "status", "progress"]]
 
-def take(tokens: float, before: float | None, at: float, most: float, period: float) -> tuple[bool, float]:
-    """Refill for the time passed, then take a token if there is one."""
-    tokens = most if before is None else min(most, tokens + (at - before) / period * most)
-    return (True, tokens - 1) if tokens >= 1 else (False, tokens)
+    timed = events.where("ts is not null").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    rows = timed.select("job", "ts", "seq", "status", "progress", "at", F.unix_millis("at").alias("ms"))
+    return rows.groupBy("job").applyInPandasWithState(fold, OUT, STATE, "append", "EventTimeTimeout")
 
 
 def rate_limited(events: DataFrame, most: float = 2.0, period: float = 86_400.0) -> DataFrame:
     """(job, seq, passes): a bucket of tokens for each job, refilled evenly over the period."""
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        tokens, before, passes = most, None, []
-        for at in _seconds(rows.ts):
-            ok, tokens = take(tokens, before, at, most, period)
-            before = at
-            passes.append(ok)
-        return rows[["job", "seq"]].assign(passes=passes)
-
-    return events.select("job", "ts", "seq").groupBy("job").applyInPandas(fold, "job long, seq long, passes boolean")
+    return _fold(events, (), "passes", lambda state, at: take(state, at, most, period)).drop("ts")
 
 
 def latest(events: DataFrame) -> DataFrame:

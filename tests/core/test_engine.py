@@ -1,5 +1,8 @@
 """The document engine: every query against its SQL, folds against plain loops, functions against plain Python."""
 
+import datetime
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -50,7 +53,7 @@ def test_debounce_equals_a_loop(spark, sf_dir):
     want, last = set(), {}
     for r in rows:
         at, was = r.ts.timestamp(), last.get(r.job)
-        if was is None or r.status in events.TERMINAL or r.status != was[0] or at - was[2] >= 3 or abs(r.progress - was[1]) >= 0.05:
+        if was is None or r.status in binding.ENDS or r.status != was[0] or at - was[2] >= 3 or abs(r.progress - was[1]) >= 0.05:
             want.add(r.seq)
             last[r.job] = (r.status, r.progress, at)
     assert {r.seq for r in catalogue.debounce_updates(spark, sf_dir).collect()} == want
@@ -59,12 +62,42 @@ def test_debounce_equals_a_loop(spark, sf_dir):
 def test_debounce_on_a_stream_equals_the_batch(spark, sf_dir):
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     job = source.selectExpr("user_id AS job", "ts", "event_id AS seq", "event_type AS status", "least(abs(value) / 100, 1.0) AS progress")
-    run = events.debounced_stream(job).writeStream.format("memory").queryName("debounced").outputMode("append").start()
+    run = events.debounced_stream(job, binding.ENDS).writeStream.format("memory").queryName("debounced").outputMode("append").start()
     run.processAllAvailable()
     run.stop()
     assert {r.seq for r in spark.table("debounced").collect()} == {r.seq for r in catalogue.debounce_updates(spark, sf_dir).collect()}
 
 
+def test_debounce_keeps_its_state_between_micro_batches_and_drops_it_in_time(spark, tmp_path):
+    rows, schema = [], "job long, ts timestamp_ntz, seq long, status string, progress double"
+    start = datetime.datetime(2024, 1, 1)
+    for k in range(300):
+        status = "done" if k % 40 == 39 else "run" if k % 7 else "wait"
+        rows.append((k % 3, start + datetime.timedelta(milliseconds=k * 400 + (k // 100) * 7_200_000), k, status, None if k % 11 == 0 else k % 20 / 200))
+    for n in range(6):
+        spark.createDataFrame(rows[n * 50:n * 50 + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = events.debounced_stream(source, late="10 seconds").writeStream.format("memory").queryName("debounced_parts").outputMode("append").start()
+    run.processAllAvailable()
+    left = run.lastProgress["stateOperators"][0]["numRowsTotal"]
+    batches = sum(p["numInputRows"] > 0 for p in run.recentProgress)
+    run.stop()
+    want = {r.seq for r in events.debounced(spark.createDataFrame(rows, schema)).collect()}
+    assert batches == 6 and {r.seq for r in spark.table("debounced_parts").collect()} == want
+    assert left <= 3 and 0 < len(want) < 300
+
+
+def test_folds_take_empty_tables_null_jobs_and_null_times(spark):
+    schema = "job long, ts timestamp_ntz, seq long, status string, progress double"
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(None, at, 1, "run", None), (None, at, 2, "run", 0.01), (1, None, 3, "run", 0.5), (1, at, 4, None, 0.5), (1, at, 4, None, 0.5)]
+    df = spark.createDataFrame(rows, schema)
+    assert sorted(((r.job or 0, r.seq, r.written) for r in events.judged(df).collect())) == [(0, 1, True), (0, 2, False), (1, 4, False), (1, 4, True)]
+    assert sorted((r.job or 0, r.seq) for r in events.pending(df).collect()) == [(0, 2), (1, 4)]
+    assert events.judged(df.limit(0)).count() == events.rate_limited(df.limit(0)).count() == 0
+
+
 def test_token_bucket_equals_a_loop(spark, sf_dir):
     tokens, before, want = {}, {}, {}
     for r in binding.events(spark, sf_dir).orderBy("job", "ts", "seq").collect():
