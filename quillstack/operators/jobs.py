@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstack.scratch import materialise
+
 TERMINAL = ("done", "error", "partial", "cancelled")
 
 
@@ -15,10 +17,26 @@ def engine(value: Column) -> Column:
 
 
 def neighbours(jobs: DataFrame, by: str | None = None) -> DataFrame:
-    """Queued jobs with the ids before and after them in the order of priority and creation, in each queue ``by``."""
-    queue = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("priority", "created_at", "id")
-    return jobs.where("status = 'queued'").select("*", F.lag("id").over(queue).alias("before_id"), F.lead("id").over(queue).alias("after_id"),
-                                                  F.lag("priority").over(queue).alias("before_priority"), F.lead("priority").over(queue).alias("after_priority"))
+    """Queued jobs with the ids before and after them in the order of priority and creation, in each queue ``by``.
+
+    Queues are cut into ranges of that order, as one may hold most jobs. Only the first and last job of each range go
+    on to find the neighbours across cuts: two rows for each range and queue in it.
+    """
+    queue = F.col(by) if by else F.lit(0)
+    order = ("priority", "created_at", "id")
+    queued = jobs.where("status = 'queued'").withColumn("_queue", queue).repartitionByRange("_queue", *order)
+    placed = materialise(queued.withColumn("_range", F.spark_partition_id()), "queue")
+    inside = Window.partitionBy("_queue", "_range").orderBy(*order)
+    near = placed
+    for name, column in (("before_id", F.lag("id")), ("after_id", F.lead("id")), ("before_priority", F.lag("priority")), ("after_priority", F.lead("priority"))):
+        near = near.withColumn(name, column.over(inside))
+    key, job = F.struct(*order), F.struct("id", "priority")
+    ends = placed.groupBy("_queue", "_range").agg(F.min_by(job, key).alias("first"), F.max_by(job, key).alias("last"))
+    across = Window.partitionBy("_queue").orderBy("_range")
+    ends = ends.select(F.col("_queue").alias("_q"), F.col("_range").alias("_r"), F.lag("last").over(across).alias("_left"), F.lead("first").over(across).alias("_right"))
+    out = near.join(ends, F.col("_queue").eqNullSafe(F.col("_q")) & (F.col("_range") == F.col("_r")))
+    return out.select(*jobs.columns, *(F.coalesce(f"{side}_{what}", f"{edge}.{what}").alias(f"{side}_{what}")
+                                       for what in ("id", "priority") for side, edge in (("before", "_left"), ("after", "_right"))))
 
 
 def swapped(mine: Column, other: Column) -> Column:

@@ -562,9 +562,11 @@ def session_sync(spark, sf_dir):
 
 
 NUMBERED = EVENTS + ", e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY job ORDER BY ts, seq) AS k FROM evs)"
+WAIT, LEAST = 8 * 86_400.0, 0.3
 JUDGED = NUMBERED + """, judged AS (SELECT job, ts, seq, status, progress, k, true AS written, status AS s, progress AS p, us AS t FROM e WHERE k = 1
   UNION ALL SELECT job, ts, seq, status, progress, k, w, CASE WHEN w THEN status ELSE s END, CASE WHEN w THEN progress ELSE p END, CASE WHEN w THEN us ELSE t END
   FROM (SELECT e.*, j.s, j.p, j.t, e.status = 'purchase' OR e.status <> j.s OR e.us - j.t >= 3000000 OR abs(e.progress - j.p) >= 0.05 AS w FROM judged j JOIN e ON e.job = j.job AND e.k = j.k + 1) n)"""
+PATIENT = JUDGED.replace("3000000", str(int(WAIT * 1_000_000))).replace("0.05", str(LEAST))
 
 
 @query(f"WITH RECURSIVE {JUDGED} SELECT job, ts, seq, status, progress FROM judged WHERE written")
@@ -573,15 +575,15 @@ def debounce_updates(spark, sf_dir):
     return ev.debounced(b.events(spark, sf_dir), b.ENDS)
 
 
-@query(f"WITH RECURSIVE {JUDGED}, l AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY k DESC) AS back FROM judged) SELECT job, ts, seq, status, progress FROM l WHERE back = 1 AND NOT written")
+@query(f"WITH RECURSIVE {PATIENT}, l AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY k DESC) AS back FROM judged) SELECT job, ts, seq, status, progress FROM l WHERE back = 1 AND NOT written")
 def debounce_pending(spark, sf_dir):
-    """Updates that are written when the job's updater is flushed."""
-    return ev.pending(b.events(spark, sf_dir), b.ENDS)
+    """Updates that are written when the job's updater is flushed; with limits as wide as the gaps between these events."""
+    return ev.pending(b.events(spark, sf_dir), b.ENDS, WAIT, LEAST)
 
 
-@query(f"WITH RECURSIVE {JUDGED} SELECT job, count(*) FILTER (written) AS written, count(*) FILTER (NOT written) AS skipped FROM judged GROUP BY job")
+@query(f"WITH RECURSIVE {PATIENT} SELECT job, count(*) FILTER (written) AS written, count(*) FILTER (NOT written) AS skipped FROM judged GROUP BY job")
 def debounce_stats(spark, sf_dir):
-    return ev.debounce_stats(b.events(spark, sf_dir), b.ENDS)
+    return ev.debounce_stats(b.events(spark, sf_dir), b.ENDS, WAIT, LEAST)
 
 
 @query(f"""WITH RECURSIVE {NUMBERED}, taken AS (SELECT job, seq, k, us, true AS passes, 1.0::double AS tokens FROM e WHERE k = 1

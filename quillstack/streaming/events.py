@@ -55,29 +55,29 @@ def _fold(events: DataFrame, values: tuple[str, ...], said: str, move: Callable)
     return rows.mapInArrow(run, f"{types}, {said} boolean")
 
 
-def judged(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+def judged(events: DataFrame, terminal: tuple[str, ...] = TERMINAL, wait: float = 3.0, least: float = 0.05) -> DataFrame:
     """Each event and whether the status row of its job is written for it at once."""
-    return _fold(events, ("status", "progress"), "written", lambda state, at, status, progress: step(state, at, status, progress, terminal))
+    return _fold(events, ("status", "progress"), "written", lambda state, at, status, progress: step(state, at, status, progress, terminal, wait, least))
 
 
-def debounced(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+def debounced(events: DataFrame, terminal: tuple[str, ...] = TERMINAL, wait: float = 3.0, least: float = 0.05) -> DataFrame:
     """Batch: the events of each job that its status row is written for."""
-    return judged(events, terminal).where("written").drop("written")
+    return judged(events, terminal, wait, least).where("written").drop("written")
 
 
-def pending(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+def pending(events: DataFrame, terminal: tuple[str, ...] = TERMINAL, wait: float = 3.0, least: float = 0.05) -> DataFrame:
     """What a flush at the end writes: the last event of each job whose last event was held back."""
     row = F.struct("ts", "seq", "status", "progress", "written")
-    last = judged(events, terminal).groupBy("job").agg(F.max_by(row, F.struct("ts", "seq")).alias("e"))
+    last = judged(events, terminal, wait, least).groupBy("job").agg(F.max_by(row, F.struct("ts", "seq")).alias("e"))
     return last.where("not e.written").select("job", "e.ts", "e.seq", "e.status", "e.progress")
 
 
-def debounce_stats(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+def debounce_stats(events: DataFrame, terminal: tuple[str, ...] = TERMINAL, wait: float = 3.0, least: float = 0.05) -> DataFrame:
     """(job, written, skipped): how many events of a job were written and held back."""
-    return judged(events, terminal).groupBy("job").agg(F.count_if("written").alias("written"), F.count_if(~F.col("written")).alias("skipped"))
+    return judged(events, terminal, wait, least).groupBy("job").agg(F.count_if("written").alias("written"), F.count_if(~F.col("written")).alias("skipped"))
 
 
-def debounced_stream(events: DataFrame, terminal: tuple[str, ...] = TERMINAL, late: str = "1 hour", wait: float = 3.0) -> DataFrame:
+def debounced_stream(events: DataFrame, terminal: tuple[str, ...] = TERMINAL, late: str = "1 hour", wait: float = 3.0, least: float = 0.05) -> DataFrame:
     """Stream: the same, with the last written row of each job as state.
 
     State goes when a terminal status is written, and when the watermark has passed a job's last event by ``wait``: the next
@@ -92,7 +92,7 @@ def debounced_stream(events: DataFrame, terminal: tuple[str, ...] = TERMINAL, la
         last, keep = tuple(state.get) if state.exists else None, []
         times = (rows.ts - pd.Timestamp("1970-01-01")) // pd.Timedelta(microseconds=1)
         for at, status, progress in zip(times, rows.status, rows.progress.fillna(0.0), strict=True):
-            writes, last = step(last, at, status, progress, terminal, wait)
+            writes, last = step(last, at, status, progress, terminal, wait, least)
             keep.append(writes)
         if last[0] not in terminal:
             state.update(last)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillstack.functions import geometry, ids, status, texts
-from quillstack.operators import tree
+from quillstack.operators import jobs, tree
 from quillstack.plans import catalogue
 from quillstack.sources import annotations, binding
 from quillstack.streaming import events
@@ -108,6 +108,26 @@ def test_token_bucket_equals_a_loop(spark, sf_dir):
     assert {r.seq: r.passes for r in catalogue.token_bucket(spark, sf_dir).collect()} == want
 
 
+@pytest.mark.parametrize("by", [None, "engine"])
+def test_neighbours_across_ranges_equal_a_sorted_list(spark, by):
+    rows = [(f"J{k:03d}", "queued" if k % 5 else "done", None if k % 9 == 0 else "a" if k < 150 else "b", k * 7 % 4, k % 3) for k in range(200)]
+    df = spark.createDataFrame(rows, "id string, status string, engine string, priority int, created_at int")
+    want, queues = {}, {}
+    for r in sorted(rows, key=lambda r: (r[3], r[4], r[0])):
+        if r[1] == "queued":
+            queues.setdefault(r[2] if by else 0, []).append(r)
+    for q in queues.values():
+        for before, r, after in zip([None, *q], q, [*q[1:], None]):
+            want[r[0]] = (before and before[0], before and before[3], after and after[0], after and after[3])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        got = {r.id: (r.before_id, r.before_priority, r.after_id, r.after_priority) for r in jobs.neighbours(df, by).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+    assert jobs.neighbours(df.limit(0), by).count() == 0
+
+
 def test_codes(spark):
     df = spark.createDataFrame([("550e8400-e29b-41d4-a716-446655440000",)], "u string")
     code = df.select(ids.encode(F.col("u"))).first()[0]
