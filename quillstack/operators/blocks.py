@@ -25,6 +25,16 @@ def recognition_report(blocks: DataFrame, exact: bool = False) -> DataFrame:
     return out.withColumn("status", st.coverage(F.col("recognized"), F.col("total")))
 
 
+def stamped_pages(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, stamps) of the pages that have a stamp, so that none is added."""
+    return blocks.where("block_type = 'stamp'").groupBy("doc_id", "page").agg(F.count("*").alias("stamps"))
+
+
+def recognised(blocks: DataFrame) -> DataFrame:
+    """(doc_id, recognised): whether any block of the document has a text."""
+    return blocks.groupBy("doc_id").agg(F.bool_or(F.coalesce("ocr_text", F.lit("")) != "").alias("recognised"))
+
+
 def image_texts(blocks: DataFrame) -> DataFrame:
     """(doc_id, image_id, text_id): the last text linked to each image; the ones before it stay apart."""
     texts = blocks.where("block_type = 'text' and linked_block_id is not null").select("doc_id", F.col("linked_block_id").alias("image_id"), F.col("id").alias("text_id"), "page", "pos")

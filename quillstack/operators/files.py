@@ -30,6 +30,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: tuple[str,
     return joined.select(*(pick(c) for c in old.columns))
 
 
+def first_keys(nodes: DataFrame, files: DataFrame, kind: str = "pdf") -> DataFrame:
+    """(id, r2_key): the key of a node's first file of this kind, else the one among its attributes, which may be null."""
+    first = files.where(F.col("file_type") == kind).groupBy(F.col("node_id").alias("id")).agg(F.min_by("r2_key", F.struct("created_at", "r2_key")).alias("_key"))
+    return nodes.join(first, "id", "left").select("id", F.coalesce("_key", "r2_key").alias("r2_key"))
+
+
+def pdf_statuses(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, status, message) of the nodes among ``ids``; unknown and an empty message where there is none."""
+    known = F.when(F.coalesce("pdf_status", F.lit("")) != "", F.col("pdf_status")).otherwise("unknown")
+    return nodes.join(ids.select("id"), "id", "left_semi").select("id", known.alias("status"), F.coalesce("pdf_status_message", F.lit("")).alias("message"))
+
+
 def reconcile(listing: DataFrame, files: DataFrame) -> DataFrame:
     """(key, state) of each key in the store or the registry: both, size_mismatch, storage_only or db_only."""
     joined = listing.join(files.select(F.col("r2_key").alias("key"), "file_size"), "key", "full_outer")

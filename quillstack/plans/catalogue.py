@@ -595,6 +595,65 @@ def token_bucket(spark, sf_dir):
     return ev.rate_limited(b.events(spark, sf_dir))
 
 
+LOOKS = NUMBERED + ", o AS (SELECT job, seq, k, us, status = 'purchase' AS active, progress * 2000 AS age FROM e)"
+
+
+@query(f"""WITH RECURSIVE {LOOKS}, z AS (SELECT job, seq, k, false AS dead, CASE WHEN NOT active AND age > 600 THEN us END AS first FROM o WHERE k = 1
+  UNION ALL SELECT job, seq, k, NOT active AND age >= 1500 AND first IS NOT NULL AND us - first >= 432000000000,
+    CASE WHEN active THEN NULL WHEN age < 1500 THEN coalesce(first, CASE WHEN age > 600 THEN us END) WHEN first IS NULL THEN us WHEN us - first < 432000000000 THEN first END
+  FROM (SELECT o.*, z.first FROM z JOIN o ON o.job = z.job AND o.k = z.k + 1) n) SELECT job, seq, dead FROM z""")
+def zombie_confirmed(spark, sf_dir):
+    """Looks at which a job is taken for dead, suspected five days before."""
+    looks = b.events(spark, sf_dir).select("job", "ts", "seq", F.col("status").isin(*b.ENDS).alias("active"), (F.col("progress") * 2000).alias("age"))
+    return ev.dead_jobs(looks, 1500, again=432_000.0)
+
+
+FAILURES = EVENTS + """, x AS (SELECT *, progress < 0.7 AS failed FROM evs), c AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY job ORDER BY ts, seq) AS island FROM x),
+f AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY job, island ORDER BY ts, seq) AS failures FROM c)"""
+
+
+@query(f"WITH {FAILURES} SELECT job, seq, failures, CASE WHEN failures = 0 THEN 15.0 ELSE least(15.0 * power(2, least(failures - 1, 3)), 180) END::double AS seconds FROM f")
+def poll_intervals(spark, sf_dir):
+    """Seconds to the next poll after each answer; low values stand for errors."""
+    seen = ev.failures_in_a_row(b.events(spark, sf_dir), F.col("progress") < 0.7)
+    return seen.select("job", "seq", "failures", jo.back_off(F.col("failures")).alias("seconds"))
+
+
+@query(f"""WITH {FAILURES} SELECT job, seq, CASE WHEN failures > 0 THEN (failures - 1) % 10 + 1 END AS attempt, failures > 0 AND failures % 10 = 0 AS gave_up,
+CASE WHEN failures = 0 OR failures % 10 = 0 THEN NULL WHEN failures >= 5 THEN 30.0 ELSE 3.0 END::double AS delay FROM f""")
+def sync_retries(spark, sf_dir):
+    """Attempts, delays and giving up after each failed write of an annotation."""
+    seen = ev.failures_in_a_row(b.events(spark, sf_dir), F.col("progress") < 0.7)
+    return seen.select("job", "seq", ev.sync_retry(F.col("failures")).alias("r")).select("job", "seq", "r.*")
+
+
+@query(f"""WITH {EDGES}, {FILES}, p AS (SELECT node_id, first(r2_key ORDER BY created_at, r2_key) AS key FROM files WHERE file_type = 'crop' GROUP BY 1)
+SELECT id, coalesce(key, CASE WHEN sort_order <> 6 THEN 'tree_docs/' || id END) AS r2_key FROM edges LEFT JOIN p ON node_id = id WHERE node_type = 'document'""")
+def node_first_key(spark, sf_dir):
+    nodes = b.edges(spark, sf_dir).where("node_type = 'document'").select("id", F.when(F.col("sort_order") != 6, F.concat(F.lit("tree_docs/"), "id")).alias("r2_key"))
+    return fi.first_keys(nodes, b.files(spark, sf_dir), "crop")
+
+
+@query(f"""WITH {EDGES}, {JOBS} SELECT id, CASE WHEN coalesce(status, '') = '' THEN 'unknown' ELSE status END AS status, CASE WHEN sort_order = 2 THEN 'checked' ELSE '' END AS message
+FROM edges WHERE id IN (SELECT node_id FROM jobs WHERE status = 'queued') OR id IN (SELECT 'O' || substr(id, 2) FROM jobs WHERE status = 'processing')""")
+def pdf_statuses(spark, sf_dir):
+    """Statuses of the nodes and documents that jobs wait for."""
+    jobs = b.jobs(spark, sf_dir)
+    ids = jobs.where("status = 'queued'").select(F.col("node_id").alias("id")).union(jobs.where("status = 'processing'").select(F.concat(F.lit("O"), F.expr("substr(id, 2)"))))
+    nodes = b.edges(spark, sf_dir).select("id", F.col("status").alias("pdf_status"), F.when(F.col("sort_order") == 2, "checked").alias("pdf_status_message"))
+    return fi.pdf_statuses(nodes, ids)
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, page, count(*) AS stamps FROM blocks WHERE block_type = 'stamp' GROUP BY doc_id, page")
+def stamped_pages(spark, sf_dir):
+    return bl.stamped_pages(b.blocks(spark, sf_dir))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, bool_or(coalesce(ocr_text, '') <> '') AS recognised FROM blocks WHERE page > 0 GROUP BY doc_id")
+def recognised_documents(spark, sf_dir):
+    return bl.recognised(b.blocks(spark, sf_dir).where("page > 0"))
+
+
 @query(f"""WITH {EVENTS}, o AS (SELECT *, lag(ts) OVER (PARTITION BY job ORDER BY ts, seq) AS before FROM evs) SELECT job, seq, floor(epoch(ts - before))::bigint AS idle, floor(epoch(ts - before)) > 43200 AS suspect FROM o WHERE before IS NOT NULL""")
 def zombie_scan(spark, sf_dir):
     return ev.idle(b.events(spark, sf_dir), 43_200)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Statuses that are always written at once.
@@ -33,6 +33,23 @@ def take(state: tuple | None, at: int, most: float, period: float) -> tuple[bool
     return (True, (tokens - 1, at)) if tokens >= 1 else (False, (tokens, at))
 
 
+def watch(state: tuple | None, at: int, active: bool, age: float | None, threshold: float, soft: float = 600.0, again: float = 300.0) -> tuple[bool, tuple | None]:
+    """Whether a job is taken for dead at this look at it, and the state after: when it was first suspected.
+
+    A job that runs is never suspected. One that was silent for ``soft`` seconds is; it is dead when it is seen silent for
+    ``threshold`` seconds, ``again`` seconds or more after the first suspicion. A look without an age changes nothing.
+    """
+    if age is None:
+        return False, state
+    if active:
+        return False, None
+    if age < threshold:
+        return False, state or ((at,) if age > soft else None)
+    if state is None:
+        return False, (at,)
+    return (True, None) if at - state[0] >= again * SECOND else (False, state)
+
+
 def _fold(events: DataFrame, values: tuple[str, ...], said: str, move: Callable) -> DataFrame:
     """Events with what ``move`` says of each, in the order of time and number in each job.
 
@@ -111,6 +128,28 @@ def rate_limited(events: DataFrame, most: float = 2.0, period: float = 86_400.0)
     return _fold(events, (), "passes", lambda state, at: take(state, at, most, period)).drop("ts")
 
 
+def dead_jobs(looks: DataFrame, threshold: float, soft: float = 600.0, again: float = 300.0) -> DataFrame:
+    """(job, seq, dead) of looks (job, ts, seq, active, age in seconds) at processing jobs."""
+    return _fold(looks, ("active", "age"), "dead", lambda state, at, active, age: watch(state, at, active, age, threshold, soft, again)).select("job", "seq", "dead")
+
+
+def failures_in_a_row(events: DataFrame, failed: Column) -> DataFrame:
+    """Events with ``failures``: how many of a job's events up to here failed since its last success."""
+    so_far = Window.partitionBy("job").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.withColumn("_failed", F.coalesce(failed, F.lit(False))).withColumn("_n", F.count_if("_failed").over(so_far))
+    before = F.coalesce(F.max(F.when(~F.col("_failed"), F.col("_n"))).over(so_far), F.lit(0))
+    return counted.withColumn("failures", F.col("_n") - before).drop("_failed", "_n")
+
+
+def sync_retry(failures: Column, most: int = 10, slow_from: int = 5, delay: float = 3.0, slow: float = 30.0) -> Column:
+    """(attempt, gave_up, delay): what follows so many failures in a row; attempts are counted anew after giving up."""
+    attempt = (failures - 1) % most + 1
+    fails, gave_up = failures > 0, (failures > 0) & (failures % most == 0)
+    # each giving up ends a delay's cause but not the delay: only a success does
+    wait = F.when(fails & ~gave_up, F.when(failures >= slow_from, F.lit(slow)).otherwise(F.lit(delay)))
+    return F.struct(F.when(fails, attempt).alias("attempt"), gave_up.alias("gave_up"), wait.alias("delay"))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """A job's last status and progress; the same expression updates a stream."""
     return events.groupBy("job").agg(F.max_by("status", "seq").alias("status"), F.max_by("progress", "seq").alias("progress"), F.count("*").alias("n"))

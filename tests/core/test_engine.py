@@ -88,6 +88,20 @@ def test_debounce_keeps_its_state_between_micro_batches_and_drops_it_in_time(spa
     assert left <= 3 and 0 < len(want) < 300
 
 
+def test_a_job_is_dead_only_when_seen_silent_twice():
+    def seen(*looks):
+        state, out = None, []
+        for at, active, age in looks:
+            dead, state = events.watch(state, at * events.SECOND, active, age, 1500.0)
+            out.append(dead)
+        return out
+
+    assert seen((0, False, 2000), (299, False, 2300), (300, False, 2400), (301, False, 2400)) == [False, False, True, False]
+    assert seen((0, False, 700), (400, False, 1600)) == [False, True]
+    assert seen((0, False, 600), (400, False, 1600), (800, False, 1600)) == [False, False, True]
+    assert seen((0, False, 2000), (100, True, 5), (400, False, 2000), (500, False, None), (700, False, 2000)) == [False, False, False, False, True]
+
+
 def test_folds_take_empty_tables_null_jobs_and_null_times(spark):
     schema = "job long, ts timestamp_ntz, seq long, status string, progress double"
     at = datetime.datetime(2024, 1, 1)
