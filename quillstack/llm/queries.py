@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, packing, pii, quality, simhash, tokens, topk, urls, vectors, warc
+from quillstack.llm import bpe, owners, packing, pii, quality, simhash, tokens, topk, urls, vectors, warc
 from quillstack.llm.common import scratch_path
 
 
@@ -58,11 +58,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return owners.duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_warc_round_trip, op3_personal_data, op4_quality_classifier,
         op5_bpe_round_trip, op6_simhash_near_duplicates,
-        op7_embedding_near_duplicates, op8_top_k, op9_packing, op10_url_filter)
+        op7_embedding_near_duplicates, op8_top_k, op9_packing, op10_url_filter, op11_exact_duplicates)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +74,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_embedding_near_duplicates": vectors.oracle(),
     "op8_top_k": topk.oracle(),
     "op10_url_filter": urls.oracle(),
+    "op11_exact_duplicates": owners.oracle(),
 }
