@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, owners, packing, pii, quality, simhash, tokens, topk, urls, vectors, warc
+from quillstack.llm import bpe, owners, packing, pii, prefixes, quality, simhash, spelling, tokens, topk, urls, vectors, warc
 from quillstack.llm.common import scratch_path
 
 
@@ -62,11 +62,20 @@ def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_warc_round_trip, op3_personal_data, op4_quality_classifier,
         op5_bpe_round_trip, op6_simhash_near_duplicates,
-        op7_embedding_near_duplicates, op8_top_k, op9_packing, op10_url_filter, op11_exact_duplicates)
+        op7_embedding_near_duplicates, op8_top_k, op9_packing, op10_url_filter, op11_exact_duplicates,
+        op12_spelling_variants, op13_conversation_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
