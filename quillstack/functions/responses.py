@@ -5,8 +5,11 @@ A response or message is a JSON text; what is not JSON gives null where the docs
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstack.functions import status as st
 from quillstack.functions import texts as tx
@@ -19,9 +22,12 @@ REASONING = (
 FIRST_TAG = r"(?i)<(?:p|table|h[1-6]|div|ul|ol|span|br|hr|img)\b"
 TEXT_TAG = r"(?i)<(?:p|table|h[1-6]|div|ul|ol|span|br|hr|math|input|thead|tbody|tr|th|td)\b"
 TABLE_FIRST = r"(?i)^\s*(?:<div\b[^>]*>\s*)?<table\b"
-TITLES = (r"""(?i)the\s+title\s+is\s+["“'](.+?)["”']""", r"""(?i)title:\s*["“']?(.+?)["”']?\s*[.\n]""", r"""(?i)header:\s*["“']?(.+?)["”']?\s*[.\n]""",
-          r"""(?iu)Заголовок:\s*[«"“]?(.+?)[»"”]?\s*[.\n]""", r"""(?iu)Название:\s*[«"“]?(.+?)[»"”]?\s*[.\n]""")
+TITLE = r"""(?iu)(?:the\s+title\s+is\s+["“'](.+?)["”']|title:\s*["“']?(.+?)["”']?\s*[.\n]|header:\s*["“']?(.+?)["”']?\s*[.\n]|Заголовок:\s*[«"“]?(.+?)[»"”]?\s*[.\n]|Название:\s*[«"“]?(.+?)[»"”]?\s*[.\n])"""
 TRUNCATED, OVERFLOW = "[LENGTH_TRUNCATED]", "[CONTEXT_OVERFLOW]"
+STAMP_KEYS = ("document_code", "project_name", "sheet_name")
+TOO_LONG = "контекст превышен — блок слишком большой для модели"
+LOOKALIKE = r"(?<![a-zA-Zа-яА-ЯёЁ])[ABCEHKMPX](?![a-zA-Zа-яА-ЯёЁ])"
+GONE, PASSING = ("NoSuchKey", "404"), ("RequestTimeout", "ServiceUnavailable")
 IMAGE_FIELDS = ("content_summary", "detailed_description", "fragment_type")
 STAMP_LABELS = (("document_code", "Шифр"), ("stage", "Стадия"), ("sheet", "Лист"), ("project_name", "Объект"), ("sheet_name", "Наименование листа"),
                 ("organization", "Организация выпустившая проект"), ("revision", "Статус"), ("signatures", "Ответственные"))
@@ -81,8 +87,8 @@ def structured_list(text: Column) -> Column:
 
 
 def title_of(reasoning: Column) -> Column:
-    """The title that reasoning names, of more than three characters; null if it names none. The first kind of naming wins."""
-    found = F.coalesce(*(F.nullif(F.regexp_extract(reasoning, p, 1), F.lit("")) for p in TITLES))
+    """The title that reasoning names first, of more than three characters; null if it names none or that is shorter."""
+    found = F.coalesce(*(F.nullif(F.regexp_extract(reasoning, TITLE, k), F.lit("")) for k in range(1, 6)))
     return F.when(F.length(st.stripped(found)) > 3, st.stripped(found))
 
 
@@ -112,7 +118,10 @@ def response_text(message: Column) -> Column:
 
 
 def outcome(response: Column, text: Column) -> Column:
-    """The page text of a response, marked if its length ran out, or an error for one without choices or text."""
+    """The page text of a response, marked if its length ran out, or an error for one without choices or text.
+
+    An error that isn't a text is told as its JSON.
+    """
     whole = F.when(text == "", st.error(F.lit("Chandra: пустой ответ модели")))
     whole = whole.when(F.get_json_object(response, "$.choices[0].finish_reason") == "length", F.concat(F.lit(TRUNCATED), text)).otherwise(text)
     wrong = F.concat(F.lit("Chandra: некорректный ответ ("), F.coalesce(F.get_json_object(response, "$.error"), response), F.lit(")"))
@@ -127,6 +136,74 @@ def read(responses: DataFrame, response: str, text: str) -> DataFrame:
     return steps.withColumn(text, outcome(F.col(response), F.col("_text"))).drop("_message", "_content", "_thought", "_text")
 
 
+def structured(text: Column) -> Column:
+    """Of a text that is one JSON object its ocr_html, or the text itself if it has a key of stamps or images; else null."""
+    s = st.stripped(text)
+    known = F.when(s.endswith("}"), _object(s))
+    return F.coalesce(structured_html(s), F.when(has_key(known, STAMP_KEYS + IMAGE_FIELDS), known))
+
+
+def json_in_reasoning(text: Column) -> Column:
+    """The JSON that reasoning is or the first object in it with a known key; null if there is none."""
+    s = st.stripped(text)
+    return F.coalesce(F.when(s.endswith("}"), _object(s)), embedded_json(s, (*STAMP_KEYS, *IMAGE_FIELDS, "ocr_html")))
+
+
+def read_structured(responses: DataFrame, response: str, text: str, source: str) -> DataFrame:
+    """Responses of the server that answers in JSON too, with each one's outcome and where it is from, as columns.
+
+    Content that is structured, content without reasoning, then JSON in the reasoning, then the html in it. Of two fields
+    for reasoning the newer one counts if it isn't empty. Without choices or text the outcome is an error.
+    """
+    steps = responses.withColumn("_message", F.get_json_object(response, "$.choices[0].message"))
+    kind = _kind(F.col("_message"), "$.content")
+    steps = steps.withColumn("_content", F.when(kind.startswith("ARRAY") | (kind == "STRING"), message_text(F.col("_message"))).otherwise(""))
+    steps = steps.withColumn("_said", F.coalesce(structured(F.col("_content")), F.nullif(strip_untagged_reasoning(F.col("_content")), F.lit(""))))
+    newer = _text(F.col("_message"), "$.reasoning")
+    steps = steps.withColumn("_newer", newer.isNotNull())
+    thought = st.stripped(F.coalesce(newer, _text(F.col("_message"), "$.reasoning_content")))
+    steps = steps.withColumn("_thought", F.when(F.col("_said").isNull(), tx.strip_thinking(thought)))
+    steps = steps.withColumn("_json", json_in_reasoning(F.col("_thought")))
+    html = F.when(F.ltrim(F.col("_thought")).startswith("<"), F.when(F.col("_thought").rlike(TEXT_TAG), F.col("_thought"))).otherwise(_after(F.col("_thought"), TEXT_TAG))
+    steps = steps.withColumn("_html", F.nullif(st.stripped(F.when(F.col("_json").isNull(), html)), F.lit("")))
+    field = F.when(F.col("_newer"), "reasoning").otherwise("reasoning_content")
+    by = F.when(F.col("_said").isNotNull(), "content").when(F.col("_json").isNotNull(), field).when(F.col("_html").isNotNull(), "reasoning_content").otherwise("empty")
+    found = F.coalesce("_said", "_json", "_html", st.error(F.lit("Qwen: пустой ответ модели")))
+    wrong = st.error(F.concat(F.lit("Qwen: некорректный ответ ("), F.coalesce(F.get_json_object(response, "$.error"), response), F.lit(")")))
+    good = F.get_json_object(response, "$.choices[0]").isNotNull()
+    out = steps.withColumns({text: F.when(good, found).otherwise(wrong), source: F.when(good, by).otherwise("error")})
+    return out.drop("_message", "_content", "_said", "_newer", "_thought", "_json", "_html")
+
+
+def final_result(code: Column, text: Column) -> Column:
+    """The result not to be retried of a request that is too long for the model; else null."""
+    return F.when(final_error(code, text).isNotNull(), st.non_retriable(F.lit(TOO_LONG)))
+
+
+def unfenced_json(text: Column) -> Column:
+    """JSON of any kind as written, a code fence's first and last line left out; null for what is none."""
+    s = st.stripped(text)
+    lines = F.split(s, "\n")
+    inner = F.when(s.startswith("```") & (F.size(lines) > 2), st.stripped(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))).otherwise(s)
+    return F.when(F.try_parse_json(inner).isNotNull(), inner)
+
+
+def storage_error(code: Column) -> Column:
+    """struct<retryable, queued> of a store's error code: only what passes by itself is tried again."""
+    passing = F.coalesce(code.isin(*PASSING), F.lit(False))
+    return F.struct(passing.alias("retryable"), passing.alias("queued"))
+
+
+def has_lookalikes(text: Column) -> Column:
+    """Whether a Latin capital that looks like a Cyrillic one stands by itself, as axes are named."""
+    return F.coalesce(text.rlike(LOOKALIKE), F.lit(False))
+
+
+def is_structured_html(data: Column) -> Column:
+    """Whether a JSON object has html of a text or of a stamp."""
+    return has_key(data, ("content_html", "stamp_html"))
+
+
 def final_error(code: Column, text: Column) -> Column:
     """The marker of an error that the same request will meet again: a context that is too small; else null."""
     return F.when((code == 400) & F.lower(text).contains("context size"), F.lit(OVERFLOW))
@@ -140,15 +217,60 @@ def parsed_json(text: Column) -> Column:
     return F.coalesce(good(F.when(s.startswith("{"), s)), good(F.nullif(fenced, F.lit(""))))
 
 
+_token = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[{}]', re.DOTALL)
+
+
+def balanced(text: str) -> str | None:
+    """From the first brace to the one that closes it; braces in strings don't count. Null if it never closes. Linear."""
+    begin, depth = text.find("{"), 0
+    if begin < 0:
+        return None
+    for m in _token.finditer(text, begin):
+        depth += {"{": 1, "}": -1}.get(m.group(), 0)
+        if not depth:
+            return text[begin:m.end()]
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _balanced(texts):
+    return texts.map(balanced, na_action="ignore")
+
+
+def _object(text: Column) -> Column:
+    """The text if it is a JSON object, else null."""
+    return F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), text)
+
+
+def has_key(data: Column, keys: tuple[str, ...]) -> Column:
+    """Whether a JSON object has one of the keys, be its value null."""
+    return F.coalesce(F.array_contains(F.array(*(_kind(data, f"$.{k}").isNotNull() for k in keys)), True), F.lit(False))
+
+
+def embedded_json(text: Column, keys: tuple[str, ...]) -> Column:
+    """The first balanced object in a text, if it is JSON and has one of the keys; null otherwise."""
+    found = _object(_balanced(F.when(text.contains("{"), text)))
+    return F.when(has_key(found, keys), found)
+
+
+def stamp_json(text: Column) -> Column:
+    """The JSON object a stamp's result is, holds in a fence marked json, or has somewhere in its text with a stamp's key."""
+    s = st.stripped(text)
+    fenced = st.stripped(F.regexp_extract(s, r"(?s)```json\s*(.*?)\s*```", 1))
+    sure = F.coalesce(_object(s), _object(fenced))
+    return F.coalesce(sure, embedded_json(F.when(sure.isNull(), s), STAMP_KEYS))
+
+
 def image_fields(data: Column) -> Column:
-    """Fields of an image's JSON, or of its analysis: type, place, texts and at most a hundred entities."""
+    """Fields of an image's JSON, or of its analysis: type, place with its level, texts with what to check, and at most a hundred entities."""
     d = F.when(_kind(data, "$.analysis").startswith("OBJECT"), F.get_json_object(data, "$.analysis")).otherwise(data)
     placed = _kind(d, "$.location").startswith("OBJECT")
     at = lambda path: F.coalesce(F.get_json_object(d, path), F.lit(""))
     entities = F.from_json(F.get_json_object(d, "$.key_entities"), "array<string>")
     return F.struct(at("$.fragment_type").alias("fragment_type"), F.when(placed, at("$.location.zone_name")).alias("zone_name"), F.when(placed, at("$.location.grid_lines")).alias("grid_lines"),
+                    F.when(placed, at("$.location.level_or_elevation")).alias("level_or_elevation"),
                     F.when(~F.coalesce(placed, F.lit(False)), _text(d, "$.location")).alias("location_text"), at("$.content_summary").alias("content_summary"),
-                    at("$.detailed_description").alias("detailed_description"), F.slice(F.coalesce(entities, F.array().cast("array<string>")), 1, 100).alias("key_entities"))
+                    at("$.detailed_description").alias("detailed_description"), at("$.verification_recommendations").alias("verification_recommendations"), F.slice(F.coalesce(entities, F.array().cast("array<string>")), 1, 100).alias("key_entities"))
 
 
 def is_image_json(data: Column) -> Column:

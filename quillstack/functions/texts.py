@@ -6,25 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstack.functions.status import stripped
-from quillstack.functions.tables import within
+from quillstack.functions.tables import RULE
+
+# Think blocks, links to junk images, and tags that make a text html.
+THINKING = (r"(?is)<think>.*?</think>", r"(?is)<think>.*$", r"(?is)^.*?</think>")
+JUNK_LINK = r"\[img:[a-f0-9]{20,}_img\]"
+TAG = r"(?i)<(?:table|thead|tbody|tr|th|td|p|div|span|h[1-6]|ul|ol|li|br|img|math|sub|sup|pre|input)(?![\p{L}\p{N}_])"
 
 
 def strip_thinking(text: Column) -> Column:
     """Without closed, unclosed and orphaned think blocks."""
-    out = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    out = F.regexp_replace(out, r"(?is)<think>.*$", "")
-    return stripped(F.regexp_replace(out, r"(?is)^.*?</think>", ""))
+    for p in THINKING:
+        text = F.regexp_replace(text, p, "")
+    return stripped(text)
 
 
 def sanitize_markdown(text: Column) -> Column:
-    """Without image placeholders, at most one empty line in a row."""
-    return stripped(F.regexp_replace(F.regexp_replace(text, r"\[img:[^\]]*_img\]", ""), r"\n{3,}", "\n\n"))
+    """Without links to junk images, at most one empty line in a row."""
+    return stripped(F.regexp_replace(F.regexp_replace(text, JUNK_LINK, ""), r"\n{3,}", "\n\n"))
 
 
 def strip_fence(text: Column) -> Column:
     """What a code fence around the whole text holds, else the text."""
-    body = F.regexp_extract(text, r"(?s)^\s*```[A-Za-z]*[ \t]*\n(.*?)\n?\s*```\s*$", 1)
-    return F.when(text.rlike(r"(?s)^\s*```[A-Za-z]*[ \t]*\n.*?\n?\s*```\s*$"), body).otherwise(text)
+    fence = r"(?s)^```\w*\s*\n(.*?)```\s*$"
+    return F.when(text.rlike(fence), stripped(F.regexp_extract(text, fence, 1))).otherwise(text)
 
 
 def escape_html(text: Column) -> Column:
@@ -36,13 +41,13 @@ def escape_html(text: Column) -> Column:
 
 def has_markdown_table(text: Column) -> Column:
     """At least two lines between pipes and one of dashes."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
-    piped = F.size(F.filter(lines, lambda x: x.startswith("|") & x.endswith("|") & (F.length(x) > 1)))
-    return (piped >= 2) & (F.size(F.filter(lines, lambda x: x.rlike(r"^\|[ :|-]*-[ :|-]*\|$"))) >= 1)
+    lines = F.transform(F.split(stripped(text), "\n"), stripped)
+    piped = F.size(F.filter(lines, lambda x: x.startswith("|") & x.endswith("|") & (F.length(x) > 2)))
+    return (piped >= 2) & (F.size(F.filter(lines, lambda x: x.rlike(RULE))) >= 1)
 
 
 def contains_html(text: Column) -> Column:
-    return text.rlike(r"(?i)<(?:p|table|div|h[1-6]|ul|ol|li|tr|td|th|br|span)\b")
+    return text.rlike(TAG)
 
 
 def stem(name: Column) -> Column:
@@ -61,22 +66,6 @@ def size_text(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 ** 2, at(1, " KB")).when(size < 1024 ** 3, at(2, " MB")).otherwise(at(3, " GB"))
 
 
-def html_to_markdown(html: Column) -> Column:
-    """Tables, headings (two levels lower), emphasis, code, lists, links and paragraphs of html; other tags are dropped."""
-    out = F.when(html.rlike(r"(?i)<table\b"), within(html)).otherwise(html)
-    out = F.regexp_replace(out, r"(?is)<(script|style)\b.*?</\1>", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?is)<pre\b[^>]*>(.*?)</pre>", "\n```\n$1\n```\n"), r"(?is)<code\b[^>]*>(.*?)</code>", "`$1`")
-    for level, mark in ((1, "####"), (2, "#####"), (3, "######"), (4, "######")):
-        out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", f"\n{mark} $1\n\n")
-    for pattern, new in ((r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)>", "**$1**"), (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)>", "*$1*"),
-                         (r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"), (r"(?is)<li\b[^>]*>(.*?)</li>", "- $1\n"),
-                         (r"(?is)<br\s*/?>", "\n"), (r"(?is)</p>", "\n\n"), (r"(?s)<[^>]+>", "")):
-        out = F.regexp_replace(out, pattern, new)
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return stripped(F.regexp_replace(out, r"\n{3,}", "\n\n"))
-
-
 def filled_prompt(prompt: Column, document: Column, page: Column, block: Column) -> Column:
     """Names in braces of a prompt replaced; pages count from one there."""
     out = F.replace(prompt, F.lit("{DOC_NAME}"), F.coalesce(document, F.lit("")))

@@ -43,9 +43,10 @@ def image_texts(blocks: DataFrame) -> DataFrame:
 
 
 def enriched(blocks: DataFrame, segments: DataFrame) -> DataFrame:
-    """Blocks with the html of their segment; method none and score 0 where there is none."""
-    s = segments.select("id", F.col("html").alias("ocr_html"), "method", "score")
-    return blocks.join(s, "id", "left").withColumns({"method": F.coalesce("method", F.lit("none")), "score": F.coalesce("score", F.lit(0.0))})
+    """Blocks with the html of their segment, of several that of the best score; method none and score 0 where there is none."""
+    best = segments.groupBy("id").agg(F.max(F.struct("score", "method", "html")).alias("_s"))
+    joined = blocks.join(best, "id", "left").withColumns({"ocr_html": F.col("_s.html"), "method": F.coalesce("_s.method", F.lit("none")), "score": F.coalesce("_s.score", F.lit(0.0))})
+    return joined.drop("_s")
 
 
 def corrected(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -59,8 +60,8 @@ def corrected(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def filled(blocks: DataFrame, results: DataFrame) -> DataFrame:
-    """Empty texts filled from earlier results; what is there stays."""
-    r = results.select("id", F.col("ocr_text").alias("_text"))
+    """Empty texts filled from earlier results, of several of one id the first in the order of texts; what is there stays."""
+    r = results.where("ocr_text <> ''").groupBy("id").agg(F.min("ocr_text").alias("_text"))
     there = F.coalesce("ocr_text", F.lit("")) != ""
     return blocks.join(r, "id", "left").withColumn("ocr_text", F.when(there, F.col("ocr_text")).otherwise(F.col("_text"))).drop("_text")
 

@@ -107,7 +107,7 @@ def without(jobs: DataFrame, files: DataFrame, settings: DataFrame, gone: DataFr
 
 def retried(jobs: DataFrame, ids: DataFrame, reset: bool = False) -> DataFrame:
     """Jobs with one more retry, or none, for the ids."""
-    hit = jobs.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    hit = jobs.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     count = F.lit(0) if reset else F.coalesce("retry_count", F.lit(0)) + 1
     return hit.withColumn("retry_count", F.when(F.col("_hit"), count).otherwise(F.col("retry_count"))).drop("_hit")
 

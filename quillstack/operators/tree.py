@@ -5,37 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.scratch import materialise
+from quillstack.scratch import discard, materialise
 
 
 def with_paths(nodes: DataFrame) -> DataFrame:
-    """path and depth of every node; a node whose parent is unknown starts its own path.
+    """way (ids from the root down), path (the same, joined by dots) and depth of every node; one whose parent is unknown is a root.
 
-    Paths grow by doubling: each round a node takes over the path of the node its own path hangs from, so a tree of n
-    levels takes about log2(n) equi-joins, each from a scratch table. A round that completes no path is the last, since
-    a node with a longer way to its root has nodes of every shorter one above it. Nodes in a cycle, which no root
-    reaches, are left out; where a repeated id lets a root reach a cycle, a path ends before an id it already holds.
+    Ways grow by doubling: each round a node takes over the way of the node its own hangs from, so a tree of n levels
+    takes about log2(n) equi-joins of ids and ways, each from a scratch table, until no way is open; the nodes' other
+    columns join at the end. Nodes in a cycle, which no root reaches, are left out; where a repeated id lets a root
+    reach a cycle, a way ends before an id it already holds. Ids may hold dots: only ``way`` is ever taken apart.
     """
     known = nodes.select(F.col("id").alias("_known")).distinct()
-    start = nodes.join(known, nodes.parent_id == F.col("_known"), "left")
-    now = start.select(nodes["*"], F.col("_known").alias("_above"), nodes.id.alias("path"), F.lit(0).alias("depth"))
-    now = materialise(now, "paths")
-    out = now.where("_above is null")
-    while True:
-        above = now.select(F.col("id").alias("_id"), F.col("_above").alias("_next"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
-        open_paths = now.where("_above is not null")
-        longer = open_paths.join(above, F.col("_above") == F.col("_id")).where(~F.arrays_overlap(F.split("_path", r"\."), F.split("path", r"\.")))
-        longer = longer.select(*(F.col(c) for c in nodes.columns), F.col("_next").alias("_above"), F.concat("_path", F.lit("."), "path").alias("path"), (F.col("_depth") + F.col("depth") + 1).alias("depth"))
-        longer = materialise(longer, "paths")
-        if longer.where("_above is null").isEmpty():
-            return out.drop("_above")
-        out = out.union(longer.where("_above is null"))
-        now = now.where("_above is null").union(longer)
+    edges = nodes.select("id", "parent_id").distinct().join(known, F.col("parent_id") == F.col("_known"), "left")
+    now = materialise(edges.select("id", "parent_id", F.col("_known").alias("above"), F.array("id").alias("way")), "ways")
+    tables, done, opened = [now], now.where("above is null"), now.where("above is not null")
+    while not opened.isEmpty():
+        above = now.select(F.col("id").alias("_id"), F.col("above").alias("_next"), F.col("way").alias("_way"))
+        longer = opened.join(above, F.col("above") == F.col("_id")).where(~F.arrays_overlap("_way", "way"))
+        longer = materialise(longer.select("id", "parent_id", F.col("_next").alias("above"), F.concat("_way", "way").alias("way")), "ways")
+        tables.append(longer)
+        done, opened = done.union(longer.where("above is null")), longer.where("above is not null")
+        now = now.where("above is null").union(longer)
+    ways = materialise(done.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"), "way"), "ways")
+    discard(*tables)
+    out = nodes.join(ways, (F.col("id") == F.col("_id")) & F.col("parent_id").eqNullSafe(F.col("_parent")))
+    return out.select(*nodes.columns, F.array_join("way", ".").alias("path"), (F.size("way") - 1).alias("depth"), "way")
 
 
 def pairs(tree: DataFrame) -> DataFrame:
-    """(ancestor, id, ...) for each proper ancestor, from the path itself: no prefix comparison of all pairs."""
-    inner = F.slice(F.split("path", r"\."), 1, F.greatest(F.col("depth"), F.lit(0)))
+    """(ancestor, id, ...) for each proper ancestor, from the way itself: no prefix comparison of all pairs."""
+    inner = F.slice("way", 1, F.greatest(F.col("depth"), F.lit(0)))
     return tree.where("depth > 0").withColumn("ancestor", F.explode(inner))
 
 
@@ -53,7 +53,7 @@ def ancestors(tree: DataFrame, of: Column) -> DataFrame:
 
 def full_names(tree: DataFrame, separator: str = " / ") -> DataFrame:
     """(id, full_name): the names on a node's path, empty ones left out."""
-    steps = tree.select("id", F.posexplode(F.split("path", r"\.")).alias("place", "step"))
+    steps = tree.select("id", F.posexplode("way").alias("place", "step"))
     names = tree.select(F.col("id").alias("step"), F.col("name").alias("step_name"))
     named = steps.join(names, "step", "left").where("step_name is not null and step_name <> ''")
     return named.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "step_name"))), lambda s: s["step_name"]), separator).alias("full_name"))
@@ -72,39 +72,38 @@ def descendant_counts(tree: DataFrame) -> DataFrame:
 def subtree_stats(tree: DataFrame, files: DataFrame) -> DataFrame:
     """Folders, documents and files of each folder's subtree, itself included."""
     own = files.groupBy(F.col("node_id").alias("id")).agg(F.count("*").alias("files"))
-    counted = tree.join(own, "id", "left").select("id", "path", "depth", "node_type", F.coalesce("files", F.lit(0)).alias("files"))
-    at = counted.withColumn("root", F.explode(F.split("path", r"\.")))
+    counted = tree.join(own, "id", "left").select("id", "way", "node_type", F.coalesce("files", F.lit(0)).alias("files"))
+    at = counted.withColumn("root", F.explode("way"))
     sums = at.groupBy("root").agg(F.count_if(F.col("node_type") == "folder").alias("folders"), F.count_if(F.col("node_type") == "document").alias("documents"), F.sum("files").alias("files"))
     return sums.join(tree.where("node_type = 'folder'").select(F.col("id").alias("root")), "root").withColumnRenamed("root", "id")
 
 
 def moved(tree: DataFrame, node_id: str, parent_id: str | None) -> DataFrame:
     """The tree after a node and all below it went under another parent; unchanged if either is missing or the parent lies below."""
-    node = tree.where(F.col("id") == node_id).select(F.col("path").alias("old_path"), F.col("depth").alias("old_depth"))
+    node = tree.where(F.col("id") == node_id).select(F.col("way").alias("old_way"))
     if parent_id is None:
-        to = node.select("old_path", "old_depth", F.lit(node_id).alias("new_path"), F.lit(0).alias("new_depth"))
+        to = node.select("old_way", F.array(F.lit(node_id)).alias("new_way"))
     else:
-        parent = tree.where(F.col("id") == parent_id).select(F.col("path").alias("p"), F.col("depth").alias("d"))
-        to = node.join(parent, ~F.col("p").startswith(F.concat("old_path", F.lit("."))))
-        to = to.select("old_path", "old_depth", F.concat("p", F.lit("." + node_id)).alias("new_path"), (F.col("d") + 1).alias("new_depth"))
+        parent = tree.where(F.col("id") == parent_id).select(F.col("way").alias("p"))
+        to = node.join(parent, ~F.array_contains("p", node_id)).select("old_way", F.concat("p", F.array(F.lit(node_id))).alias("new_way"))
     # one row at most
-    out = tree.join(F.broadcast(to.limit(1)), (F.col("path") == F.col("old_path")) | F.col("path").startswith(F.concat("old_path", F.lit("."))), "left")
-    goes = F.col("old_path").isNotNull()
-    new = {"path": F.when(goes, F.concat("new_path", F.expr("substr(path, length(old_path) + 1)"))).otherwise(F.col("path")),
-           "depth": F.when(goes, F.col("depth") - F.col("old_depth") + F.col("new_depth")).otherwise(F.col("depth")),
+    out = tree.join(F.broadcast(to.limit(1)), F.slice("way", 1, F.size("old_way")) == F.col("old_way"), "left")
+    goes = F.col("old_way").isNotNull()
+    out = out.withColumn("way", F.when(goes, F.concat("new_way", F.slice("way", F.size("old_way") + 1, F.greatest(F.size("way") - F.size("old_way"), F.lit(0))))).otherwise(F.col("way")))
+    new = {"path": F.array_join("way", "."), "depth": F.size("way") - 1,
            "parent_id": F.when(goes & (F.col("id") == node_id), F.lit(parent_id)).otherwise(F.col("parent_id"))}
     return out.withColumns(new).select(tree.columns)
 
 
 def deleted(tree: DataFrame, node_id: str) -> DataFrame:
     """Without a node and all below it."""
-    return tree.where(~F.array_contains(F.split("path", r"\."), node_id))
+    return tree.where(~F.array_contains("way", node_id))
 
 
 def visible(tree: DataFrame, text: str) -> DataFrame:
     """(id, path) of nodes whose name holds the text, or an ancestor's or a descendant's does."""
     hit = tree.where(F.lower("name").contains(text.lower()))
-    above = hit.select(F.explode(F.split("path", r"\.")).alias("id"))
+    above = hit.select(F.explode("way").alias("id"))
     below = pairs(tree).join(hit.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id")
     return tree.join(above.union(below).distinct(), "id", "left_semi").select("id", "path")
 
@@ -121,9 +120,9 @@ def repeated_names(tree: DataFrame) -> DataFrame:
 
 
 def children(tree: DataFrame, parent_id: str | None) -> DataFrame:
-    """A node's children, or the roots, in their order."""
+    """A node's children, or the roots, in their order: by sort_order, older ones first."""
     here = F.col("parent_id").isNull() if parent_id is None else F.col("parent_id") == parent_id
-    return tree.where(here).orderBy("sort_order", "name", "id")
+    return tree.where(here).orderBy("sort_order", "created_at", "id")
 
 
 def child_types(node_type: Column) -> Column:
@@ -133,7 +132,7 @@ def child_types(node_type: Column) -> Column:
 
 def locked(tree: DataFrame, ids: DataFrame, lock: bool = True) -> DataFrame:
     """Documents of these ids with is_locked set or cleared; other nodes stay."""
-    hit = tree.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    hit = tree.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     return hit.withColumn("is_locked", F.when(F.col("_hit") & (F.col("node_type") == "document"), lock).otherwise(F.coalesce("is_locked", F.lit(False)))).drop("_hit")
 
 

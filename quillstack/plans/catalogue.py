@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions import geometry as geo
 from quillstack.functions import ids
+from quillstack.functions import markup as mk
 from quillstack.functions import responses as rs
 from quillstack.functions import status as st
 from quillstack.functions import tables as tb
@@ -17,25 +16,14 @@ from quillstack.operators import blocks as bl
 from quillstack.operators import files as fi
 from quillstack.operators import jobs as jo
 from quillstack.operators import tree as tr
+from quillstack.plans.registry import ORACLE_SQL, QUERIES, query
 from quillstack.scratch import materialise
 from quillstack.sources import binding as b
 from quillstack.sources.binding import BLOCKS, EDGES, EVENTS, FILES, JOBS, LINES, LISTING, TREE
 from quillstack.streaming import events as ev
 
 LISTING_ONLY, BLOCKS_ONLY = LISTING.removeprefix(LINES + ", "), BLOCKS.removeprefix(LINES + ", ")
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as recognition results: some with error markers, blank, or with a model's own words."""
@@ -514,11 +502,11 @@ def strip_thinking(spark, sf_dir):
     return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.strip_thinking(said).alias("text"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || '[img:ab_img]' || chr(10) || chr(10) || chr(10) || chr(10) || text, '\\[img:[^\\]]*_img\\]', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS markdown,
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || '[img:0123456789abcdef0123_img]' || chr(10) || chr(10) || chr(10) || chr(10) || text, '\\[img:[a-f0-9]{20,}_img\\]', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS markdown,
 replace(replace(replace(replace(text || '<a href="x">&', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
 def sanitize_texts(spark, sf_dir):
     t = F.col("text")
-    return b.table(spark, sf_dir, "documents").select("doc_id", tx.sanitize_markdown(F.concat(t, F.lit("[img:ab_img]\n\n\n\n"), t)).alias("markdown"), tx.escape_html(F.concat(t, F.lit('<a href="x">&'))).alias("escaped"))
+    return b.table(spark, sf_dir, "documents").select("doc_id", tx.sanitize_markdown(F.concat(t, F.lit("[img:0123456789abcdef0123_img]\n\n\n\n"), t)).alias("markdown"), tx.escape_html(F.concat(t, F.lit('<a href="x">&'))).alias("escaped"))
 
 
 @query(f"WITH {FILES} SELECT r2_key, 'p/' || regexp_replace(file_name, '(?i)\\.pdf$', '') || '_ocr.html' AS html, CASE WHEN file_size < 1024 THEN file_size || ' B' WHEN file_size < 1048576 THEN printf('%.1f', file_size / 1024) || ' KB' ELSE printf('%.1f', file_size / 1048576) || ' MB' END AS size FROM files")
@@ -529,7 +517,7 @@ def export_keys(spark, sf_dir):
 @query()
 def page_markdown(spark, sf_dir):
     """Pages' html as Markdown; tests compare with plain Python."""
-    return b.table(spark, sf_dir, "pages").select("page_id", tx.html_to_markdown(F.col("html")).alias("markdown"))
+    return mk.with_markdown(b.table(spark, sf_dir, "pages").select("page_id", "html"), "html", "markdown").select("page_id", "markdown")
 
 
 @query(f"""WITH {IMAGES}, ok AS (SELECT *, CASE WHEN coalesce(ocr_text, '') = '' OR starts_with(ocr_text, '[') THEN '*(no data)*' ELSE ocr_text END AS md FROM blocks)
@@ -686,10 +674,11 @@ def parse_response(spark, sf_dir):
 
 
 @query(f"""WITH {SAID} SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '<p>' || text || '</p>' WHEN 1 THEN array_to_string(list_filter([t, t, 'end'], lambda x: x <> ''), chr(10)) WHEN 5 THEN regexp_replace('Let me see. ' || text, '\\s+$', '') ELSE '' END AS text
-FROM said WHERE turn % 6 NOT IN (2, 4)""")
+FROM said""")
 def message_text(spark, sf_dir):
     message = F.get_json_object("response", "$.choices[0].message")
-    return _responses(spark, sf_dir).where("turn % 6 not in (2, 4)").select("conv_id", "turn", rs.message_text(message).alias("text"))
+    plain = F.when(F.col("turn") % 6 != 2, rs.message_text(message))  # not the JSON text of a structured one
+    return _responses(spark, sf_dir).select("conv_id", "turn", F.coalesce(plain, F.lit("")).alias("text"))
 
 
 @query(f"""WITH m AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'I need to read. ' || text WHEN 1 THEN 'Here <b>is</b> <p>' || text ELSE text END AS x FROM conversations) SELECT conv_id, turn, {_CUT.format("x")} AS text FROM m""")
@@ -734,17 +723,18 @@ def json_quality(spark, sf_dir):
     return read.select("l_orderkey", "line", rs.json_quality(F.col("ocr_text"), F.col("data")).alias("quality"), F.col("data").isNotNull().alias("found"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'plan' ELSE '' END AS fragment_type, CASE WHEN p_size % 3 = 0 THEN p_type END AS zone_name, CASE WHEN p_size % 3 <> 0 THEN p_type END AS location_text, p_name AS content_summary,
-CASE WHEN p_size % 5 = 0 THEN [p_brand, p_name] ELSE []::varchar[] END AS key_entities, true AS is_image FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 11 <> 0 THEN 'plan' ELSE '' END AS fragment_type, CASE WHEN p_size % 3 = 0 THEN p_type END AS zone_name, CASE WHEN p_size % 3 <> 0 THEN p_type END AS location_text, CASE WHEN p_size % 11 = 0 THEN '' ELSE p_name END AS content_summary,
+CASE WHEN p_size % 3 = 0 THEN '+3.5' END AS level_or_elevation, CASE WHEN p_size % 4 = 0 THEN 'check' ELSE '' END AS verification_recommendations,
+CASE WHEN p_size % 5 = 0 THEN [p_brand, p_name, 'E3'] ELSE []::varchar[] END AS key_entities, p_size % 11 <> 0 AS is_image FROM part""")
 def image_ocr_fields(spark, sf_dir):
     size = F.col("p_size")
-    place = F.when(size % 3 == 0, F.to_json(F.struct(F.col("p_type").alias("zone_name")))).otherwise(F.concat(F.lit('"'), "p_type", F.lit('"')))
-    entities = F.when(size % 5 == 0, F.to_json(F.array("p_brand", "p_name"))).otherwise(F.lit('"none"'))
-    data = F.concat(F.lit('{"location":'), place, F.lit(',"key_entities":'), entities, F.lit(',"content_summary":"'), "p_name", F.lit('"'), F.when(size % 2 == 0, F.lit(',"fragment_type":"plan"')).otherwise(""), F.lit("}"))
+    place = F.when(size % 3 == 0, F.to_json(F.struct(F.col("p_type").alias("zone_name"), F.lit("+3.5").alias("level_or_elevation")))).otherwise(F.concat(F.lit('"'), "p_type", F.lit('"')))
+    entities = F.when(size % 5 == 0, F.to_json(F.array("p_brand", "p_name", F.lit("E3")))).otherwise(F.lit('"none"'))
+    data = F.concat(F.lit('{"location":'), place, F.lit(',"key_entities":'), entities, F.when(size % 11 == 0, F.lit(',"summary":"')).otherwise(',"content_summary":"'), "p_name", F.lit('"'), F.when(size % 4 == 0, F.lit(',"verification_recommendations":"check"')).otherwise(""), F.when((size % 2 == 0) & (size % 11 != 0), F.lit(',"fragment_type":"plan"')).otherwise(""), F.lit("}"))
     data = F.when(size % 7 == 0, F.concat(F.lit('{"analysis":'), data, F.lit("}"))).otherwise(data)
     read = b.table(spark, sf_dir, "part").select("p_partkey", data.alias("data"))
     read = read.select("p_partkey", rs.image_fields(F.col("data")).alias("f"), rs.is_image_json(F.col("data")).alias("is_image"))
-    return read.select("p_partkey", "f.fragment_type", "f.zone_name", "f.location_text", "f.content_summary", "f.key_entities", "is_image")
+    return read.select("p_partkey", "f.fragment_type", "f.zone_name", "f.location_text", "f.content_summary", "f.level_or_elevation", "f.verification_recommendations", "f.key_entities", "is_image")
 
 
 @query("""SELECT p_partkey, '| Name | Size\\| |' || chr(10) || '|---|---|' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |' || chr(10) || '|  | ' || p_brand || ' ' || p_type || ' |' || chr(10) || '| wide |  |' AS markdown FROM part""".replace("\\\\", "\\"))

@@ -47,8 +47,19 @@ def test_parse_response(spark):
 def test_spans_and_pipes(spark):
     html = '<table><tr><th colspan="2">a|b</th><th>c</th></tr><tr><td rowspan=2>x<br>y</td><td>1\n 2</td></tr><tr></tr><tr><td>3</td><td>4</td><td>5</td></tr></table>'
     assert tables.markdown_of(html) == "| a\\|b |  | c |  |\n|---|---|---|---|\n| x y | 1 2 |  |  |\n|  | 3 | 4 | 5 |"
-    assert tables.markdown_of("<table></table>") == "" and tables.markdown_tables_to_html("| a |\n| b |") == "<table><thead><tr><th>a</th></tr></thead><tbody><tr><td>b</td></tr></tbody></table>"
-    assert tables.markdown_tables_to_html(" x\n\n|--|\n| a | <b> |") == "<p>x</p>\n<table><thead><tr><td>a</td><td>&lt;b&gt;</td></tr></thead></table>"
+    assert tables.markdown_of("<table></table>") == "" and tables.tables_in("a<table><tr><td>b</td></tr></table>c<table>") == "a| b |\n|---|c<table>"
+
+
+def test_markdown_tables_as_html(spark):
+    cases = {
+        "| a |\n| b |": "<table><thead><tr><th>a</th></tr></thead><tbody><tr><td>b</td></tr></tbody></table>",
+        " x\n\n|--|\n| a | <b> |": "<p>x</p>\n<table><thead><tr><td>a</td><td>&lt;b&gt;</td></tr></thead></table>",
+        "|--|\n|--|": "", "|--|\ny": "\n<p>y</p>", "||\n|": "<p>||</p>\n<p>|</p>", "|a|b|\n|--|:--:|\n||c||\nz\n|d|": (
+            "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>c</td></tr></tbody></table>\n<p>z</p>\n<table><thead><tr><th>d</th></tr></thead></table>"),
+        "": "", "<hr><tr>": "<p>&lt;hr&gt;&lt;tr&gt;</p>"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").coalesce(1).select(tables.to_html(F.col("t"))).collect()
+    assert [r[0] for r in got] == list(cases.values())
+    assert spark.range(1).select(tables.to_html(F.lit(None).cast("string"))).first()[0] is None
 
 
 def test_mixed_texts_against_plain_python(spark, sf_dir):
@@ -63,7 +74,8 @@ def test_mixed_texts_against_plain_python(spark, sf_dir):
             continue
         left, n = re.subn(r'(?is)<div\b[^>]*\bdata-label\s*=\s*"Image"[^>]*>.*?</div>', "", text)
         left, m = re.subn(r"(?i)<img\b[^>]*/?\s*>", "", left)
-        left, g = tables.without_narrative(left)
+        runs = [m.group(1) for m in re.finditer(tables.LATIN, left) if re.search(tables.NARRATIVE, m.group(1))]
+        g, left = len(runs), re.sub(tables.LATIN, lambda m: "" if re.search(tables.NARRATIVE, m.group(1)) else m.group(1), left)
         left = re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", left)).strip()
         assert (r.text, r.removed_chars, r.removed_image_segments) == (left, len(text) - len(left), n + m + g)
 
