@@ -25,6 +25,8 @@ SOFT = {"ads": 1, "babes": 2, "bet": 1, "bets": 1, "betting": 2, "bingo": 1, "bo
         "poker": 1, "prize": 1, "promo": 1, "replica": 1, "singles": 1, "slots": 1, "spam": 1, "teen": 1, "track": 1, "win": 1, "winner": 1}
 #: Weight of distinct soft terms that blocks, if there are two of them at least.
 SOFT_LIMIT = 2
+#: Terms that a vocabulary may have: some hundred bytes each in every worker.
+MOST_TERMS = 1_000_000
 
 _lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _escape = re.compile(r"%([0-9a-fA-F]{2})")
@@ -53,9 +55,9 @@ def plain(url: str | None) -> str:
 
 @lru_cache(maxsize=8)
 def _automaton(strict: tuple[str, ...], soft: tuple[tuple[str, float], ...]) -> ahocorasick.Automaton:
-    """Terms with their weights; zero marks a strict one."""
+    """Terms with their weights, None for strict ones; a term of both kinds is strict."""
     found = ahocorasick.Automaton()
-    for term, weight in (*soft, *((t, 0) for t in strict)):
+    for term, weight in (*soft, *((t, None) for t in strict)):
         found.add_word(term, (term, weight))
     found.make_automaton()
     return found
@@ -69,17 +71,23 @@ def weigh(url: str | None, strict: tuple[str, ...] = STRICT, soft: tuple[tuple[s
         start = end - len(term)
         if start >= 0 and text[start] in _alnum or end + 1 < len(text) and text[end + 1] in _alnum:
             continue
-        if weight:
-            seen[term] = weight
-        else:
+        if weight is None:
             n += 1
+        else:
+            seen[term] = weight
     return n, len(seen), sum(seen.values())
 
 
-def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], dict[str, float]]:
-    """Strict and soft terms of a table (term, weight), at most 100,000 rows; a null weight makes a term strict."""
-    rows = terms.where("term <> ''").select(F.lower("term").alias("term"), "weight").limit(100_000).collect()
-    return tuple(sorted({r.term for r in rows if r.weight is None})), {r.term: r.weight for r in sorted(rows) if r.weight is not None}
+def vocabulary(terms: DataFrame, most: int = MOST_TERMS) -> tuple[tuple[str, ...], dict[str, float]]:
+    """Strict and soft terms of a table (term, weight): a null weight makes a term strict, of several weights the largest counts.
+
+    Every worker holds the terms, so a table of more than ``most`` different ones is an error; none are left out.
+    """
+    each = terms.where("term <> ''").groupBy(F.lower("term").alias("term")).agg(F.bool_or(F.col("weight").isNull()).alias("strict"), F.max("weight").alias("weight"))
+    rows = each.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return tuple(sorted(r.term for r in rows if r.strict)), {r.term: r.weight for r in sorted(rows) if not r.strict}
 
 
 def rule_of(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
@@ -129,12 +137,14 @@ def oracle() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in RULES)
-    hits = " + ".join(f"len(regexp_extract_all(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)'))" for t in STRICT)
+    # each separator twice, as two neighbouring hits share one
+    hits = " + ".join(f"len(regexp_extract_all(wide, '(^|[^a-z0-9]){t}([^a-z0-9]|$)'))" for t in STRICT)
     return f"""
 WITH u AS (SELECT page_id, url, {low} AS low, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 c AS (SELECT page_id, low, regexp_extract(rest, '^[^?#]*') AS body FROM u),
 p AS (SELECT page_id, low, translate(regexp_extract(body, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              substr(body, length(regexp_extract(body, '^[^/]*')) + 1) AS path FROM c),
-r AS (SELECT *, {rule} AS rule, ({hits})::bigint AS strict_hits, ({count(dict.fromkeys(SOFT, 1))})::bigint AS soft_hits, ({count(SOFT)})::double AS soft_weight FROM p)
+w AS (SELECT *, regexp_replace(low, '([^a-z0-9])', '\\1\\1', 'g') AS wide FROM p),
+r AS (SELECT *, {rule} AS rule, ({hits})::bigint AS strict_hits, ({count(dict.fromkeys(SOFT, 1))})::bigint AS soft_hits, ({count(SOFT)})::double AS soft_weight FROM w)
 SELECT page_id, host, path, rule, {verdict} ELSE CASE WHEN strict_hits > 0 OR soft_hits > 1 AND soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END END AS verdict,
        strict_hits, soft_hits, soft_weight FROM r"""

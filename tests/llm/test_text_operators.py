@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -132,6 +133,28 @@ def test_url_rules_and_terms(spark):
     assert {r.page_id: r.verdict for r in urls.judge(own.union(own), strict=strict, soft=soft, soft_limit=1.5).collect()} == {1: "block", 2: "block", 3: "allow", None: "allow"}
 
 
+def test_vocabularies_from_tables(spark):
+    rows = [("Foo", None), ("foo", 2.0), ("zero", 0.0), ("bar", 1.0), ("bar", 3.0), ("", 1.0), (None, 1.0)]
+    strict, soft = urls.vocabulary(spark.createDataFrame(rows, "term string, weight double"))
+    assert (strict, soft) == (("foo",), {"bar": 3.0, "zero": 0.0})
+    with pytest.raises(ValueError):
+        urls.vocabulary(spark.createDataFrame(rows, "term string, weight double"), most=2)
+    assert urls.weigh("http://x.net/foo", ("foo",), (("foo", 2.0),)) == (1, 0, 0) and urls.weigh("http://x.net/zero", (), (("zero", 0.0),)) == (0, 1, 0.0)
+    page = spark.createDataFrame([(1, "http://x.net/zero/bar", "clash")], "page_id long, url string, verdict string")
+    assert [(r.verdict, r.strict_hits, r.soft_hits) for r in urls.judge(page, strict=(), soft=soft).collect()] == [("block", 0, 2)]
+    assert urls.judge(page.limit(0)).count() == 0
+
+
+def test_neighbouring_hits_share_a_boundary_in_the_sql_too(spark):
+    made = ["http://a.net/sex/sex/sex/", "http://sex.sex/xsex/sexx", "sex", "http://a.net/free-bonus_win?bet&bet", None, "", "http://a.net/%73ex/" + "sex/" * 5_000]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(made)))
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    got = sorted(((r.page_id, r.strict_hits, r.soft_hits, r.verdict) for r in urls.judge(df).collect()))
+    assert got == sorted(con.sql(f"SELECT page_id, strict_hits, soft_hits, verdict FROM ({urls.oracle()})").fetchall()) and got[0][1] == 3 and got[-1][1] == 5_001
+
+
 def test_archives_round_trip(spark):
     long, other = "x" * 150_000 + "\r\n\r\nWARC/1.1\r\n", "é" * 60
     data = [(3, "http://a/\r\nb", long), (1, "u", long), (2, None, other), (5, "u", other), (5, "u", other), (6, "u", "short"), (7, "u", "short"), (8, "u", None), (9, "u", ""), (None, "u", "null id")]
