@@ -16,7 +16,8 @@ def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def to_shares(px: Column, width: Column, height: Column) -> Column:
-    return box(px[0] / width, px[1] / height, px[2] / width, px[3] / height)
+    """Null where the page has no width or height."""
+    return box(*(F.try_divide(px[i], side) for i, side in enumerate((width, height, width, height))))
 
 
 def to_pixels(shares: Column, width: Column, height: Column) -> Column:

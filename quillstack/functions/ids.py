@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations, product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstack.functions.once import once
+
 # The alphabet, look-alikes of each character, and look-alikes of hexadecimal digits.
 ALPHABET = "34679ACDEFGHJKLMNPQRTUVWXY"
 LOOKALIKES = {
@@ -31,23 +33,18 @@ def value_at(code: Column, i: int) -> Column:
     return F.greatest(F.instr(F.lit(ALPHABET), F.substring(code, i + 1, 1)) - 1, F.lit(0))
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f names it: a lambda binds it, so no expression is copied."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def checksum(payload: Column) -> Column:
     """Three letters: sums of the letters' values, plain and with two weights by place."""
     values = F.array(*(F.when(F.length(payload) > i, value_at(payload, i)).otherwise(0) for i in range(PAYLOAD)))
     def letters(v: Column) -> Column:
         weighed = lambda weight: _letter(sum((v[i] * weight(i) for i in range(1, PAYLOAD)), v[0] * weight(0)))
         return F.concat(weighed(lambda i: 1), weighed(lambda i: i + 3), weighed(lambda i: (i + 7) * (i + 1)))
-    return _once(values, letters)
+    return once(values, letters)
 
 
 def payload_of(number: Column) -> Column:
     """Eight letters for a 40-bit number; one that needs nine loses its last, as ids have always been written."""
-    short = _once(number, lambda n: F.when(n >= SPAN, F.floor(n / 26)).otherwise(n).cast("string"))
+    short = once(number, lambda n: F.when(n >= SPAN, F.floor(n / 26)).otherwise(n).cast("string"))
     return F.translate(F.lpad(F.conv(short, 10, 26), PAYLOAD, "0"), DIGITS, ALPHABET)
 
 
@@ -62,7 +59,7 @@ def plain(code: Column) -> Column:
 def encode(uuid: Column) -> Column:
     """XXXX-XXXX-XXX from the first ten hexadecimal digits of a uuid."""
     prefix = F.substring(F.lower(F.replace(uuid, F.lit("-"), F.lit(""))), 1, 10)
-    return _once(payload_of(F.conv(prefix, 16, 10).cast("long")), lambda p: _once(F.concat(p, checksum(p)), lambda c: F.when(c.isNotNull(), dashed(c))))
+    return once(payload_of(F.conv(prefix, 16, 10).cast("long")), lambda p: once(F.concat(p, checksum(p)), lambda c: F.when(c.isNotNull(), dashed(c))))
 
 
 def _valid(clean: Column) -> Column:
@@ -71,7 +68,7 @@ def _valid(clean: Column) -> Column:
 
 def is_valid(code: Column) -> Column:
     """Whether 11 letters of the alphabet end in the checksum of the first eight."""
-    return _once(plain(code), _valid)
+    return once(plain(code), _valid)
 
 
 def is_code(block_id: Column) -> Column:
@@ -82,7 +79,7 @@ def is_code(block_id: Column) -> Column:
 def decode(code: Column) -> Column:
     """Ten hexadecimal digits of a valid code, else null."""
     digits = lambda c: F.lpad(F.lower(F.conv(F.translate(F.substring(c, 1, PAYLOAD), ALPHABET, DIGITS), 26, 16)), 10, "0")
-    return _once(plain(code), lambda c: F.when(_valid(c), digits(c)))
+    return once(plain(code), lambda c: F.when(_valid(c), digits(c)))
 
 
 def migrated(block_id: Column) -> Column:
