@@ -123,6 +123,6 @@ def counts(jobs: DataFrame) -> DataFrame:
 
 
 def has_room(jobs: DataFrame, most: int = 100) -> DataFrame:
-    """(active, room): queued and processed jobs, and whether the queue takes another."""
+    """(active, room): queued and processed jobs, and whether the queue takes another; without a limit (0) it always does."""
     n = F.count_if(F.col("status").isin("queued", "processing"))
-    return jobs.agg(n.alias("active"), (n < most).alias("room"))
+    return jobs.agg(n.alias("active"), ((n < most) | F.lit(most <= 0)).alias("room"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from quillstack.operators import canonical as ca
 from quillstack.operators import filters as fl
 from quillstack.operators import listings as ls
+from quillstack.operators import verification as ve
 from quillstack.plans.registry import query
 from quillstack.sources import binding as b
+from quillstack.sources import migration as mi
 from quillstack.sources.binding import BLOCKS, HEIGHT, LISTING, WIDTH
 
 
@@ -122,3 +124,75 @@ def listing_pages(spark, sf_dir):
     """Every page of a listing at once: its ends and what it holds."""
     found = ls.numbered(ls.entries(stored_objects(spark, sf_dir), "tree_docs/"), [("name", True), ("is_folder", True)], 100)
     return found.groupBy("page").agg(F.count("*").alias("entries"), F.min("name").alias("first"), F.max("name").alias("last"), F.sum("n").alias("objects"))
+
+
+def written_annotations(spark, sf_dir):
+    """(node_id, data): blocks as annotations of version 0 to 2, some fields left out, and texts that are none."""
+    rows = b.blocks(spark, sf_dir)
+    n, pos = F.substring("doc_id", 2, 20).cast("long"), F.col("pos")
+    old = n % 4 == 1
+    block = F.struct("pos", F.when(~old | (pos % 5 != 0), F.col("id")).alias("id"), F.col("page").alias("page_index"), "coords_px", F.when(~old | (pos % 3 == 2), F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.4)))).alias("coords_norm"),
+                     F.when(~old | (pos % 7 != 0), F.col("block_type")).alias("block_type"), F.when(~old | (pos % 2 == 0), F.lit("user")).alias("source"))
+    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    page = F.struct(F.col("page").alias("page_number"), F.when(F.col("page") != 1, WIDTH).otherwise(0).alias("width"), F.lit(HEIGHT).alias("height"), "blocks")
+    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    n = F.substring("doc_id", 2, 20).cast("long")
+    whole = F.to_json(F.struct(F.lit("x.pdf").alias("pdf_path"), "pages"))
+    data = F.when(n % 4 == 0, F.to_json(F.flatten("pages.blocks"))).when(n % 4 == 1, whole).when(n % 4 == 2, whole).when(n % 3 == 0, F.lit("[1, 2]")).when(n % 3 == 1, F.lit('{"pages": [5, {"blocks": 1}]}')).otherwise("{broken")
+    return docs.select(F.col("doc_id").alias("node_id"), data.alias("data"))
+
+
+@query(f"""WITH {BLOCKS}, d AS (SELECT DISTINCT doc_id, substr(doc_id, 2)::bigint AS n FROM blocks), f AS (SELECT doc_id, min_by(pos, (page, pos)) AS first FROM blocks GROUP BY 1)
+SELECT doc_id AS node_id, CASE n % 4 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN first % 2 = 0 AND first % 3 = 2 THEN 2 ELSE 1 END WHEN 2 THEN 2 END AS version, n % 4 <> 3 AS success, n % 4 = 0 OR (n % 4 = 1 AND NOT (first % 2 = 0 AND first % 3 = 2)) AS migrated,
+  CASE WHEN n % 4 <> 3 THEN '' WHEN n % 3 = 1 THEN 'no pdf_path; page 0 is no object; page 1 has blocks that are no list' ELSE 'not an object' END AS errors FROM d JOIN f USING (doc_id)""")
+def annotation_versions(spark, sf_dir):
+    """The version of each annotation, and what is wrong with those that have none."""
+    found = mi.documents(written_annotations(spark, sf_dir))
+    return found.withColumn("errors", F.array_join("errors", "; "))
+
+
+@query(f"""WITH {BLOCKS}, o AS (SELECT *, substr(doc_id, 2)::bigint AS n FROM blocks), w AS (
+  SELECT doc_id, page, pos, CASE WHEN pos % 5 = 0 AND pos % 7 = 0 THEN 'dropped without block_type, id' WHEN pos % 5 = 0 THEN 'dropped without id' ELSE 'dropped without block_type' END AS warning FROM o WHERE n % 4 = 1 AND (pos % 5 = 0 OR pos % 7 = 0)
+  UNION ALL SELECT doc_id, page, pos, 'filled source' FROM o WHERE n % 4 = 1 AND pos % 5 <> 0 AND pos % 7 <> 0 AND pos % 2 = 1
+  UNION ALL SELECT doc_id, page, pos, CASE WHEN page = 1 THEN 'filled default_coords_norm' ELSE 'filled coords_norm' END FROM o WHERE n % 4 = 1 AND pos % 5 <> 0 AND pos % 7 <> 0 AND pos % 3 <> 2)
+SELECT doc_id AS node_id, page, warning, count(*) AS n FROM w GROUP BY ALL""")
+def annotation_warnings(spark, sf_dir):
+    """What migration dropped and filled, counted by page; positions within a page are the block's own."""
+    return mi.warnings(mi.outcomes(written_annotations(spark, sf_dir))).groupBy("node_id", "page", "warning").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {BLOCKS}, o AS (SELECT *, substr(doc_id, 2)::bigint AS n FROM blocks)
+SELECT doc_id AS node_id, page, id, CASE WHEN n % 4 = 1 AND pos % 3 <> 2 THEN CASE WHEN page = 1 THEN 0.1 ELSE px[3] / {WIDTH}::double END ELSE 0.3 END AS right_share, 'user' AS source FROM o WHERE n % 4 <> 3 AND NOT (n % 4 = 1 AND (pos % 5 = 0 OR pos % 7 = 0))""")
+def annotation_migrated(spark, sf_dir):
+    """Blocks of all versions as the present one has them."""
+    found = mi.kept(mi.outcomes(written_annotations(spark, sf_dir)))
+    return found.select("node_id", "page", "id", F.col("coords_norm")[2].alias("right_share"), "source")
+
+
+LOST = BLOCKS + """, lost AS (SELECT doc_id, id, page, pos FROM blocks WHERE block_type = 'text' AND (coalesce(ocr_text, '') = '' OR starts_with(ocr_text, '[Ошибка')))"""
+_QUOTA = "(n <= 2 OR k <= greatest(1, floor(n * (2 / n))))"
+
+
+def again(blocks, number):
+    """A recogniser for tests and queries: fails for a third of the positions, other ones each round."""
+    return blocks.select("id", F.when((F.col("pos") + number) % 3 == 0, "[Ошибка: again]").otherwise(f"round {number}").alias("text"))
+
+
+@query(f"""WITH {LOST}, a AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS k FROM lost),
+one AS (SELECT id, 1 AS round, CASE WHEN (pos + 1) % 3 = 0 THEN '[Ошибка: again]' ELSE 'round 1' END AS text FROM a WHERE {_QUOTA}),
+left_over AS (SELECT * FROM lost WHERE id NOT IN (SELECT id FROM one WHERE text = 'round 1')),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS k FROM left_over)
+SELECT * FROM one UNION ALL SELECT id, 2, CASE WHEN (pos + 2) % 3 = 0 THEN '[Ошибка: again]' ELSE 'round 2' END FROM c WHERE {_QUOTA}""")
+def verification_rounds(spark, sf_dir):
+    """The attempts of two rounds over texts, two of a document in each."""
+    return ve.verified(b.blocks(spark, sf_dir), again, 2, 2, ("text",))
+
+
+@query(f"""WITH {BLOCKS} SELECT doc_id, id, block_type, CASE WHEN coalesce(ocr_text, '') = '' THEN 'empty' WHEN starts_with(ocr_text, '[Ошибка') THEN 'api_error' ELSE 'suspicious_output' END AS reason FROM blocks
+WHERE block_type <> 'text' AND NOT coalesce(starts_with(ocr_text, '[Не'), false) AND NOT (pos = 1 AND NOT coalesce(starts_with(ocr_text, '['), false))""")
+def missing_stamps_and_images(spark, sf_dir):
+    """Stamps and images to recognise again: all but those whose result holds JSON."""
+    blocks = b.blocks(spark, sf_dir)
+    blocks = blocks.withColumn("ocr_text", F.when((F.col("pos") == 1), F.lit('{"document_code": "x", "content_summary": "y"}')).otherwise(F.col("ocr_text")))
+    found = [ve.missing(blocks, k).select("doc_id", "id", F.lit(k).alias("block_type"), "reason") for k in ("stamp", "image")]
+    return found[0].union(found[1])

@@ -1,9 +1,12 @@
 """Annotations carried to other pages, filters as data and listings by pages against plain models."""
 
 import datetime
+import json
 import random
 
-from quillstack.operators import canonical, filters, listings
+from quillstack.operators import canonical, filters, jobs, listings, verification
+from quillstack.plans import views
+from quillstack.sources import migration
 
 BLOCK = "struct<id: string, coords_px: array<int>, coords_norm: array<double>, shape_type: string, polygon: array<struct<x: int, y: int>>>"
 DOCUMENT = f"doc_id string, pdf_path string, pages array<struct<page_number: int, width: int, height: int, blocks: array<{BLOCK}>>>"
@@ -134,3 +137,41 @@ def test_pages_of_a_listing_join_to_the_whole(spark):
     pages = listings.numbered(listings.entries(objects, "p/"), [("name", True), ("is_folder", True)], 7).collect()
     order = sorted((r.name, r.is_folder) for r in whole)
     assert sorted((r.page, r.name, r.is_folder) for r in pages) == [(k // 7, *x) for k, x in enumerate(order)]
+
+
+def test_a_verification_that_stops_goes_on_to_the_same_attempts(spark):
+    schema = "doc_id string, id string, page int, pos int, block_type string, ocr_text string, category_code string"
+    rows = [("d", f"t{k}", k // 3, k, "text", [None, "fine text", "[Ошибка: x]", "[НеПовторяемая ошибка: y]", " "][k % 5], None) for k in range(20)]
+    rows += [("d", f"s{k}", k, 50 + k, "stamp" if k else "image", ["", '{"stage": 1}', "no json", "{}"][k], None if k else "stamp") for k in range(4)] + [("e", "i", 0, 0, "image", "[Ошибка: x]", None)]
+    blocks = spark.createDataFrame(rows, schema)
+    key = lambda df: sorted(map(tuple, df.select("id", "round", "text").collect()))
+    whole = verification.verified(blocks, views.again, 3, 5)
+    part = verification.verified(blocks, views.again, 1, 5)
+    assert key(verification.verified(blocks, views.again, 3, 5, attempts=part)) == key(whole) and key(part) == [r for r in key(whole) if r[1] == 1]
+    ids = {r[0] for r in key(whole)}
+    assert {"s0", "s2", "s3", "i"} <= ids and not {"s1", "t1", "t3"} & ids
+    assert max(sum(r[1] == n and r[0][0] == "t" for r in key(whole)) for n in (1, 2, 3)) == 5
+    assert verification.applied(blocks, whole).where("ocr_text like 'round%'").count() == len({r[0] for r in key(whole) if r[2].startswith("round")})
+    assert key(verification.verified(blocks.limit(0), views.again, 2, 5)) == []
+    none = spark.createDataFrame([("queued",)] * 3, "status string")
+    assert [jobs.has_room(none, n).first().room for n in (0, 3, 4)] == [True, False, True]
+
+
+def test_annotations_of_every_version_and_none(spark):
+    block = {"id": "a", "page_index": 0, "coords_px": [1, 2, 3, 4], "block_type": "text"}
+    cases = {
+        "flat": [block | {"page_index": 2, "coords_px": [0, 0, 2000, 10]}, {"page_index": 0}], "empty": {"pdf_path": None, "pages": []}, "stated": {"pdf_path": "x", "format_version": 1, "pages": [{"blocks": [block | {"source": "s", "coords_norm": [0, 0, 1, 1]}]}]},
+        "old": {"pdf_path": "x", "pages": [{"width": 10, "height": 20}, {"page_number": 5, "width": 10, "height": 20, "blocks": [block, {"id": "b", "coords_px": [1, 1, 1, 1]}, {}]}]}, "new": {"pdf_path": "x", "pages": [{"blocks": [{"source": "s", "coords_norm": None}]}]},
+        "list": [1], "no list": {"pdf_path": "x", "pages": 5}, "bad": {"pages": [{"blocks": {}}, 3]}, "text": "x"}
+    rows = [(k, json.dumps(v)) for k, v in cases.items()] + [("broken", "{"), ("null", None), ("none", "[]")]
+    df = spark.createDataFrame(rows, "node_id string, data string")
+    got = {r.node_id: (r.version, r.success, r.migrated, r.errors) for r in migration.documents(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"flat": 0, "empty": 2, "stated": 1, "old": 1, "new": 2, "list": None, "no list": None, "bad": None, "text": None, "broken": None, "null": None, "none": None}
+    assert got["bad"][3] == ["no pdf_path", "page 0 has blocks that are no list", "page 1 is no object"] and got["no list"][3] == ["pages are no list"] and got["none"][3] == ["not an object"] and got["flat"][1:3] == (True, True)
+    found = migration.outcomes(df)
+    assert sorted((r.node_id, r.pos, r.warning) for r in migration.warnings(found).collect()) == [
+        ("old", 0, "filled coords_norm"), ("old", 0, "filled source"), ("old", 1, "dropped without block_type, page_index"), ("old", 2, "dropped without block_type, coords_px, id, page_index")]
+    kept = {(r.node_id, r.id): (r.page, r.coords_norm, r.source, r.shape_type) for r in migration.kept(found).collect()}
+    assert kept[("old", "a")] == (5, [0.1, 0.1, 0.3, 0.2], "user", "rectangle") and kept[("stated", "a")][1:3] == ([0.0, 0.0, 1.0, 1.0], "s") and len(kept) == 5
+    assert sorted((r.page, r.width, r.height) for r in migration.flat_pages(found).collect()) == [(0, 1240, 1754), (1, 1240, 1754), (2, 2050, 1754)]
+    assert migration.outcomes(df.limit(0)).count() == 0
