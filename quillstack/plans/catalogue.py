@@ -40,7 +40,7 @@ MARKED = r"""marked AS (SELECT doc_id, source, lang, CASE doc_id % 11 WHEN 0 THE
 trimmed AS (SELECT *, regexp_replace(ocr_text, '^\s+|\s+$', '', 'g') AS s FROM marked),
 counted AS (SELECT *, len(regexp_extract_all(s, '(?im)(?:(?:The user wants|I need to|I will now|I should|Let me|Looking at|Analyzing)\b|^\d+\.\s+\*\*)')) AS n FROM trimmed),
 judged AS (SELECT doc_id, source, lang, ocr_text, CASE WHEN s = '' OR s IS NULL THEN 'not_recognized' WHEN starts_with(ocr_text, '[Ошибка') OR starts_with(ocr_text, '[НеПовторяемая') THEN 'error'
-  WHEN length(s) > 50 AND length(regexp_replace(regexp_replace(s, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')) < 20 THEN 'error'
+  WHEN length(s) > 50 AND length(regexp_replace(regexp_replace(CASE WHEN regexp_matches(s, '&[^&\t\n\r\f ;]{0,33}$') THEN regexp_replace(s, '[^>]*$', '') ELSE s END, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')) < 20 THEN 'error'
   WHEN n > 0 AND (n >= 2 OR regexp_matches(s, '(?i)(?:I will now generate|based on this analysis|Let me now|I will now output)\b'))
     AND (NOT regexp_matches(s, '(?i)<(?:p|table|div|h[1-6]|ul|ol|tr|td|th)\b') OR n >= 3) THEN 'error'
   WHEN regexp_matches(s, '(?i)<table\b') AND NOT regexp_matches(s, '(?i)<h[1-6]\b') AND list_min(list_transform(regexp_extract_all(s, 'data-bbox="\d+\s+(\d+)\s+\d+\s+\d+"', 1), lambda t: t::int)) >= 150 THEN 'error'
@@ -59,7 +59,7 @@ def ocr_coverage_report(spark, sf_dir):
 
 @query(f"WITH {MARKED} SELECT doc_id, status, status <> 'success' AS needs_ocr FROM judged")
 def text_status(spark, sf_dir):
-    """Statuses by an html parser's text and JSON dumps; these texts have no entities, so SQL finds the same with tags cut by a pattern."""
+    """Statuses by an html parser's text and JSON dumps. SQL cuts tags by a pattern, and the text after the last one where a reference begun at its end keeps the parser waiting."""
     found = marked_documents(spark, sf_dir).select("doc_id", st.status(F.col("ocr_text")).alias("status"))
     return found.select("doc_id", "status", (F.col("status") != "success").alias("needs_ocr"))
 
