@@ -166,10 +166,12 @@ def test_segments_of_odd_pages(spark):
     texts = [None, "", "no marker", f"BLOCK: {code}", f"block:\n{code.lower()}]] </p> a BLOCK: 0000-0000-000 b BLOCK: {code} c", div, f"<p>BLOCK: {code}</p>x{div}"]
     pages = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "doc_id string, html string")
     expected = spark.createDataFrame([(str(k), i, n) for k in range(9) for n, i in enumerate((code, other))] + [("3", code, 5), ("3", None, 6)], "doc_id string, id string, pos int")
-    got = {(int(r.doc_id), r.id): (r.html, r.method, round(r.score, 6)) for r in segments.segments(pages, expected).collect()}
+    rows = segments.segments(pages, expected).collect()
+    got = {(int(r.doc_id), r.id): (r.html, r.method, round(r.score, 6)) for r in rows}
     want = {(k, i): v for k, t in enumerate(texts) if t for i, v in plain_segments(t, [code, other]).items()}
     assert got == want and len(want) == 5
-    assert segments.missing_ids(expected.where("id is not null").dropDuplicates(["doc_id", "id"]), segments.segments(pages, expected)).count() == 18 - 5
+    found = spark.createDataFrame(rows, "doc_id string, id string, html string, method string, score double, sample string")
+    assert segments.missing_ids(expected.where("id is not null").dropDuplicates(["doc_id", "id"]), found).count() == 18 - 5
     assert segments.segments(pages.limit(0), expected).count() == 0
 
 
