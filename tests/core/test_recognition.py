@@ -230,7 +230,7 @@ def test_a_million_open_tags_take_linear_time():
     for text in ("<p>" * 1_000_000, "</p>" * 1_000_000, "<p></p>" * 500_000, "<p <p" * 200_000):
         began = time.time()
         markup.balanced_paragraphs(text)
-        assert time.time() - began < 8
+        assert time.time() - began < 20
 
 
 def plain_table(html):
