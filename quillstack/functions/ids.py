@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, product
 
 from pyspark.sql import Column
@@ -102,12 +102,39 @@ def normal_uuid(text: Column) -> Column:
     return F.when(F.length(cut) == 32, F.concat_ws("-", *parts))
 
 
+#: What a letter at its place adds to the checksum's three sums, in fields of ten bits; letters of the checksum take from one.
+_WEIGHTS = [(1, i + 3, (i + 7) * (i + 1)) for i in range(PAYLOAD)] + [(-1, 0, 0), (0, -1, 0), (0, 0, -1)]
+_ADDS = [{x: sum(w * v % 26 << 10 * k for k, w in enumerate(weights)) for v, x in enumerate(ALPHABET)} for weights in _WEIGHTS]
+
+
+def _rests(sums: int) -> tuple[int, int, int]:
+    """What the three sums leave by 26."""
+    return (sums & 1023) % 26, (sums >> 10 & 1023) % 26, (sums >> 20) % 26
+
+
+#: By place, the letter that makes up for what the sums leave.
+_FITS = [{tuple(-r % 26 for r in _rests(n)): x for x, n in adds.items()} for adds in _ADDS]
+
+
 def _checks(code: str) -> bool:
-    v = [ALPHABET.find(c) for c in code]
-    if len(v) != PAYLOAD + CHECK or min(v) < 0:
+    try:
+        return len(code) == PAYLOAD + CHECK and _rests(sum([adds[x] for adds, x in zip(_ADDS, code, strict=True)])) == (0, 0, 0)
+    except KeyError:
         return False
-    sums = (sum(v[:8]), sum(x * (i + 3) for i, x in enumerate(v[:8])), sum(x * (i + 7) * (i + 1) for i, x in enumerate(v[:8])))
-    return [s % 26 for s in sums] == v[8:]
+
+
+def _put_in(code: str) -> str | None:
+    """The first valid code with one letter more: the sums name the letter for each place."""
+    if not all(x in _ADDS[0] for x in code):
+        return None
+    sums = sum(adds[x] for adds, x in zip(_ADDS[1:], code, strict=True))
+    for i, fits in enumerate(_FITS):
+        x = fits.get(_rests(sums))
+        if x:
+            return code[:i] + x + code[i:]
+        if i < len(code):
+            sums += _ADDS[i][code[i]] - _ADDS[i + 1][code[i]]
+    return None
 
 
 def repaired(code: str | None, most: int = 3) -> str | None:
@@ -121,25 +148,53 @@ def repaired(code: str | None, most: int = 3) -> str | None:
     if _checks(c):
         return with_dashes(c)
     if len(c) == PAYLOAD + CHECK - 1:
-        tries = (c[:i] + x + c[i:] for i in range(len(c) + 1) for x in ALPHABET)
+        tries = filter(None, [_put_in(c)])
     elif len(c) == PAYLOAD + CHECK + 1:
         tries = (c[:i] + c[i + 1:] for i in range(len(c)))
     elif len(c) == PAYLOAD + CHECK:
-        tries = _changed(c, most)
+        tries = filter(None, (_changed(c, n) for n in range(1, most + 1)))
     else:
         return None
     return next((with_dashes(t) for t in tries if _checks(t)), None)
 
 
-def _changed(code: str, most: int) -> Iterator[str]:
-    either = [sorted(x for x in LOOKALIKES.get(c, "") if x in ALPHABET) or ([] if c in ALPHABET else list(ALPHABET[:8])) for c in code]
-    for n in range(1, most + 1):
-        for places in combinations([i for i, x in enumerate(either) if x], n):
-            for letters in product(*(either[i] for i in places)):
-                made = list(code)
-                for i, x in zip(places, letters, strict=True):
-                    made[i] = x
-                yield "".join(made)
+@cache
+def _changes(i: int, x: str) -> list[tuple[int, str]]:
+    """(what it adds to the sums, letter) of each letter that may stand for one at a place."""
+    letters = sorted(y for y in LOOKALIKES.get(x, "") if y in ALPHABET) or ([] if x in ALPHABET else list(ALPHABET[:8]))
+    less = _rests(_ADDS[i].get(x, 0))
+    return [(sum((r - o) % 26 << 10 * k for k, (r, o) in enumerate(zip(_rests(_ADDS[i][y]), less, strict=True))), y) for y in letters]
+
+
+def _changed(code: str, n: int) -> str | None:
+    """The first valid code with n characters changed: for any changes but the last, the sums name what the last may be."""
+    unread = {i for i, x in enumerate(code) if x not in ALPHABET}
+    if len(unread) > n:
+        return None
+    either = [_changes(i, x) for i, x in enumerate(code)]
+    sums = _rests(sum(adds.get(x, 0) for adds, x in zip(_ADDS, code, strict=True)))
+    last: dict[int, list[tuple[int, str]]] = {}  # by the sums that changes before it must add, as they come: of n - 1 rests
+    for i, letters in enumerate(either):
+        for added, y in letters:
+            need = [range((-s - r) % 26, 26 * max(n - 1, 1), 26) for s, r in zip(sums, _rests(added), strict=True)]
+            for a, b, c in product(*need):
+                last.setdefault(a | b << 10 | c << 20, []).append((i, y))
+    for places in combinations([i for i, x in enumerate(either) if x], n - 1):
+        made_up = [0]
+        for p in places:
+            made_up = [m + added for m in made_up for added, _ in either[p]]
+        if last.keys().isdisjoint(made_up):
+            continue
+        end, open_ = places[-1] if places else -1, unread.difference(places)
+        found = [(i, (*letters, y)) for m, letters in zip(made_up, product(*([y for _, y in either[p]] for p in places)), strict=True)
+                 for i, y in last.get(m, ()) if i > end and open_ <= {i}]
+        if found:
+            i, letters = min(found)
+            made = list(code)
+            for at, y in zip((*places, i), letters, strict=True):
+                made[at] = y
+            return "".join(made)
+    return None
 
 
 @F.pandas_udf(T.StringType())

@@ -106,7 +106,7 @@ def block_code_migration(spark, sf_dir):
 def block_code_repair(spark, sf_dir):
     """Codes with a letter lost are made whole again; tests compare with a plain search."""
     damaged = F.regexp_replace(ids.encode(F.col("uuid")), "^(.{5}).", "$1")
-    return _uuids(spark, sf_dir).select("o_orderkey", damaged.alias("damaged"), ids.repair(damaged).alias("repaired"))
+    return b.spread(_uuids(spark, sf_dir), "o_orderkey").select("o_orderkey", damaged.alias("damaged")).select("o_orderkey", "damaged", ids.repair(F.col("damaged")).alias("repaired"))
 
 
 @query("""WITH d AS (SELECT md5(o_orderkey::varchar) AS h, o_orderkey FROM orders),

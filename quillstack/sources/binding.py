@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to several tasks for each core: a file of one row group is read by one, whatever is then done with its rows."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the tree without paths: id, parent_id, node_type, name, sort_order, status, created_at."""
     t = lambda n: table(spark, sf_dir, n)

@@ -1,6 +1,8 @@
 """The document engine: every query against its SQL, folds against plain loops, functions against plain Python."""
 
 import datetime
+import itertools
+import random
 import time
 
 import duckdb
@@ -202,3 +204,28 @@ def test_tree_refuses_a_move_into_itself(spark, sf_dir):
     assert tree.moved(nodes, "N3", below).where("id = 'N3'").first().path == nodes.where("id = 'N3'").first().path
     orphan = spark.createDataFrame([("x", "missing"), ("y", "x")], "id string, parent_id string")
     assert {r.id: (r.path, r.depth) for r in tree.with_paths(orphan).collect()} == {"x": ("x", 0), "y": ("x.y", 1)}
+
+
+def test_codes_are_repaired_without_trying_every_change(monkeypatch):
+    """As a plain search over all changes finds them, but with a few checks for each code."""
+    rng, checks = random.Random(5), []
+    whole = lambda c: tuple(sum(w * ids.ALPHABET.find(x) for w, x in zip(ws, c, strict=True)) % 26 for ws in zip(*ids._WEIGHTS, strict=True)) == (0, 0, 0)
+    def plain(c):
+        letters = [sorted(set(ids.LOOKALIKES.get(x, "")) & set(ids.ALPHABET)) or ([] if x in ids.ALPHABET else list(ids.ALPHABET[:8])) for x in c]
+        tries = [c] if len(c) == 11 else [c[:i] + x + c[i:] for i in range(11) for x in ids.ALPHABET] if len(c) == 10 else [c[:i] + c[i + 1:] for i in range(12)]
+        if len(c) == 11:
+            for n in (1, 2, 3):
+                for at in itertools.combinations(range(11), n):
+                    tries += ("".join(new.get(i, x) for i, x in enumerate(c)) for new in (dict(zip(at, xs, strict=True)) for xs in itertools.product(*(letters[i] for i in at))))
+        found = next((t for t in tries if set(t) <= set(ids.ALPHABET) and whole(t)), None)
+        return found and f"{found[:4]}-{found[4:8]}-{found[8:]}"
+    codes = ["".join(rng.choice(ids.ALPHABET) for _ in range(n)) for n in (10, 10, 10, 11, 11, 11, 11, 12, 12)] + ["4RJL?YWGW0H", "?RJLWYW?WD?", "????WYWGWDH", "4RJLWYWG?D"]
+    real = ids._checks
+    monkeypatch.setattr(ids, "_checks", lambda c: checks.append(c) or real(c))
+    assert [ids.repaired(c) for c in codes] == [plain(c) for c in codes]
+    assert len(checks) < 5 * len(codes)
+
+
+def test_heavy_row_work_is_spread(spark, sf_dir):
+    """A file of one row group doesn't leave all its rows to one task."""
+    assert catalogue.block_code_repair(spark, sf_dir).rdd.getNumPartitions() > 4
