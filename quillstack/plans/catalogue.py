@@ -521,7 +521,7 @@ def export_keys(spark, sf_dir):
 @query()
 def page_markdown(spark, sf_dir):
     """Pages' html as Markdown; tests compare with plain Python."""
-    return mk.with_markdown(b.table(spark, sf_dir, "pages").select("page_id", "html"), "html", "markdown").select("page_id", "markdown")
+    return mk.with_markdown(b.spread(b.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"), "html", "markdown").select("page_id", "markdown")
 
 
 @query(f"""WITH {IMAGES}, ok AS (SELECT *, CASE WHEN coalesce(ocr_text, '') = '' OR starts_with(ocr_text, '[') THEN '*(no data)*' ELSE ocr_text END AS md FROM blocks)
@@ -717,7 +717,7 @@ STAMP_PARTS = LINES + """, parts AS (SELECT l_orderkey, line, [['Шифр', 'DOC
 
 @query(f"WITH {STAMP_PARTS} SELECT l_orderkey, line, array_to_string(list_transform(p, lambda x: x[1] || ': ' || x[2]), ' | ') AS parts FROM parts")
 def stamp_parts(spark, sf_dir):
-    read = _stamps(spark, sf_dir).select("l_orderkey", "line", rs.parsed_json(F.col("ocr_text")).alias("data")).where("data is not null")
+    read = _stamps(spark, sf_dir).select("l_orderkey", "line", F.explode(F.array_compact(F.array(rs.parsed_json(F.col("ocr_text"))))).alias("data"))
     return rs.with_stamp_parts(read, "data", "parts").select("l_orderkey", "line", rs.stamp_line(F.col("parts")).alias("parts"))
 
 
@@ -760,7 +760,7 @@ def filter_mixed_text(spark, sf_dir):
     k = F.col("doc_id") % 3
     text = F.concat(F.when(k == 0, F.lit('<div class="a" data-label="Image">x</div><img src="y">')).when(k == 1, F.lit("A photograph showing the residential building from the street ЖК ")).otherwise(""), "text")
     clean = tb.without_images(text, F.when(F.col("doc_id") % 7 == 0, "qwen").otherwise("chandra"))
-    return b.table(spark, sf_dir, "documents").select("doc_id", clean.alias("c")).select("doc_id", "c.text", "c.removed_chars", "c.removed_image_segments")
+    return b.spread(b.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", clean.alias("c")).select("doc_id", "c.text", "c.removed_chars", "c.removed_image_segments")
 
 
 @query(f"WITH {EDGES} SELECT id, name FROM edges WHERE parent_id IS NULL")
