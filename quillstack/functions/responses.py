@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quillstack.functions import status as st
 from quillstack.functions import texts as tx
+from quillstack.functions.once import once
 
 # How reasoning begins, tags that begin or are a page's text, how a title is named, markers, fields and labels.
 REASONING = (
@@ -210,11 +211,12 @@ def final_error(code: Column, text: Column) -> Column:
 
 
 def parsed_json(text: Column) -> Column:
-    """The JSON object a result is or holds in a fence marked json, as written; null if there is none."""
-    s = st.stripped(text)
-    fenced = F.regexp_extract(s, r"(?s)```json\s*(.*?)\s*```", 1)
-    good = lambda t: F.when(F.try_parse_json(t).isNotNull(), t)
-    return F.coalesce(good(F.when(s.startswith("{"), s)), good(F.nullif(fenced, F.lit(""))))
+    """The JSON object a result is or holds in a fence marked json, as written; null if there is none. Each is parsed once."""
+    def found(s: Column) -> Column:
+        fenced = F.when(s.contains("```json"), F.regexp_extract(s, r"(?s)```json\s*(.*?)\s*```", 1))
+        either = F.array_compact(F.array(F.when(s.startswith("{"), s), fenced))
+        return F.get(F.filter(either, lambda t: (t != "") & F.try_parse_json(t).isNotNull()), F.lit(0))
+    return once(st.stripped(text), found)
 
 
 _token = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[{}]', re.DOTALL)

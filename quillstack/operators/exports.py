@@ -10,6 +10,7 @@ from quillstack.functions import markup as mk
 from quillstack.functions import responses as rs
 from quillstack.operators import blocks as bl
 from quillstack.operators import stamps as sp
+from quillstack.scratch import materialise
 
 # Words of the exports.
 CROP, STAMP, PAGE, SHEET, SHEET_NAME, LINKED_TEXT, MADE = (
@@ -24,9 +25,9 @@ def _some(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def _pages(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+def _pages(blocks: DataFrame, documents: DataFrame, stamps: DataFrame) -> DataFrame:
     """(doc_id, page, own, stamp, parts): a row for each page, with the stamp that holds there and its parts."""
-    pages = sp.of_pages(blocks, documents=documents)
+    pages = sp.of_pages(blocks, documents=documents, stamps=stamps)
     return rs.with_stamp_parts(pages.withColumn("_data", F.to_json("stamp")), "_data", "parts").drop("_data")
 
 
@@ -37,9 +38,9 @@ def _joined(parts: DataFrame, begins: DataFrame, end: str | None) -> DataFrame:
     return begins.join(body, "doc_id", "left").select("doc_id", F.array_join(lines, "\n").alias("content"))
 
 
-def _first_stamps(blocks: DataFrame) -> DataFrame:
+def _first_stamps(stamps: DataFrame) -> DataFrame:
     """(doc_id, parts) of each document's first full stamp."""
-    full = sp.first_full(sp.page_stamps(blocks)).select("doc_id", F.to_json("stamp").alias("_data"))
+    full = sp.first_full(stamps).select("doc_id", F.to_json("stamp").alias("_data"))
     return rs.with_stamp_parts(full, "_data", "parts").drop("_data")
 
 
@@ -50,7 +51,8 @@ def html(blocks: DataFrame, documents: DataFrame, made: str, files: str = "", st
     aren't blocks of their own: what holds on a page stands above each block. A document without blocks is its title.
     """
     at = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("pos"))
-    pages = _pages(blocks, documents).select("doc_id", "page", mk.stamp_html(F.col("parts"), F.col("own").isNull()).alias("_stamp"))
+    stamps = materialise(sp.page_stamps(blocks), "stamps")
+    pages = _pages(blocks, documents, stamps).select("doc_id", "page", mk.stamp_html(F.col("parts"), F.col("own").isNull()).alias("_stamp"))
     shown = blocks.withColumn("_at", at).where(~sp.is_stamp(F.col("block_type"))).join(pages, ["doc_id", "page"], "left").join(documents.select("doc_id", "project"), "doc_id", "left")
     shown = mk.with_content_html(shown, "ocr_text", "_content")
     line = lambda begin, value, end: F.when(_some(value).isNotNull(), F.concat(F.lit(begin), value, F.lit(end)))
@@ -62,7 +64,7 @@ def html(blocks: DataFrame, documents: DataFrame, made: str, files: str = "", st
         line("<p><b>Linked block:</b> ", F.when(_some(F.col("linked_block_id")).isNotNull(), ids.migrated(F.col("linked_block_id"))), "</p>"),
         line("<p><b>Created:</b> ", F.col("created_at").cast("string"), "</p>"), _some(F.col("_stamp")),
         F.when((F.col("block_type") == "image") & _some(F.col("image_file")).isNotNull() & _some(F.col("project")).isNotNull(), crop), F.col("_content"), F.lit("</div></div>")])
-    first = _first_stamps(blocks).select("doc_id", _some(mk.stamp_html(F.col("parts"), F.lit(False))).alias("_first"))
+    first = _first_stamps(stamps).select("doc_id", _some(mk.stamp_html(F.col("parts"), F.lit(False))).alias("_first"))
     title = F.coalesce(_some(F.col("name")), F.lit("OCR Result"))
     begins = documents.join(first, "doc_id", "left").select("doc_id", _said([mk.header(title, F.lit(made), style), F.col("_first")]).alias("begin"))
     return _joined(shown.select("doc_id", "page", "pos", part.alias("part")), begins, mk.FOOTER)
@@ -74,7 +76,8 @@ def markdown(blocks: DataFrame, documents: DataFrame, made: str) -> DataFrame:
     Texts linked to an image stand below it and nowhere else; blocks without content have their heading only.
     """
     links = bl.image_texts(blocks)
-    pages = _pages(blocks, documents)
+    own_stamps = materialise(sp.page_stamps(blocks), "stamps")
+    pages = _pages(blocks, documents, own_stamps)
     read = mk.with_content_markdown(blocks.where(~sp.is_stamp(F.col("block_type"))), "ocr_text", "_content")
     below = links.join(read.select("doc_id", F.col("id").alias("text_id"), F.col("_content").alias("_below")), ["doc_id", "text_id"]).select("doc_id", F.col("image_id").alias("id"), "_below")
     shown = read.join(links.select("doc_id", F.col("text_id").alias("id")), ["doc_id", "id"], "left_anti").join(below, ["doc_id", "id"], "left")
@@ -88,7 +91,7 @@ def markdown(blocks: DataFrame, documents: DataFrame, made: str) -> DataFrame:
     heading = _said([F.concat(F.lit(f"{PAGE} "), (F.col("page") + 1).cast("string")), sheet, name, F.lit("")])
     with_blocks = blocks.where(~sp.is_stamp(F.col("block_type"))).select("doc_id", "page").distinct()
     headings = pages.join(with_blocks, ["doc_id", "page"]).select("doc_id", "page", F.lit(None).cast("int").alias("pos"), heading.alias("part"))  # null comes first
-    stamps = _first_stamps(blocks).select("doc_id", mk.stamp_markdown(F.col("parts"), "\n").alias("_first"))
+    stamps = _first_stamps(own_stamps).select("doc_id", mk.stamp_markdown(F.col("parts"), "\n").alias("_first"))
     code = F.concat(F.lit("Шифр: "), F.col("inherited")["document_code"])
     known = documents.join(stamps, "doc_id", "left").join(sp.from_names(documents).select("doc_id", code.alias("_named")), "doc_id", "left")
     stamp = F.coalesce(F.col("_first"), F.col("_named"))

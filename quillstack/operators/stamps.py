@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions import responses as rs
+from quillstack.scratch import materialise
 
 #: Fields that pages without a stamp take over.
 FIELDS = ("document_code", "project_name", "stage", "organization")
@@ -28,10 +29,10 @@ def page_stamps(blocks: DataFrame) -> DataFrame:
     Values are texts, nested ones JSON. An ocr_json column goes before the text.
     """
     own = F.nullif(F.regexp_replace("ocr_json", r"^\s*\{\s*\}\s*$", ""), F.lit("")) if "ocr_json" in blocks.columns else F.lit(None).cast("string")
-    read = _stamps(blocks).select("doc_id", "page", "pos", F.coalesce(own, rs.parsed_json(F.col("ocr_text"))).alias("data")).where("data is not null")
-    read = read.select("doc_id", "page", "pos", "data", F.from_json("data", _MAP).alias("stamp")).where(F.size("stamp") > 0)
-    first = read.groupBy("doc_id", "page").agg(F.min_by("data", "pos").alias("data"))
-    return first.select("doc_id", "page", F.from_json("data", _MAP).alias("stamp"))
+    # exploded, as a filter would go below and have each text parsed again
+    stamp = F.filter(F.array(F.from_json(F.coalesce(own, rs.parsed_json(F.col("ocr_text"))), _MAP)), lambda m: F.size(m) > 0)
+    read = _stamps(blocks).select("doc_id", "page", "pos", F.explode(stamp).alias("stamp"))
+    return read.groupBy("doc_id", "page").agg(F.min_by("stamp", "pos").alias("stamp"))
 
 
 def inherited(stamps: DataFrame, fields: tuple[str, ...] | None = FIELDS) -> DataFrame:
@@ -67,13 +68,13 @@ def merged(stamp: Column, default: Column) -> Column:
     return F.when(stamp.isNull(), default).when(default.isNull(), stamp).otherwise(F.map_concat(own, more))
 
 
-def of_pages(blocks: DataFrame, fields: tuple[str, ...] | None = FIELDS, documents: DataFrame | None = None) -> DataFrame:
+def of_pages(blocks: DataFrame, fields: tuple[str, ...] | None = FIELDS, documents: DataFrame | None = None, stamps: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, own, stamp): the fields of each page's own stamp, null if it has none, and those that hold there.
 
     A page's own fields go before the document's; with documents (doc_id, name) the name is the code of those without
-    any stamp. stamp is null where nothing is known.
+    any stamp. stamp is null where nothing is known. Stamps are read once, to a scratch table, but for ones that are given.
     """
-    stamps = page_stamps(blocks)
+    stamps = materialise(page_stamps(blocks), "stamps") if stamps is None else stamps
     default = inherited(stamps, fields)
     if documents is not None:
         default = default.union(from_names(documents).join(default.select("doc_id"), "doc_id", "left_anti"))

@@ -22,7 +22,7 @@ def coded_orders(spark, sf_dir):
     """(doc_id, pos, id, code, k): a customer's orders as the blocks of a document, most with a code, a tenth with a uuid as their id."""
     uuid = F.md5(F.col("o_orderkey").cast("string"))
     dashed = F.concat_ws("-", *(F.substring(uuid, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    orders = b.table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("doc_id"), F.col("o_orderkey").alias("pos"), "o_custkey",
+    orders = b.spread(b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("doc_id"), F.col("o_orderkey").alias("pos"), "o_custkey",
                                                      F.col("o_orderkey").alias("k"), ids.encode(uuid).alias("code"), dashed.alias("uuid"), F.col("o_orderdate").cast("date").cast("string").alias("day"))
     return orders.withColumn("id", F.when((F.col("k") % 10 == 2) | (F.col("o_custkey") % 7 == 3), F.col("uuid")).otherwise(F.col("code")))
 
@@ -83,8 +83,8 @@ def similar_codes(spark, sf_dir):
     return ma.nearest(seen, orders.select("doc_id", F.col("text").alias("id"), "text", "pos"), ma.CODE_CUTOFF)
 
 
-def stamped_blocks(spark, sf_dir):
-    """Blocks with codes as ids: stamps and images as JSON, texts plain, as html with a tag too many, and as JSON with html that isn't closed."""
+def stamped_blocks(spark, sf_dir, *columns):
+    """Blocks with codes as ids: stamps and images as JSON, texts plain, as html with a tag too many, and as JSON with html that isn't closed; all columns, or those named."""
     blocks = b.blocks(spark, sf_dir)
     part = F.regexp_extract("id", r"\d+-\d+", 0)
     stamp = F.to_json(F.struct(F.col("code").alias("document_code"), F.when(F.col("pos") % 2 == 0, "P").otherwise("").alias("stage"), F.col("pos").alias("sheet_number")))
@@ -95,7 +95,7 @@ def stamped_blocks(spark, sf_dir):
     code = lambda c: ids.encode(F.md5(F.col(c)))
     out = blocks.select("doc_id", "page", "pos", code("id").alias("id"), "block_type", said.alias("ocr_text"), F.when(F.col("linked_block_id").isNotNull(), code("linked_block_id")).alias("linked_block_id"),
                         F.lit(None).cast("string").alias("created_at"), F.concat(F.lit("/tmp/"), part, F.lit(".pdf")).alias("image_file"))
-    return materialise(out, "blocks")
+    return materialise(out.select(*columns) if columns else out, "blocks")
 
 
 def named_documents(blocks):
@@ -120,7 +120,7 @@ held AS (SELECT p.doc_id, p.page, o.page IS NOT NULL AS own, o.sheet, coalesce(o
 @query(f"WITH {STAMPED} SELECT doc_id, id, h.code AS document_code, h.stage, h.own AS on_page FROM bs JOIN held h USING (doc_id, page)")
 def stamp_maps(spark, sf_dir):
     """The stamp's fields that hold for each block, field by field: its page's, else what most pages of the document say."""
-    blocks = stamped_blocks(spark, sf_dir)
+    blocks = stamped_blocks(spark, sf_dir, "doc_id", "page", "pos", "id", "block_type", "ocr_text")
     pages = sp.of_pages(blocks, documents=named_documents(blocks)).select("doc_id", "page", F.col("stamp")["document_code"].alias("document_code"), F.nullif(F.col("stamp")["stage"], F.lit("")).alias("stage"), F.col("own").isNotNull().alias("on_page"))
     return blocks.select("doc_id", "page", "id").join(pages, ["doc_id", "page"]).drop("page")
 
@@ -128,13 +128,13 @@ def stamp_maps(spark, sf_dir):
 @query(f"""WITH {STAMPED} SELECT doc_id, max(v) FILTER (f = 'code') AS document_code, max(v) FILTER (f = 'stage') AS stage FROM modes GROUP BY 1""")
 def stamp_fields_inherited(spark, sf_dir):
     """Of any set of fields the value most pages have; the sheet's number is left out."""
-    found = sp.inherited(sp.page_stamps(stamped_blocks(spark, sf_dir)), ("document_code", "stage"))
+    found = sp.inherited(sp.page_stamps(stamped_blocks(spark, sf_dir, "doc_id", "page", "pos", "block_type", "ocr_text")), ("document_code", "stage"))
     return found.select("doc_id", F.col("inherited")["document_code"].alias("document_code"), F.col("inherited")["stage"].alias("stage"))
 
 
 @query(f"WITH {STAMPED} SELECT doc_id, min_by(code, page) AS document_code, min_by(stage, page) AS stage, min_by(sheet, page)::varchar AS sheet_number FROM own GROUP BY 1")
 def stamp_first_full(spark, sf_dir):
-    found = sp.first_full(sp.page_stamps(stamped_blocks(spark, sf_dir)))
+    found = sp.first_full(sp.page_stamps(stamped_blocks(spark, sf_dir, "doc_id", "page", "pos", "block_type", "ocr_text")))
     return found.select("doc_id", *(F.col("stamp")[c].alias(c) for c in ("document_code", "stage", "sheet_number")))
 
 
@@ -185,7 +185,7 @@ def clean_page_html(spark, sf_dir):
     """Pages with a recogniser's leftovers planted, cleaned; tests compare with a plain model."""
     k = F.col("page_id") % 5
     html = F.concat(F.when(k == 0, "</div></p>").when(k == 1, "<p>BLOCK: ABCD-EFGH-JKL</p><body class='x'>").otherwise("<div><p>"), "html", F.when(k == 2, "</p></div></div></p>").when(k == 3, "<p>open <p>more").otherwise("<div id='x'>"))
-    return mk.with_clean_html(b.table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "html", "clean").select("page_id", "clean")
+    return mk.with_clean_html(b.spread(b.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", html.alias("html")), "html", "clean").select("page_id", "clean")
 
 
 @query()
@@ -209,7 +209,7 @@ def formed_documents(spark, sf_dir):
         k == 3, wrap('{"analysis": {"detailed_description": ', ', "location": "east", "level_or_elevation": 3}}')).when(k == 4, wrap('{"ocr_html": ', "}")).when(k == 5, wrap('[{"html": ', '}, {"html": "<p>b"}]')).when(
         k == 6, F.lit('[{"bbox": [1, 2], "label": "x"}]')).when(k == 7, wrap('{"children": [{"html": "<i>a</i>"}, {"children": [{"stamp_html": ', "}]}]}")).when(
         k == 8, F.concat(F.lit("| a | b |\n|---|---|\n| 1 | "), F.regexp_replace("text", r"\s+", " "), F.lit(" |"))).when(k == 9, F.concat(F.lit("{broken "), "text")).when(k == 10, wrap('{"other": ', ', "n": 1}')).otherwise(F.col("text"))
-    return b.table(spark, sf_dir, "documents").select("doc_id", text.alias("ocr_text"))
+    return b.spread(b.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.alias("ocr_text"))
 
 
 def structured_responses(spark, sf_dir):
