@@ -20,7 +20,8 @@ def nested_documents(spark, sf_dir):
     """(doc_id, pdf_path, pages): blocks nested by page."""
     rows = b.blocks(spark, sf_dir).select("doc_id", "page", "pos", "id", "coords_px", F.array(*(F.col("coords_px")[i] / side for i, side in enumerate((WIDTH, HEIGHT, WIDTH, HEIGHT)))).alias("coords_norm"))
     block = F.struct("pos", "id", "coords_px", "coords_norm", F.lit("rectangle").alias("shape_type"), F.lit(None).cast("array<struct<x: int, y: int>>").alias("polygon"))
-    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    # dealt by document, so that pages and documents are grouped and joined where they are
+    pages = rows.repartition("doc_id").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
     page = F.struct(F.col("page").alias("page_number"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "blocks")
     return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages")).select("doc_id", F.concat(F.lit("/old/"), "doc_id", F.lit(".pdf")).alias("pdf_path"), "pages")
 
@@ -133,7 +134,7 @@ def written_annotations(spark, sf_dir):
     old = n % 4 == 1
     block = F.struct("pos", F.when(~old | (pos % 5 != 0), F.col("id")).alias("id"), F.col("page").alias("page_index"), "coords_px", F.when(~old | (pos % 3 == 2), F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.4)))).alias("coords_norm"),
                      F.when(~old | (pos % 7 != 0), F.col("block_type")).alias("block_type"), F.when(~old | (pos % 2 == 0), F.lit("user")).alias("source"))
-    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    pages = rows.repartition("doc_id").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
     page = F.struct(F.col("page").alias("page_number"), F.when(F.col("page") != 1, WIDTH).otherwise(0).alias("width"), F.lit(HEIGHT).alias("height"), "blocks")
     docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     n = F.substring("doc_id", 2, 20).cast("long")

@@ -26,7 +26,10 @@ def _is(value: Column, kind: str) -> Column:
 
 def structure_errors(data: Column) -> Column:
     """What keeps a JSON text from being an annotation, in this order; empty if nothing does."""
-    v = F.try_parse_json(data)
+    return _structure_errors(F.try_parse_json(data))
+
+
+def _structure_errors(v: Column) -> Column:
     pages = _at(v, "$.pages", "array<variant>")
     def wrong(p: Column, i: Column) -> Column:
         named = lambda text: F.concat(F.lit("page "), i.cast("string"), F.lit(text))
@@ -39,22 +42,35 @@ def structure_errors(data: Column) -> Column:
 
 def is_flat(data: Column) -> Column:
     """Whether a JSON text is a list of blocks that name their page, the oldest form."""
-    return F.coalesce(_at(F.try_parse_json(data), "$[0].page_index").isNotNull(), F.lit(False))
+    return _is_flat(F.try_parse_json(data))
+
+
+def _is_flat(v: Column) -> Column:
+    return F.coalesce(_at(v, "$[0].page_index").isNotNull(), F.lit(False))
 
 
 def detected_version(data: Column) -> Column:
     """0 for a list of blocks; else the version that is stated, or what the first block has: 2 with shares and a source, and for none."""
-    v = F.try_parse_json(data)
+    return _detected_version(F.try_parse_json(data))
+
+
+def _detected_version(v: Column) -> Column:
     blocks = F.flatten(F.filter(F.transform(_at(v, "$.pages", "array<variant>"), lambda p: _at(p, "$.blocks", "array<variant>")), lambda b: b.isNotNull()))
     first = F.get(blocks, F.lit(0))
     by_block = F.when(first.isNull() | (_at(first, "$.coords_norm").isNotNull() & _at(first, "$.source").isNotNull()), VERSION).otherwise(1)
-    return F.when(is_flat(data), 0).otherwise(F.coalesce(_at(v, "$.format_version", "int"), by_block))
+    return F.when(_is_flat(v), 0).otherwise(F.coalesce(_at(v, "$.format_version", "int"), by_block))
+
+
+def _judged(annotations: DataFrame, node: str, data: str) -> DataFrame:
+    """(node_id, data, flat, errors, version, good) of annotations; each is parsed once."""
+    read = annotations.select(F.col(node).alias("node_id"), F.col(data).alias("data")).withColumn("v", F.try_parse_json("data"))
+    read = read.select("node_id", "data", _is_flat(F.col("v")).alias("flat"), _structure_errors(F.col("v")).alias("errors"), _detected_version(F.col("v")).alias("version"))
+    return read.withColumn("good", F.col("flat") | (F.size("errors") == 0))
 
 
 def documents(annotations: DataFrame, node: str = "node_id", data: str = "data") -> DataFrame:
     """(node_id, version, success, migrated, errors) of annotations; version is null where the structure is wrong."""
-    read = annotations.select(F.col(node).alias("node_id"), is_flat(F.col(data)).alias("flat"), structure_errors(F.col(data)).alias("errors"), detected_version(F.col(data)).alias("version"))
-    good = F.col("flat") | (F.size("errors") == 0)
+    read, good = _judged(annotations, node, data), F.col("good")
     return read.select("node_id", F.when(good, F.col("version")).alias("version"), good.alias("success"), (good & (F.col("version") < VERSION)).alias("migrated"), F.when(good, F.array().cast("array<string>")).otherwise(F.col("errors")).alias("errors"))
 
 
@@ -65,14 +81,15 @@ def outcomes(annotations: DataFrame, node: str = "node_id", data: str = "data")
     names them, shares of a page without a size as default_coords_norm). Other versions keep every block as it
     is. Annotations with a wrong structure have no rows.
     """
-    known = documents(annotations, node, data).where("success").select("node_id", "version")
-    text = annotations.select(F.col(node).alias("node_id"), F.col(data).alias("data")).join(known, "node_id")
+    text = _judged(annotations, node, data)
     size = "page_number: int, width: int, height: int, blocks: array<string>"
-    paged = text.where("version > 0").select("node_id", "version", F.posexplode(F.from_json("data", f"struct<pages: array<struct<{size}>>>")["pages"]).alias("at", "p"))
-    paged = paged.select("node_id", "version", F.coalesce("p.page_number", "at").alias("page"), "p.width", "p.height", F.posexplode("p.blocks").alias("pos", "b"))
-    flat = text.where("version = 0").select("node_id", "version", F.posexplode(F.from_json("data", "array<string>")).alias("pos", "b"))
-    flat = flat.select("node_id", "version", F.coalesce(F.get_json_object("b", "$.page_index").cast("int"), F.lit(0)).alias("page"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), "pos", "b")
-    rows = paged.union(flat).withColumn("keys", F.json_object_keys("b"))
+    none = F.lit(None).cast("int")
+    listed = F.array(F.struct(none.alias("page_number"), none.alias("width"), none.alias("height"), F.from_json("data", "array<string>").alias("blocks"))).cast(f"array<struct<{size}>>")
+    good = F.col("good") & F.col("node_id").isNotNull()
+    pages = F.when(good & (F.col("version") > 0), F.from_json("data", f"struct<pages: array<struct<{size}>>>")["pages"]).when(good & (F.col("version") == 0), listed)
+    rows = text.select("node_id", "version", F.posexplode(pages).alias("at", "p")).select("node_id", "version", "at", "p", F.posexplode("p.blocks").alias("pos", "b"))
+    page = F.when(F.col("version") > 0, F.coalesce("p.page_number", "at")).otherwise(F.coalesce(F.get_json_object("b", "$.page_index").cast("int"), F.lit(0)))
+    rows = rows.select("node_id", "version", page.alias("page"), "p.width", "p.height", "pos", "b").withColumn("keys", F.json_object_keys("b"))
     old = F.col("version") == 1
     lacks = lambda k: old & ~F.array_contains("keys", k)
     rows = rows.withColumn("missing", F.when(old, F.array_sort(F.array_except(F.array(*map(F.lit, REQUIRED)), "keys"))).otherwise(F.array().cast("array<string>")))
