@@ -7,7 +7,7 @@ with very many ids isn't compared with itself in all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions import ids
@@ -63,30 +63,30 @@ def nearest(seen: DataFrame, expected: DataFrame, cutoff: float) -> DataFrame:
     seen has (doc_id, seen), expected (doc_id, id, text, pos); what repeats counts once, empty and null strings match
     nothing. Documents of few expected strings compare all, others those that share pieces: both find the same.
     """
-    seen = seen.select("doc_id", "seen").where("seen <> '' and doc_id is not null").distinct()
+    seen = seen.select("doc_id", "seen").where("seen <> '' and doc_id is not null").repartition("doc_id").distinct()
     first = F.min_by("id", F.struct("pos", "id"))
-    expected = expected.where("text <> '' and doc_id is not null").groupBy("doc_id", "text").agg(first.alias("id"), F.min("pos").alias("pos"))
-    counts = expected.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    few, many = counts.where(F.col("_n") <= FEW).select("doc_id"), counts.where(F.col("_n") > FEW).select("doc_id")
-    all_pairs = seen.join(expected.select("doc_id", "text").join(few, "doc_id", "left_semi"), "doc_id").select("doc_id", "seen", "text")
-    some = by_pieces(seen.join(many, "doc_id", "left_semi"), expected.select("doc_id", "text").join(many, "doc_id", "left_semi"), cutoff)
-    scored = all_pairs.union(some).withColumn("score", ids.similarity(F.col("seen"), F.col("text"))).where(F.col("score") >= cutoff)
-    best = scored.join(expected, ["doc_id", "text"]).groupBy("doc_id", "seen")
+    # grouped and counted where a document's are, and kept, as several joins read them
+    expected = expected.where("text <> '' and doc_id is not null").repartition("doc_id").groupBy("doc_id", "text").agg(first.alias("id"), F.min("pos").alias("pos"))
+    expected = materialise(expected.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))), "texts")
+    few, many = expected.where(F.col("_n") <= FEW).drop("_n"), expected.where(F.col("_n") > FEW).drop("_n")
+    scored = seen.join(few.repartition("doc_id"), "doc_id").select("doc_id", "seen", "id", "pos", ids.similarity(F.col("seen"), F.col("text")).alias("score"))
+    if not many.isEmpty():
+        some = by_pieces(seen.join(many.select("doc_id").distinct(), "doc_id", "left_semi"), many.select("doc_id", "text"), cutoff)
+        some = some.withColumn("score", ids.similarity(F.col("seen"), F.col("text"))).where(F.col("score") >= cutoff)
+        scored = scored.union(some.join(many, ["doc_id", "text"]).select("doc_id", "seen", "id", "pos", "score"))
+    best = scored.where(F.col("score") >= cutoff).groupBy("doc_id", "seen")
     return best.agg(F.max_by("id", F.struct("score", -F.col("pos"))).alias("id"), F.max("score").alias("score"))
 
 
-def _exact(*finds: DataFrame) -> DataFrame:
-    """(doc_id, seen, id, score) of exact finds (doc_id, seen, id, pos), as a scratch table: the first expected one of the first tier that has any."""
-    every = finds[0].select("doc_id", "seen", "id", "pos", F.lit(0).alias("tier"))
-    for k, found in enumerate(finds[1:], 1):
-        every = every.union(found.select("doc_id", "seen", "id", "pos", F.lit(k).alias("tier")))
-    return materialise(every.groupBy("doc_id", "seen").agg(F.min_by("id", F.struct("tier", "pos", "id")).alias("id")).withColumn("score", F.lit(100.0)), "exact")
+def _firsts(expected: DataFrame, name: str) -> DataFrame:
+    """(doc_id, text, name) of (doc_id, id, text, pos): of equal texts the first id."""
+    return expected.repartition("doc_id").groupBy("doc_id", "text").agg(F.min(F.struct("pos", "id"))["id"].alias(name))
 
 
 def _nearest(rest: DataFrame, expected: DataFrame, cutoff: float) -> DataFrame:
     """(doc_id, seen, id, score) for (doc_id, seen, text), by the text."""
     near = nearest(rest.select("doc_id", F.col("text").alias("seen")), expected, cutoff).withColumnRenamed("seen", "text")
-    return rest.join(near, ["doc_id", "text"]).select("doc_id", "seen", "id", "score")
+    return rest.repartition("doc_id").join(near, ["doc_id", "text"]).select("doc_id", "seen", "id", "score")
 
 
 def match_codes(seen: DataFrame, expected: DataFrame, cutoff: float = CODE_CUTOFF) -> DataFrame:
@@ -101,14 +101,19 @@ def match_codes(seen: DataFrame, expected: DataFrame, cutoff: float = CODE_CUTOF
     digits = F.lower(F.replace("id", F.lit("-"), F.lit("")))
     uuids = expected.where(digits.rlike("^[0-9a-f]{32}$")).select("doc_id", "id", F.substring(digits, 1, 10).alias("text"), "pos")
     fixed = seen.select("doc_id", "seen", ids.repair(F.col("seen")).alias("fixed"))
-    fixed = fixed.select("doc_id", "seen", F.replace("fixed", F.lit("-"), F.lit("")).alias("text"), ids.decode(F.col("fixed")).alias("prefix"))
-    fixed = materialise(fixed, "repaired")
-    exact = _exact(fixed.join(codes, ["doc_id", "text"]), fixed.drop("text").withColumnRenamed("prefix", "text").join(uuids, ["doc_id", "text"]))
-    rest = fixed.select("doc_id", "seen").join(exact.select("doc_id", "seen"), ["doc_id", "seen"], "left_anti")
-    rest = materialise(rest.select("doc_id", "seen", F.upper(F.regexp_replace("seen", "[- ]", "")).alias("text")), "unmatched")
+    fixed = fixed.select("doc_id", "seen", F.replace("fixed", F.lit("-"), F.lit("")).alias("text"), ids.decode(F.col("fixed")).alias("prefix")).repartition("doc_id")
+    met = fixed.join(_firsts(codes, "by_code"), ["doc_id", "text"], "left").drop("text").join(_firsts(uuids, "by_uuid").withColumnRenamed("text", "prefix"), ["doc_id", "prefix"], "left")
+    met = materialise(met.select("doc_id", "seen", F.coalesce("by_code", "by_uuid").alias("id")), "met")
+    exact, rest = _parted(met)
+    rest = rest.select("doc_id", "seen", F.upper(F.regexp_replace("seen", "[- ]", "")).alias("text"))
     return exact if rest.isEmpty() else exact.union(_nearest(rest, codes, cutoff))
 
 
+def _parted(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact finds (doc_id, seen, id, score) of a scratch table, and the rest, whose id is null."""
+    return met.where("id is not null").select("doc_id", "seen", "id", F.lit(100.0).alias("score")), met.where("id is null")
+
+
 def match_uuids(seen: DataFrame, expected: DataFrame, cutoff: float = UUID_CUTOFF) -> DataFrame:
     """(doc_id, seen, id, score) of recognised uuids (doc_id, seen) among expected ids (doc_id, id, pos).
 
@@ -117,9 +122,9 @@ def match_uuids(seen: DataFrame, expected: DataFrame, cutoff: float = UUID_CUTOF
     """
     seen = seen.select("doc_id", "seen").where("seen is not null").distinct()
     texts = expected.select("doc_id", "id", F.col("id").alias("text"), "pos")
-    normal = materialise(seen.select("doc_id", "seen", ids.normal_uuid(F.col("seen")).alias("text")), "normal")
-    exact = _exact(normal.join(texts, ["doc_id", "text"]))
-    rest = materialise(normal.join(exact.select("doc_id", "seen"), ["doc_id", "seen"], "left_anti"), "unmatched")
+    normal = seen.select("doc_id", "seen", ids.normal_uuid(F.col("seen")).alias("text")).repartition("doc_id")
+    exact, rest = _parted(materialise(normal.join(_firsts(texts, "id"), ["doc_id", "text"], "left").select("doc_id", "seen", "id", "text"), "met"))
+    rest = rest.drop("id")
     if rest.isEmpty():
         return exact
     near = materialise(_nearest(rest, texts, cutoff), "near")

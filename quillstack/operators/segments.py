@@ -41,23 +41,29 @@ def in_div(text: Column) -> Column:
     return stripped(_without(bare, *HEADER_LINES))
 
 
-def _by_markers(pages: DataFrame, expected: DataFrame, pattern: str, match, sample: int) -> DataFrame:
-    """(doc_id, id, html, method, score, sample) by one kind of marker.
+def _kept_markers(pages: DataFrame, expected: DataFrame, pattern: str, match) -> DataFrame:
+    """(doc_id, kept) as a scratch table: documents' markers (id, k, next, score) of one kind that cut.
 
-    Only markers of expected ids cut, and of several with one id the first; the others stay in the text. Markers are
-    matched without their texts, which meet them again a document at a time.
+    Only markers of expected ids do, and of several with one id the first. Markers are matched without their texts.
     """
-    p = F.lit(pattern)
-    found = pages.select("doc_id", F.posexplode(F.regexp_extract_all("html", p, F.lit(1))).alias("k", "code"))
+    found = pages.select("doc_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("k", "code"))
     found = materialise(found, "markers")
     known = match(found.select("doc_id", F.col("code").alias("seen")), expected).withColumnRenamed("seen", "code")
-    kept = found.join(known, ["doc_id", "code"]).groupBy("doc_id", "id").agg(F.min("k").alias("k"), F.min_by("score", "k").alias("score"))
-    # a row for each kept marker of one text
-    ends = kept.withColumn("next", F.lead("k").over(Window.partitionBy("doc_id").orderBy("k"))).groupBy("doc_id").agg(F.collect_list(F.struct("id", "k", "next", "score")).alias("kept"))
-    marks, rest = F.regexp_extract_all("html", p, F.lit(0)), F.split("html", pattern, -1)
+    # dealt by documents, as all that follows is grouped by them
+    kept = found.repartition("doc_id").join(known.repartition("doc_id"), ["doc_id", "code"]).groupBy("doc_id", "id").agg(F.min("k").alias("k"), F.min_by("score", "k").alias("score"))
+    ends = kept.withColumn("next", F.lead("k").over(Window.partitionBy("doc_id").orderBy("k")))
+    return materialise(ends.groupBy("doc_id").agg(F.collect_list(F.struct("id", "k", "next", "score")).alias("kept")), "kept")
+
+
+def _by_markers(pages: DataFrame, kept: DataFrame, pattern: str, sample: int) -> DataFrame:
+    """(doc_id, id, html, method, score, sample) by kept markers of one kind; the others stay in the text.
+
+    Markers meet their texts a document at a time, and texts are cut only where they are asked for.
+    """
+    marks, rest = F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), F.split("html", pattern, -1)
     # marker, what follows, marker, what follows, ...; made below the join, so that it isn't made again for every marker
     parts = F.flatten(F.zip_with(marks, F.slice(rest, 2, F.size(marks)), lambda a, b: F.array(a, b)))
-    cut = pages.where(F.col("html").rlike(pattern)).select("doc_id", parts.alias("parts")).join(ends, "doc_id")
+    cut = pages.where(F.col("html").rlike(pattern)).select("doc_id", parts.alias("parts")).join(kept, "doc_id")
     def one(m: Column) -> Column:
         last = F.coalesce(m["next"], F.floor(F.size("parts") / 2).cast("int"))
         text = F.array_join(F.slice("parts", 2 * m["k"] + 2, 2 * (last - m["k"]) - 1), "")
@@ -66,6 +72,10 @@ def _by_markers(pages: DataFrame, expected: DataFrame, pattern: str, match, samp
     return pieces.select("doc_id", "id", "html", F.when(F.col("html") == "", "marker_empty").otherwise("marker").alias("method"), "score", "sample")
 
 
+def _ids(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", F.explode("kept.id").alias("id"))
+
+
 def _by_divs(pages: DataFrame, expected: DataFrame) -> DataFrame:
     """(doc_id, id, html, method, score, sample) by block divs whose content names an id: a marker or a link to a crop."""
     found = pages.select("doc_id", F.posexplode(F.regexp_extract_all("html", F.lit(BLOCK_DIV), F.lit(3))).alias("k", "content"))
@@ -74,8 +84,9 @@ def _by_divs(pages: DataFrame, expected: DataFrame) -> DataFrame:
     found = materialise(found, "divs")
     if found.isEmpty():
         return found.select("doc_id", F.col("code").alias("id"), F.col("content").alias("html"), F.col("code").alias("method"), F.lit(0.0).alias("score"), F.col("code").alias("sample"))
-    codes = match_codes(found.select("doc_id", F.col("code").alias("seen")), expected)
-    uuids = match_uuids(found.select("doc_id", F.col("uuid").alias("seen")), expected)
+    named_by = lambda column: found.select("doc_id", F.col(column).alias("seen")).where("seen is not null")
+    codes = match_codes(named_by("code"), expected)
+    uuids = match_uuids(named_by("uuid"), expected)
     named = lambda df, column, name: df.select("doc_id", F.col("seen").alias(column), F.col("id").alias(name), F.col("score").alias(name + "_score"))
     there = expected.select("doc_id", F.col("id").alias("link"), F.col("id").alias("by_link")).distinct()
     met = found.join(named(codes, "code", "by_code"), ["doc_id", "code"], "left").join(named(uuids, "uuid", "by_uuid"), ["doc_id", "uuid"], "left").join(there, ["doc_id", "link"], "left")
@@ -94,16 +105,25 @@ def segments(pages: DataFrame, expected: DataFrame) -> DataFrame:
     uuids where a document has none of an expected id, block divs for ids that are then still missing. A marker
     without text is a find of its own (marker_empty). Null texts and documents that expect nothing have no segments.
     """
-    pages = pages.select("doc_id", "html").where("html is not null")
-    expected = expected.select("doc_id", "id", "pos").where("id is not null").groupBy("doc_id", "id").agg(F.min("pos").alias("pos"))
-    by_code = materialise(_by_markers(pages, expected, CODE_MARKER, match_codes, SAMPLE), "segments")
-    bare = pages.join(by_code.select("doc_id").distinct(), "doc_id", "left_anti")
-    by_uuid = materialise(_by_markers(bare, expected, UUID_MARKER, match_uuids, UUID_SAMPLE), "segments")
-    found = by_code.union(by_uuid)
-    missing = materialise(expected.join(found.select("doc_id", "id"), ["doc_id", "id"], "left_anti"), "missing")
+    pages, expected, by_code, by_uuid = _marked(pages, expected)
+    # dealt by documents as the markers' own grouping
+    ids = _ids(by_code).union(_ids(by_uuid))
+    missing = materialise(expected.repartition("doc_id").join(ids.repartition("doc_id"), ["doc_id", "id"], "left_anti"), "missing")
+    found = _by_markers(pages, by_code, CODE_MARKER, SAMPLE).union(_by_markers(pages, by_uuid, UUID_MARKER, UUID_SAMPLE))
     return found.union(_by_divs(pages.join(missing.select("doc_id").distinct(), "doc_id", "left_semi"), missing))
 
 
+def _marked(pages: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages and expected ids, and kept markers with codes and with uuids, all as scratch tables."""
+    # written before it is filtered, as a filter would make each text again
+    pages = materialise(pages.select("doc_id", "html"), "pages").where("html is not null")
+    expected = expected.select("doc_id", "id", "pos").where("id is not null").groupBy("doc_id", "id").agg(F.min("pos").alias("pos"))
+    expected = materialise(expected, "expected")
+    by_code = _kept_markers(pages, expected, CODE_MARKER, match_codes)
+    bare = pages.where(F.col("html").rlike(UUID_MARKER)).join(by_code.select("doc_id"), "doc_id", "left_anti")
+    return pages, expected, by_code, _kept_markers(bare, expected, UUID_MARKER, match_uuids)
+
+
 def missing_ids(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, id, pos) of expected ids that have no segment."""
     return expected.join(found.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
