@@ -6,6 +6,7 @@ A response or message is a JSON text; what is not JSON gives null where the docs
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,10 +213,10 @@ def final_error(code: Column, text: Column) -> Column:
 
 def parsed_json(text: Column) -> Column:
     """The JSON object a result is or holds in a fence marked json, as written; null if there is none. Each is parsed once."""
+    valid = lambda t: (t != "") & F.try_parse_json(t).isNotNull()
     def found(s: Column) -> Column:
         fenced = F.when(s.contains("```json"), F.regexp_extract(s, r"(?s)```json\s*(.*?)\s*```", 1))
-        either = F.array_compact(F.array(F.when(s.startswith("{"), s), fenced))
-        return F.get(F.filter(either, lambda t: (t != "") & F.try_parse_json(t).isNotNull()), F.lit(0))
+        return F.when(s.startswith("{") & valid(s), s).otherwise(once(fenced, lambda t: F.when(valid(t), t)))
     return once(st.stripped(text), found)
 
 
@@ -265,52 +266,77 @@ def stamp_json(text: Column) -> Column:
 
 def image_fields(data: Column) -> Column:
     """Fields of an image's JSON, or of its analysis: type, place with its level, texts with what to check, and at most a hundred entities."""
-    d = F.when(_kind(data, "$.analysis").startswith("OBJECT"), F.get_json_object(data, "$.analysis")).otherwise(data)
-    placed = _kind(d, "$.location").startswith("OBJECT")
+    inner = F.when(_kind(data, "$.analysis").startswith("OBJECT"), F.get_json_object(data, "$.analysis")).otherwise(data)
+    return once(inner, lambda d: once(F.coalesce(_kind(d, "$.location").startswith("OBJECT"), F.lit(False)), lambda placed: _fields(d, placed)))
+
+
+def _fields(d: Column, placed: Column) -> Column:
     at = lambda path: F.coalesce(F.get_json_object(d, path), F.lit(""))
     entities = F.from_json(F.get_json_object(d, "$.key_entities"), "array<string>")
     return F.struct(at("$.fragment_type").alias("fragment_type"), F.when(placed, at("$.location.zone_name")).alias("zone_name"), F.when(placed, at("$.location.grid_lines")).alias("grid_lines"),
                     F.when(placed, at("$.location.level_or_elevation")).alias("level_or_elevation"),
-                    F.when(~F.coalesce(placed, F.lit(False)), _text(d, "$.location")).alias("location_text"), at("$.content_summary").alias("content_summary"),
+                    F.when(~placed, _text(d, "$.location")).alias("location_text"), at("$.content_summary").alias("content_summary"),
                     at("$.detailed_description").alias("detailed_description"), at("$.verification_recommendations").alias("verification_recommendations"), F.slice(F.coalesce(entities, F.array().cast("array<string>")), 1, 100).alias("key_entities"))
 
 
 def is_image_json(data: Column) -> Column:
     """Whether a JSON object, or its analysis, has one of the fields of an image."""
-    there = [_kind(data, f"${way}.{f}").isNotNull() for f in IMAGE_FIELDS for way in ("", ".analysis")]
-    return F.coalesce(F.array_contains(F.array(*there), True), F.lit(False))
+    return is_image(F.try_parse_json(data))
+
+
+def is_image(parsed: Column) -> Column:
+    """is_image_json of JSON that is a variant already."""
+    def there(v: Column) -> Column:
+        return reduce(Column.__or__, (F.try_variant_get(v, f"${way}.{f}", "variant").isNotNull() for f in IMAGE_FIELDS for way in ("", ".analysis")))
+    return F.coalesce(once(parsed, there), F.lit(False))
 
 
 def qwen_html(data: Column) -> Column:
     return F.coalesce(_text(data, "$.content_html"), _text(data, "$.stamp_html"), F.lit(""))
 
 
+_REVISION = "change_num string, revision_number string, doc_num string, document_number string, date string"
+_PERSON = "role string, surname string, name string"
+
+
+_LISTS = {"revisions": _REVISION, "signatures": _PERSON}
+
+
 def with_stamp_parts(df: DataFrame, data: str, parts: str) -> DataFrame:
     """df with array<struct<label, value>> of a stamp's fields in their order, empty ones left out, as column ``parts``.
 
-    The JSON is read once; each step is a projection of its own.
+    The JSON is read once, and again, with its lists item by item, only where these aren't there as lists of objects. Each
+    step is a projection of its own.
     """
     some = lambda c: F.nullif(F.col(c), F.lit(""))
-    fields = [n for n, _ in STAMP_LABELS if n not in ("sheet", "revision")] + ["sheet_number", "total_sheets", "revisions"]
-    steps = df.withColumn("_s", F.from_json(data, ", ".join(f"{n} string" for n in fields)))
-    steps = steps.withColumns({"_revisions": F.from_json("_s.revisions", "array<string>"), "_signed": F.from_json("_s.signatures", "array<string>")})
-    steps = steps.withColumn("_last", F.from_json(F.try_element_at("_revisions", F.lit(-1)), "change_num string, revision_number string, doc_num string, document_number string, date string"))
+    fields = [n for n, _ in STAMP_LABELS if n not in ("sheet", "revision", "signatures")] + ["sheet_number", "total_sheets"]
+    schema = lambda lists: ", ".join([*(f"{n} string" for n in fields), *lists])
+    steps = df.withColumn("_t", F.from_json(data, schema(f"{n} array<struct<{of.replace(' string', ': string')}>>" for n, of in _LISTS.items())))
+    absent = lambda n: F.col(f"_t.{n}").isNull() & ~F.col(data).contains(n) & ~F.col(data).contains("\\u")
+    known = [absent(n) | F.coalesce(~F.exists(f"_t.{n}", lambda x: x.isNull()), F.lit(False)) for n in _LISTS]
+    steps = steps.withColumn("_r", F.from_json(F.when(~(known[0] & known[1]), F.col(data)), schema(f"{n} string" for n in _LISTS)))
+    again = F.col("_r").isNotNull()
+    steps = steps.withColumns({"_s": F.struct(*(F.when(again, F.col(f"_r.{n}")).otherwise(F.col(f"_t.{n}")).alias(n) for n in fields)),
+                               "_revisions": F.from_json("_r.revisions", "array<string>"), "_signed": F.from_json("_r.signatures", "array<string>")})
+    steps = steps.withColumn("_last", F.when(again, F.from_json(F.try_element_at("_revisions", F.lit(-1)), _REVISION)).otherwise(F.try_element_at("_t.revisions", F.lit(-1))))
     number, document = F.coalesce(some("_last.change_num"), some("_last.revision_number"), F.lit("")), F.coalesce(some("_last.doc_num"), some("_last.document_number"))
     steps = steps.withColumns({"_number": number, "_document": document})
     dated = F.when(some("_last.date").isNotNull(), F.concat(F.lit(" от "), "_last.date")).otherwise("")
     named = F.when(F.col("_document").isNotNull(), F.concat(F.lit(" (Док. № "), "_document", dated, F.lit(")"))).otherwise("")
     revision = F.when((F.col("_number") != "") | F.col("_document").isNotNull(), F.concat(F.lit("Изм. "), "_number", named))
-    def person(one: Column) -> Column:
-        p = F.from_json(F.when(one.startswith("{"), one), "role string, surname string, name string")
-        name = F.coalesce(F.nullif(p["surname"], F.lit("")), F.nullif(p["name"], F.lit("")))
-        return F.when(one.startswith("{"), F.concat(F.nullif(p["role"], F.lit("")), F.lit(": "), name)).otherwise(one)
-    people = F.nullif(F.array_join(F.transform("_signed", person), "; "), F.lit(""))  # nulls are left out
+    def person(p: Column) -> Column:
+        return F.concat(F.nullif(p["role"], F.lit("")), F.lit(": "), F.coalesce(F.nullif(p["surname"], F.lit("")), F.nullif(p["name"], F.lit(""))))
+    def signed(one: Column) -> Column:
+        return F.when(one.startswith("{"), once(F.from_json(one, _PERSON), person)).otherwise(one)
+    # nulls are left out; a column of its own, as what follows names it twice
+    steps = steps.withColumn("_told", F.when(again, F.array_join(F.transform("_signed", signed), "; ")).otherwise(F.array_join(F.transform("_t.signatures", person), "; ")))
+    listed = lambda n, texts: F.when(again, F.col(texts).isNotNull()).otherwise(F.col(f"_t.{n}").isNotNull())
     total = some("_s.total_sheets")
     values = {"sheet": F.when(total.isNotNull(), F.concat(F.coalesce("_s.sheet_number", F.lit("")), F.lit(" (из "), total, F.lit(")"))).otherwise(some("_s.sheet_number")),
-              "revision": F.when(F.col("_revisions").isNotNull(), revision).otherwise(some("_s.revisions")),
-              "signatures": F.when(F.col("_signed").isNotNull(), people).otherwise(some("_s.signatures"))}
+              "revision": F.when(listed("revisions", "_revisions"), revision).otherwise(some("_r.revisions")),
+              "signatures": F.when(listed("signatures", "_signed"), some("_told")).otherwise(some("_r.signatures"))}
     every = F.array(*(F.struct(F.lit(label).alias("label"), values.get(name, some(f"_s.{name}")).alias("value")) for name, label in STAMP_LABELS))
-    return steps.withColumn(parts, F.filter(every, lambda p: p["value"].isNotNull())).drop("_s", "_revisions", "_signed", "_last", "_number", "_document")
+    return steps.withColumn(parts, F.filter(every, lambda p: p["value"].isNotNull())).drop("_t", "_r", "_s", "_revisions", "_signed", "_last", "_number", "_document", "_told")
 
 
 def stamp_line(parts: Column, separator: str = " | ") -> Column:

@@ -699,7 +699,7 @@ def final_errors(spark, sf_dir):
 
 
 def _stamps(spark, sf_dir):
-    """Order lines as stamps' JSON; every third in a fence, every fifth broken."""
+    """Order lines as stamps' JSON; every third in a fence, every fifth broken. A query that names the text more than once has it written first, as each use would make it again."""
     text = lambda c: F.col(c).cast("string")
     line = F.col("line")
     data = F.to_json(F.struct(
@@ -707,8 +707,7 @@ def _stamps(spark, sf_dir):
         F.array(F.struct(F.lit("1").alias("change_num"), F.lit(None).cast("string").alias("doc_num")), F.struct(text("line").alias("change_num"), F.when(line % 3 == 0, text("l_partkey")).alias("doc_num"))).alias("revisions"),
         F.array(F.struct(F.col("l_returnflag").alias("role"), F.concat(F.lit("P"), text("l_suppkey")).alias("surname")), F.struct(F.lit("").alias("role"), F.lit("nobody").alias("surname"))).alias("signatures")))
     told = F.when(line % 5 == 0, F.concat(F.lit("broken "), data)).when(line % 3 == 0, F.concat(F.lit("see ```json\n"), data, F.lit("\n``` there"))).otherwise(F.concat(F.lit(" "), data))
-    # written once, as optimising would else put its JSON into each use of the text
-    return materialise(b.lines(spark, sf_dir).select("l_orderkey", "line", told.alias("ocr_text")), "stamps")
+    return b.lines(spark, sf_dir).select("l_orderkey", "line", told.alias("ocr_text"))
 
 
 STAMP_PARTS = LINES + """, parts AS (SELECT l_orderkey, line, [['Шифр', 'DOC-' || l_suppkey], ['Лист', line || CASE WHEN line % 2 = 0 THEN ' (из ' || l_partkey || ')' ELSE '' END], ['Объект', l_linestatus],
@@ -723,7 +722,7 @@ def stamp_parts(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT l_orderkey, line, CASE WHEN line % 5 = 0 THEN 'suspicious' ELSE 'ok' END AS quality, line % 5 <> 0 AS found FROM li")
 def json_quality(spark, sf_dir):
-    read = _stamps(spark, sf_dir).withColumn("data", rs.parsed_json(F.col("ocr_text")))
+    read = materialise(_stamps(spark, sf_dir), "stamps").withColumn("data", rs.parsed_json(F.col("ocr_text")))
     return read.select("l_orderkey", "line", rs.json_quality(F.col("ocr_text"), F.col("data")).alias("quality"), F.col("data").isNotNull().alias("found"))
 
 

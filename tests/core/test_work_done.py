@@ -1,10 +1,17 @@
 """How often texts are made, parsed and shuffled on the way to a result."""
 
+import json
+
 from pyspark.sql import functions as F
 
+from quillstack.functions import responses
 from quillstack.operators import segments
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_each_page_is_made_once_for_its_segments(spark):
     made = spark.sparkContext.accumulator(0)
 
@@ -18,3 +25,12 @@ def test_each_page_is_made_once_for_its_segments(spark):
     found = segments.segments(docs.select("doc_id", page("doc_id").alias("html")), expected).collect()
     assert sorted(r.id for r in found) == [f"3333-3333-33{c}" for c in "3467"] and {r.html for r in found} == {"<p>x</p>"}
     assert made.value == 4
+
+
+def test_stamps_of_objects_are_parsed_once(spark):
+    rows = [{"revisions": [{"change_num": "1"}, {"change_num": 2, "doc_num": "d"}], "signatures": [{"role": "R", "name": "N"}, {"role": "", "name": "M"}]},
+            {"revisions": [None], "signatures": {"role": "R", "name": "N"}}, {"revisions": ["a", '{"change_num": "3"}'], "signatures": ["x", {"role": "Q", "surname": "S"}, None]}, {"document_code": "C"}]
+    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "d string").coalesce(1)
+    lines = responses.with_stamp_parts(df, "d", "p").select(responses.stamp_line(F.col("p")).alias("line"))
+    assert [r.line for r in lines.collect()] == ["Статус: Изм. 2 (Док. № d) | Ответственные: R: N", 'Ответственные: {"role":"R","name":"N"}', "Статус: Изм. 3 | Ответственные: x; Q: S", "Шифр: C"]
+    assert plan(lines).count("from_json(") <= 7  # one for all, the others only for lists of other kinds
