@@ -32,7 +32,8 @@ def page_stamps(blocks: DataFrame) -> DataFrame:
     # exploded, as a filter would go below and have each text parsed again
     stamp = F.filter(F.array(F.from_json(F.coalesce(own, rs.parsed_json(F.col("ocr_text"))), _MAP)), lambda m: F.size(m) > 0)
     read = _stamps(blocks).select("doc_id", "page", "pos", F.explode(stamp).alias("stamp"))
-    return read.groupBy("doc_id", "page").agg(F.min_by("stamp", "pos").alias("stamp"))
+    # dealt by documents, as what is asked of stamps is grouped by them
+    return read.repartition("doc_id").groupBy("doc_id", "page").agg(F.min_by("stamp", "pos").alias("stamp"))
 
 
 def inherited(stamps: DataFrame, fields: tuple[str, ...] | None = FIELDS) -> DataFrame:
@@ -75,7 +76,7 @@ def of_pages(blocks: DataFrame, fields: tuple[str, ...] | None = FIELDS, documen
     any stamp. stamp is null where nothing is known. Stamps are read once, to a scratch table, but for ones that are given.
     """
     stamps = materialise(page_stamps(blocks), "stamps") if stamps is None else stamps
-    default = inherited(stamps, fields)
+    default = inherited(stamps.repartition("doc_id"), fields)
     if documents is not None:
         default = default.union(from_names(documents).join(default.select("doc_id"), "doc_id", "left_anti"))
     pages = blocks.select("doc_id", "page").distinct().join(stamps, ["doc_id", "page"], "left").join(default, "doc_id", "left")

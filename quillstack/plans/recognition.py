@@ -84,7 +84,13 @@ def similar_codes(spark, sf_dir):
 
 
 def stamped_blocks(spark, sf_dir, *columns):
-    """Blocks with codes as ids: stamps and images as JSON, texts plain, as html with a tag too many, and as JSON with html that isn't closed; all columns, or those named."""
+    """unread_blocks as a scratch table, for queries that read them more than once; all columns, or those named."""
+    out = unread_blocks(spark, sf_dir)
+    return materialise(out.select(*columns) if columns else out, "blocks")
+
+
+def unread_blocks(spark, sf_dir):
+    """Blocks with codes as ids: stamps and images as JSON, texts plain, as html with a tag too many, and as JSON with html that isn't closed."""
     blocks = b.blocks(spark, sf_dir)
     part = F.regexp_extract("id", r"\d+-\d+", 0)
     stamp = F.to_json(F.struct(F.col("code").alias("document_code"), F.when(F.col("pos") % 2 == 0, "P").otherwise("").alias("stage"), F.col("pos").alias("sheet_number")))
@@ -93,9 +99,8 @@ def stamped_blocks(spark, sf_dir, *columns):
         F.concat(F.lit('{"ocr_html": "<div><h2>part</h2><p>'), part, F.lit('</p>"}')))
     said = F.when(F.col("block_type") == "stamp", stamp).when(F.col("block_type") == "image", image).otherwise(text)
     code = lambda c: ids.encode(F.md5(F.col(c)))
-    out = blocks.select("doc_id", "page", "pos", code("id").alias("id"), "block_type", said.alias("ocr_text"), F.when(F.col("linked_block_id").isNotNull(), code("linked_block_id")).alias("linked_block_id"),
+    return blocks.select("doc_id", "page", "pos", code("id").alias("id"), "block_type", said.alias("ocr_text"), F.when(F.col("linked_block_id").isNotNull(), code("linked_block_id")).alias("linked_block_id"),
                         F.lit(None).cast("string").alias("created_at"), F.concat(F.lit("/tmp/"), part, F.lit(".pdf")).alias("image_file"))
-    return materialise(out.select(*columns) if columns else out, "blocks")
 
 
 def named_documents(blocks):
@@ -128,13 +133,13 @@ def stamp_maps(spark, sf_dir):
 @query(f"""WITH {STAMPED} SELECT doc_id, max(v) FILTER (f = 'code') AS document_code, max(v) FILTER (f = 'stage') AS stage FROM modes GROUP BY 1""")
 def stamp_fields_inherited(spark, sf_dir):
     """Of any set of fields the value most pages have; the sheet's number is left out."""
-    found = sp.inherited(sp.page_stamps(stamped_blocks(spark, sf_dir, "doc_id", "page", "pos", "block_type", "ocr_text")), ("document_code", "stage"))
+    found = sp.inherited(sp.page_stamps(unread_blocks(spark, sf_dir)), ("document_code", "stage"))
     return found.select("doc_id", F.col("inherited")["document_code"].alias("document_code"), F.col("inherited")["stage"].alias("stage"))
 
 
 @query(f"WITH {STAMPED} SELECT doc_id, min_by(code, page) AS document_code, min_by(stage, page) AS stage, min_by(sheet, page)::varchar AS sheet_number FROM own GROUP BY 1")
 def stamp_first_full(spark, sf_dir):
-    found = sp.first_full(sp.page_stamps(stamped_blocks(spark, sf_dir, "doc_id", "page", "pos", "block_type", "ocr_text")))
+    found = sp.first_full(sp.page_stamps(unread_blocks(spark, sf_dir)))
     return found.select("doc_id", *(F.col("stamp")[c].alias(c) for c in ("document_code", "stage", "sheet_number")))
 
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from quillstack.functions import responses
-from quillstack.operators import segments
+from quillstack.operators import segments, stamps
 
 
 def plan(df):
@@ -34,3 +34,10 @@ def test_stamps_of_objects_are_parsed_once(spark):
     lines = responses.with_stamp_parts(df, "d", "p").select(responses.stamp_line(F.col("p")).alias("line"))
     assert [r.line for r in lines.collect()] == ["Статус: Изм. 2 (Док. № d) | Ответственные: R: N", 'Ответственные: {"role":"R","name":"N"}', "Статус: Изм. 3 | Ответственные: x; Q: S", "Шифр: C"]
     assert plan(lines).count("from_json(") <= 7  # one for all, the others only for lists of other kinds
+
+
+def test_stamps_are_shuffled_once(spark):
+    blocks = spark.createDataFrame([("a", p, p, "stamp", json.dumps({"stage": "PPQ"[p]})) for p in range(3)], "doc_id string, page int, pos int, block_type string, ocr_text string")
+    found = stamps.inherited(stamps.page_stamps(blocks))
+    assert [(r.doc_id, r.inherited) for r in found.collect()] == [("a", {"stage": "P"})]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
