@@ -77,11 +77,13 @@ def markdown(blocks: DataFrame, documents: DataFrame, made: str) -> DataFrame:
     """
     links = bl.image_texts(blocks)
     own_stamps = materialise(sp.page_stamps(blocks), "stamps")
-    pages = _pages(blocks, documents, own_stamps)
+    # pages and contents are read twice each
+    pages = materialise(_pages(blocks, documents, own_stamps).select("doc_id", "page", "own", mk.stamp_markdown(F.col("parts")).alias("_stamp")), "pages")
     read = mk.with_content_markdown(blocks.where(~sp.is_stamp(F.col("block_type"))), "ocr_text", "_content")
+    read = materialise(read.select("doc_id", "page", "pos", "id", "block_type", "linked_block_id", "_content"), "contents")
     below = links.join(read.select("doc_id", F.col("id").alias("text_id"), F.col("_content").alias("_below")), ["doc_id", "text_id"]).select("doc_id", F.col("image_id").alias("id"), "_below")
     shown = read.join(links.select("doc_id", F.col("text_id").alias("id")), ["doc_id", "id"], "left_anti").join(below, ["doc_id", "id"], "left")
-    shown = shown.join(pages.select("doc_id", "page", mk.stamp_markdown(F.col("parts")).alias("_stamp")), ["doc_id", "page"], "left")
+    shown = shown.join(pages.select("doc_id", "page", "_stamp"), ["doc_id", "page"], "left")
     arrow = F.when(_some(F.col("linked_block_id")).isNotNull() & F.col("_below").isNull(), F.concat(F.lit("→"), ids.migrated(F.col("linked_block_id"))))
     text = F.when(_some(F.col("_below")).isNotNull(), F.concat(F.lit(f"\n{LINKED_TEXT}\n"), "_below"))
     part = _said([F.concat(F.lit("### BLOCK ["), F.upper("block_type"), F.lit("]: "), ids.migrated(F.col("id"))), arrow, _some(F.col("_stamp")), _some(F.col("_content")), text, F.lit("")])
