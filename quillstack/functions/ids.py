@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations, product
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ DIGITS = "0123456789ABCDEFGHIJKLMNOP"
 HEX_FROM, HEX_TO = "OoIl|!іІSsGg", "001111115566"
 PAYLOAD, CHECK = 8, 3
 SPAN = 26 ** PAYLOAD
+#: What a payload's letter at its place is worth in the checksum's three sums, in fields of 16 bits.
+_SUMS = [1 | i + 3 << 16 | (i + 7) * (i + 1) << 32 for i in range(PAYLOAD)]
 
 
 def _letter(n: Column) -> Column:
@@ -42,10 +44,27 @@ def checksum(payload: Column) -> Column:
     return once(values, letters)
 
 
-def payload_of(number: Column) -> Column:
-    """Eight letters for a 40-bit number; one that needs nine loses its last, as ids have always been written."""
-    short = once(number, lambda n: F.when(n >= SPAN, F.floor(n / 26)).otherwise(n).cast("string"))
-    return F.translate(F.lpad(F.conv(short, 10, 26), PAYLOAD, "0"), DIGITS, ALPHABET)
+def _number(uuid: Column) -> Column:
+    """The first ten hexadecimal digits of a uuid."""
+    return F.conv(F.substring(F.lower(F.replace(uuid, F.lit("-"), F.lit(""))), 1, 10), 16, 10).cast("long")
+
+
+def _short(n: Column) -> Column:
+    """A 40-bit number that eight letters hold; one that needs nine loses its last, as ids have always been written."""
+    return F.when(n >= SPAN, F.floor(n / 26)).otherwise(n)
+
+
+def _sums_of(short: Column) -> Column:
+    """The checksum's three sums of a number's eight letters, in fields of 16 bits; they come from its digits, no letter is looked up."""
+    digits = [F.call_function("div", short, F.lit(26 ** (PAYLOAD - 1 - i))) % 26 for i in range(PAYLOAD)]
+    return reduce(Column.__add__, (d * F.lit(w) for d, w in zip(digits, _SUMS, strict=True)))
+
+
+def _code(short: Column, sums: Column) -> Column:
+    """XXXX-XXXX-XXX: eight letters for a number, then those of its sums."""
+    payload = F.translate(F.lpad(F.conv(short.cast("string"), 10, 26), PAYLOAD, "0"), DIGITS, ALPHABET)
+    check = F.concat(_letter(sums % 65536), _letter(F.shiftright(sums, 16) % 65536), _letter(F.shiftright(sums, 32)))
+    return F.overlay(F.overlay(F.concat(payload, check), F.lit("-"), 9, 0), F.lit("-"), 5, 0)
 
 
 def dashed(code: Column) -> Column:
@@ -58,8 +77,15 @@ def plain(code: Column) -> Column:
 
 def encode(uuid: Column) -> Column:
     """XXXX-XXXX-XXX from the first ten hexadecimal digits of a uuid."""
-    prefix = F.substring(F.lower(F.replace(uuid, F.lit("-"), F.lit(""))), 1, 10)
-    return once(payload_of(F.conv(prefix, 16, 10).cast("long")), lambda p: once(F.concat(p, checksum(p)), lambda c: F.when(c.isNotNull(), dashed(c))))
+    return once(once(_number(uuid), _short), lambda n: once(_sums_of(n), lambda s: _code(n, s)))
+
+
+def with_codes(df: DataFrame, uuids: dict[str, Column]) -> DataFrame:
+    """df with the codes of uuids as columns of these names: encode() in projections of its own, for many rows."""
+    named = lambda k, f: {f"_{k}_{c}": f(c) for c in uuids}
+    at = lambda k, c: F.col(f"_{k}_{c}")
+    steps = df.withColumns(named("number", lambda c: _number(uuids[c]))).withColumns(named("short", lambda c: _short(at("number", c)))).withColumns(named("sums", lambda c: _sums_of(at("short", c))))
+    return steps.withColumns({c: _code(at("short", c), at("sums", c)) for c in uuids}).drop(*(f"_{k}_{c}" for k in ("number", "short", "sums") for c in uuids))
 
 
 def _valid(clean: Column) -> Column:

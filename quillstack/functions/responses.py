@@ -264,31 +264,64 @@ def stamp_json(text: Column) -> Column:
     return F.coalesce(sure, embedded_json(F.when(sure.isNull(), s), STAMP_KEYS))
 
 
-def image_fields(data: Column) -> Column:
-    """Fields of an image's JSON, or of its analysis: type, place with its level, texts with what to check, and at most a hundred entities."""
-    inner = F.when(_kind(data, "$.analysis").startswith("OBJECT"), F.get_json_object(data, "$.analysis")).otherwise(data)
-    return once(inner, lambda d: once(F.coalesce(_kind(d, "$.location").startswith("OBJECT"), F.lit(False)), lambda placed: _fields(d, placed)))
+_IMAGE = "fragment_type string, location string, content_summary string, detailed_description string, verification_recommendations string, key_entities string"
+_PLACE = ("zone_name", "grid_lines", "level_or_elevation")
+#: The JSON of an image, valid and without escapes by number, whose fields are texts, its place an object of texts and its entities a list of texts.
+_QUOTED, _BETWEEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"[\s,]*+"
+_FIELD = rf"{_QUOTED}\s*+:\s*+(?:{_QUOTED}|null){_BETWEEN}"
+_PLAIN = rf'(?s)^\{{\s*+(?:"key_entities"\s*+:\s*+\[\s*+(?:{_QUOTED}{_BETWEEN})*+\]{_BETWEEN}|"location"\s*+:\s*+\{{\s*+(?:{_FIELD})*+\}}{_BETWEEN}|(?!"key_entities"){_FIELD})*+\}}$'
+_LONGEST = 4000
 
 
-def _fields(d: Column, placed: Column) -> Column:
-    at = lambda path: F.coalesce(F.get_json_object(d, path), F.lit(""))
-    entities = F.from_json(F.get_json_object(d, "$.key_entities"), "array<string>")
-    return F.struct(at("$.fragment_type").alias("fragment_type"), F.when(placed, at("$.location.zone_name")).alias("zone_name"), F.when(placed, at("$.location.grid_lines")).alias("grid_lines"),
-                    F.when(placed, at("$.location.level_or_elevation")).alias("level_or_elevation"),
-                    F.when(~placed, _text(d, "$.location")).alias("location_text"), at("$.content_summary").alias("content_summary"),
-                    at("$.detailed_description").alias("detailed_description"), at("$.verification_recommendations").alias("verification_recommendations"), F.slice(F.coalesce(entities, F.array().cast("array<string>")), 1, 100).alias("key_entities"))
+def image_fields(data: Column, parsed: Column | None = None) -> Column:
+    """Fields of an image's JSON, or of its analysis: type, place with its level, texts with what to check, and at most a hundred entities.
+
+    parsed is the same JSON as a variant, if it is there already. Texts come from it; JSON with fields of other kinds is
+    read again, as these are told as they are written.
+    """
+    def of(v: Column) -> Column:
+        said = lambda path: F.when(may_hold(data, path.rsplit(".", 1)[1]), F.try_variant_get(v, path, "string"))
+        placed = data.rlike(r'"location"\s*:\s*\{')
+        plain = _told({f: said(f"$.{f}") for f in _TEXTS}, {k: said(f"$.location.{k}") for k in _PLACE}, said("$.location"), placed, F.when(may_hold(data, "key_entities"), F.try_variant_get(v, "$.key_entities", "array<string>")))
+        simple = (F.length(data) <= _LONGEST) & ~data.contains("\\u") & ~data.contains('"analysis"') & data.rlike(_PLAIN)
+        return F.when(v.isNotNull() & simple, plain).otherwise(_read_again(data, v))
+    return once(F.try_parse_json(data), of) if parsed is None else of(parsed)
+
+
+_TEXTS = ("fragment_type", "content_summary", "detailed_description", "verification_recommendations")
+
+
+def _told(texts: dict[str, Column], place: dict[str, Column], location: Column, placed: Column, entities: Column) -> Column:
+    said = lambda v: F.coalesce(v, F.lit(""))
+    return F.struct(said(texts["fragment_type"]).alias("fragment_type"), *(F.when(placed, said(place[k])).alias(k) for k in _PLACE), F.when(~placed, F.nullif(location, F.lit(""))).alias("location_text"),
+                    *(said(texts[k]).alias(k) for k in _TEXTS[1:]), F.slice(F.coalesce(entities, F.array().cast("array<string>")), 1, 100).alias("key_entities"))
+
+
+def _read_again(data: Column, v: Column) -> Column:
+    is_object = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("OBJECT"), F.lit(False))
+    inside = is_object("$.analysis")
+    read = F.struct(F.from_json(F.when(inside, F.get_json_object(data, "$.analysis")).otherwise(data), _IMAGE).alias("d"), F.when(inside, is_object("$.analysis.location")).otherwise(is_object("$.location")).alias("placed"))
+    def fields(x: Column) -> Column:
+        d, entities = x["d"], F.from_json(x["d"]["key_entities"], "array<string>")
+        place = F.from_json(F.when(x["placed"], d["location"]), ", ".join(f"{k} string" for k in _PLACE))
+        return once(place, lambda at: _told({f: d[f] for f in _TEXTS}, {k: at[k] for k in _PLACE}, d["location"], x["placed"], entities))
+    return once(read, fields)
+
+
+def may_hold(data: Column, key: str) -> Column:
+    """Whether JSON's text names a key or has escapes, cheap to ask before the key is looked for: a variant's missing field costs far more than one that is there."""
+    return data.contains(key) | data.contains("\\u")
 
 
 def is_image_json(data: Column) -> Column:
     """Whether a JSON object, or its analysis, has one of the fields of an image."""
-    return is_image(F.try_parse_json(data))
+    return once(F.try_parse_json(data), lambda v: is_image(v, data))
 
 
-def is_image(parsed: Column) -> Column:
+def is_image(parsed: Column, data: Column) -> Column:
     """is_image_json of JSON that is a variant already."""
-    def there(v: Column) -> Column:
-        return reduce(Column.__or__, (F.try_variant_get(v, f"${way}.{f}", "variant").isNotNull() for f in IMAGE_FIELDS for way in ("", ".analysis")))
-    return F.coalesce(once(parsed, there), F.lit(False))
+    there = lambda way: reduce(Column.__or__, (may_hold(data, f) & F.try_variant_get(parsed, f"${way}.{f}", "variant").isNotNull() for f in IMAGE_FIELDS))
+    return F.coalesce(there("") | (may_hold(data, "analysis") & there(".analysis")), F.lit(False))
 
 
 def qwen_html(data: Column) -> Column:
@@ -302,8 +335,8 @@ _PERSON = "role string, surname string, name string"
 _LISTS = {"revisions": _REVISION, "signatures": _PERSON}
 
 
-def with_stamp_parts(df: DataFrame, data: str, parts: str) -> DataFrame:
-    """df with array<struct<label, value>> of a stamp's fields in their order, empty ones left out, as column ``parts``.
+def with_stamp_values(df: DataFrame, data: str, values: str) -> DataFrame:
+    """df with struct<label's name: text> of a stamp's fields, empty ones null, as column ``values``; null without JSON.
 
     The JSON is read once, and again, with its lists item by item, only where these aren't there as lists of objects. Each
     step is a projection of its own.
@@ -332,11 +365,22 @@ def with_stamp_parts(df: DataFrame, data: str, parts: str) -> DataFrame:
     steps = steps.withColumn("_told", F.when(again, F.array_join(F.transform("_signed", signed), "; ")).otherwise(F.array_join(F.transform("_t.signatures", person), "; ")))
     listed = lambda n, texts: F.when(again, F.col(texts).isNotNull()).otherwise(F.col(f"_t.{n}").isNotNull())
     total = some("_s.total_sheets")
-    values = {"sheet": F.when(total.isNotNull(), F.concat(F.coalesce("_s.sheet_number", F.lit("")), F.lit(" (из "), total, F.lit(")"))).otherwise(some("_s.sheet_number")),
-              "revision": F.when(listed("revisions", "_revisions"), revision).otherwise(some("_r.revisions")),
-              "signatures": F.when(listed("signatures", "_signed"), some("_told")).otherwise(some("_r.signatures"))}
-    every = F.array(*(F.struct(F.lit(label).alias("label"), values.get(name, some(f"_s.{name}")).alias("value")) for name, label in STAMP_LABELS))
-    return steps.withColumn(parts, F.filter(every, lambda p: p["value"].isNotNull())).drop("_t", "_r", "_s", "_revisions", "_signed", "_last", "_number", "_document", "_told")
+    told = {"sheet": F.when(total.isNotNull(), F.concat(F.coalesce("_s.sheet_number", F.lit("")), F.lit(" (из "), total, F.lit(")"))).otherwise(some("_s.sheet_number")),
+            "revision": F.when(listed("revisions", "_revisions"), revision).otherwise(some("_r.revisions")),
+            "signatures": F.when(listed("signatures", "_signed"), some("_told")).otherwise(some("_r.signatures"))}
+    every = F.struct(*(told.get(name, some(f"_s.{name}")).alias(name) for name, _ in STAMP_LABELS))
+    return steps.withColumn(values, F.when(F.col(data).isNotNull(), every)).drop("_t", "_r", "_s", "_revisions", "_signed", "_last", "_number", "_document", "_told")
+
+
+def stamp_parts(values: Column) -> Column:
+    """array<struct<label, value>> of a stamp's values (with_stamp_values) in their order, null ones left out."""
+    every = F.array(*(F.struct(F.lit(label).alias("label"), values[name].alias("value")) for name, label in STAMP_LABELS))
+    return F.filter(every, lambda p: p["value"].isNotNull())
+
+
+def with_stamp_parts(df: DataFrame, data: str, parts: str) -> DataFrame:
+    """df with array<struct<label, value>> of a stamp's fields in their order, empty ones left out, as column ``parts``."""
+    return with_stamp_values(df, data, "_v").withColumn(parts, stamp_parts(F.col("_v"))).drop("_v")
 
 
 def stamp_line(parts: Column, separator: str = " | ") -> Column:

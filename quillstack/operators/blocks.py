@@ -42,6 +42,22 @@ def image_texts(blocks: DataFrame) -> DataFrame:
     return texts.join(images, ["doc_id", "image_id"]).groupBy("doc_id", "image_id").agg(F.max_by("text_id", F.struct("page", "pos")).alias("text_id"))
 
 
+def with_image_texts(blocks: DataFrame, text: str, below: str, moved: str) -> DataFrame:
+    """blocks with, for images, the ``text`` of the last text linked to each as column ``below``, and as ``moved`` whether a block is such a text.
+
+    The same links as image_texts, found among the rows that name an image of their document: no row is joined or leaves its document.
+    """
+    kind, link = F.col("block_type"), F.col("linked_block_id")
+    linked = F.coalesce(kind == "text", F.lit(False)) & link.isNotNull()
+    image = F.coalesce(kind == "image", F.lit(False))
+    named = Window.partitionBy("doc_id", "_image")
+    place = F.struct("page", "pos", "id")
+    found = blocks.withColumn("_image", F.when(image, F.col("id")).when(linked, link)).withColumns({
+        "_there": F.max(image).over(named), "_last": F.max(F.when(linked, F.struct(place.alias("place"), F.col(text).alias("text")))).over(named)})
+    mine = linked & F.col("_there") & (F.col("_last.place") == place)
+    return found.withColumns({below: F.when(image, F.col("_last.text")), moved: F.coalesce(mine, F.lit(False))}).drop("_image", "_there", "_last")
+
+
 def enriched(blocks: DataFrame, segments: DataFrame) -> DataFrame:
     """Blocks with the html of their segment, of several that of the best score; method none and score 0 where there is none."""
     best = segments.groupBy("id").agg(F.max(F.struct("score", "method", "html")).alias("_s"))

@@ -2,46 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions import ids
 from quillstack.functions import markup as mk
-from quillstack.functions import responses as rs
+from quillstack.functions.once import once
 from quillstack.operators import blocks as bl
 from quillstack.operators import stamps as sp
-from quillstack.scratch import materialise
 
 # Words of the exports.
 CROP, STAMP, PAGE, SHEET, SHEET_NAME, LINKED_TEXT, MADE = (
     "🖼️ Открыть кроп изображения", "**Штамп:**", "## СТРАНИЦА", "**Лист:**", "**Наименование листа:**", "**Распознанный OCR текст на чертеже:**", "Сгенерировано:")
 
 
-def _said(values: list[Column]) -> Column:
-    return F.array_join(F.array_compact(F.array(*values)), "\n")
+def _said(*values: Column) -> Column:
+    """Lines, nulls left out."""
+    return F.concat_ws("\n", *values)
 
 
 def _some(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def _pages(blocks: DataFrame, documents: DataFrame, stamps: DataFrame) -> DataFrame:
-    """(doc_id, page, own, stamp, parts): a row for each page, with the stamp that holds there and its parts."""
-    pages = sp.of_pages(blocks, documents=documents, stamps=stamps)
-    return rs.with_stamp_parts(pages.withColumn("_data", F.to_json("stamp")), "_data", "parts").drop("_data")
-
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks dealt by documents, to more tasks than a shuffle has by itself: a task sorts the texts of its documents, which are far larger than what they are made of."""
+    spark = blocks.sparkSession
+    return blocks.repartition(2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "doc_id")
 
-def _joined(parts: DataFrame, begins: DataFrame, end: str | None) -> DataFrame:
-    """(doc_id, content): documents' beginnings (doc_id, begin), then their parts in order, one line each."""
-    body = parts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "part"))), lambda s: s["part"]).alias("body"))
-    lines = F.concat(F.array("begin"), F.coalesce("body", F.array().cast("array<string>")), F.array(F.lit(end)) if end is not None else F.array().cast("array<string>"))
-    return begins.join(body, "doc_id", "left").select("doc_id", F.array_join(lines, "\n").alias("content"))
 
+def _by_document(dealt: DataFrame, documents: DataFrame, entry: Callable[[], tuple[Column, Column]]) -> DataFrame:
+    """Documents with _entries in the order of pages and positions, empty without blocks, their _default and _first stamp.
 
-def _first_stamps(stamps: DataFrame) -> DataFrame:
-    """(doc_id, parts) of each document's first full stamp."""
-    full = sp.first_full(stamps).select("doc_id", F.to_json("stamp").alias("_data"))
-    return rs.with_stamp_parts(full, "_data", "parts").drop("_data")
+    dealt has _own, the values of a stamp, for stamps only; entry() is whether a block has an entry and the struct of
+    its fields, made of _at (its number on the page), _page (the values of the page's first stamp that has any),
+    _seen (whether the page shows any block) and what documents have. Nothing is shuffled: pages lie within documents.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    whole = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = dealt.withColumns({"_at": F.row_number().over(page.orderBy("pos")), "_page": F.first("_own", ignorenulls=True).over(whole), "_seen": F.max("_shown").over(whole)}).drop("_own")
+    # of the two sides the blocks are the large one, whatever their files' size says; they are in the order of documents
+    joined = documents.join(rows.hint("merge"), "doc_id", "left")
+    there, fields = entry()
+    begins = (F.col("_at") == 1) & F.col("_page").isNotNull()
+    stamp = F.struct("page", *(F.col(f"_page.{f}").alias(f) for f in sp.FIELDS))
+    found = joined.groupBy(*documents.columns).agg(
+        F.sort_array(F.collect_list(F.when(there, fields))).alias("_entries"), F.collect_list(F.when(begins, stamp)).alias("_stamps"),
+        F.min(F.when(begins & F.col("page").isNotNull() & F.col("_page.document_code").isNotNull(), F.struct("page", F.col("_page").alias("own"))))["own"].alias("_first"))
+    found = found.withColumn("_default", sp.modes(F.col("_stamps"))).drop("_stamps")
+    nothing = reduce(Column.__and__, (F.col(f"_default.{f}").isNull() for f in sp.FIELDS))
+    # a document's name is its code if its stamps say nothing
+    return found.withColumn("_default", F.col("_default").withField("document_code", F.when(nothing, sp.name_code(F.col("name"))).otherwise(F.col("_default.document_code"))))
+
+
+def _own(pieces: Callable[[Column], dict[str, Column]]) -> list[Column]:
+    """What an entry has of its page's stamp: whether the document's fields hold there too, whether it is the page's own, and its pieces."""
+    return [F.col("page").isNotNull().alias("paged"), F.col("_page").isNotNull().alias("own"), F.struct(*(v.alias(n) for n, v in pieces(F.col("_page")).items())).alias("stamp")]
+
+
+def _with_stamps(found: DataFrame, pieces: Callable[[Column], dict[str, Column]], whole: Callable[[Column, bool], Column], told: Callable[[Column, Column], Column]) -> Column:
+    """Entries as texts: told(entry, stamp) with the stamp that holds on its page, its own pieces and of the document's fields those that it leaves empty; null without any."""
+    given = {n: v for n, v in pieces(F.col("_default")).items() if n in sp.FIELDS}
+    every = F.struct(*(v.alias(n) for n, v in given.items()), F.concat_ws(" | ", *given.values()).alias("line"))
+    def of(default: Column) -> Column:
+        def one(e: Column) -> Column:
+            line = F.concat_ws(" | ", *(F.coalesce(e["stamp"][n], default[n]) if n in given else e["stamp"][n] for n in pieces(F.col("_first"))))
+            return told(e, F.when(e["paged"], F.when(e["own"], once(line, lambda t: F.when(t != "", whole(t, False)))).otherwise(default["whole"])))
+        return F.transform("_entries", one)
+    return once(once(every, lambda d: d.withField("whole", F.when(d["line"] != "", whole(d["line"], True)))), of)
 
 
 def html(blocks: DataFrame, documents: DataFrame, made: str, files: str = "", style: str = mk.STYLE) -> DataFrame:
@@ -50,24 +81,25 @@ def html(blocks: DataFrame, documents: DataFrame, made: str, files: str = "", st
     blocks has doc_id, page from 0, pos, id, block_type, ocr_text, linked_block_id, created_at and image_file. Stamps
     aren't blocks of their own: what holds on a page stands above each block. A document without blocks is its title.
     """
-    at = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("pos"))
-    stamps = materialise(sp.page_stamps(blocks), "stamps")
-    pages = _pages(blocks, documents, stamps).select("doc_id", "page", mk.stamp_html(F.col("parts"), F.col("own").isNull()).alias("_stamp"))
-    shown = blocks.withColumn("_at", at).where(~sp.is_stamp(F.col("block_type"))).join(pages, ["doc_id", "page"], "left").join(documents.select("doc_id", "project"), "doc_id", "left")
-    shown = mk.with_content_html(shown, "ocr_text", "_content")
+    kind, shown = F.col("block_type"), ~sp.is_stamp(F.col("block_type"))
+    read = sp.with_own(blocks, "_own").withColumns({"_shown": shown, "_text": F.when(shown, F.col("ocr_text"))})
+    read = _dealt(mk.with_content_html(read, "_text", "_content").select("doc_id", "page", "pos", "_shown", "block_type", "_own", "_content", *(F.when(shown, F.col(c)).alias(c) for c in ("id", "linked_block_id", "created_at", "image_file"))))
     line = lambda begin, value, end: F.when(_some(value).isNotNull(), F.concat(F.lit(begin), value, F.lit(end)))
-    crop = F.concat(F.lit(f'<p><a href="{files}/tree_docs/'), "project", F.lit("/crops/"), F.regexp_extract("image_file", "[^/]*$", 0), F.lit(f'" target="_blank"><b>{CROP}</b></a></p>'))
-    part = _said([
-        F.concat(F.lit('<div class="block block-type-'), "block_type", F.lit('">')),
-        F.concat(F.lit('<div class="block-header">Блок #'), F.col("_at").cast("string"), F.lit(" (стр. "), (F.col("page") + 1).cast("string"), F.lit(") | Тип: "), "block_type", F.lit("</div>")),
-        F.lit('<div class="block-content">'), F.concat(F.lit("<p>BLOCK: "), ids.migrated(F.col("id")), F.lit("</p>")),
-        line("<p><b>Linked block:</b> ", F.when(_some(F.col("linked_block_id")).isNotNull(), ids.migrated(F.col("linked_block_id"))), "</p>"),
-        line("<p><b>Created:</b> ", F.col("created_at").cast("string"), "</p>"), _some(F.col("_stamp")),
-        F.when((F.col("block_type") == "image") & _some(F.col("image_file")).isNotNull() & _some(F.col("project")).isNotNull(), crop), F.col("_content"), F.lit("</div></div>")])
-    first = _first_stamps(stamps).select("doc_id", _some(mk.stamp_html(F.col("parts"), F.lit(False))).alias("_first"))
+    def entry() -> tuple[Column, Column]:
+        crop = F.concat(F.lit(f'<p><a href="{files}/tree_docs/'), "project", F.lit("/crops/"), F.regexp_extract("image_file", "[^/]*$", 0), F.lit(f'" target="_blank"><b>{CROP}</b></a></p>'))
+        before = _said(
+            F.concat(F.lit('<div class="block block-type-'), kind, F.lit('">')),
+            F.concat(F.lit('<div class="block-header">Блок #'), F.col("_at").cast("string"), F.lit(" (стр. "), (F.col("page") + 1).cast("string"), F.lit(") | Тип: "), kind, F.lit("</div>")),
+            F.lit('<div class="block-content">'), F.concat(F.lit("<p>BLOCK: "), ids.migrated(F.col("id")), F.lit("</p>")),
+            line("<p><b>Linked block:</b> ", F.when(_some(F.col("linked_block_id")).isNotNull(), ids.migrated(F.col("linked_block_id"))), "</p>"), line("<p><b>Created:</b> ", F.col("created_at").cast("string"), "</p>"))
+        after = _said(F.when((kind == "image") & _some(F.col("image_file")).isNotNull() & _some(F.col("project")).isNotNull(), crop), F.col("_content"), F.lit("</div></div>"))
+        return F.col("_shown"), F.struct("page", "pos", before.alias("before"), after.alias("after"), *_own(mk.stamp_pieces_html))
+    found = _by_document(read, documents.select("doc_id", "name", "project"), entry)
+    entries = _with_stamps(found, mk.stamp_pieces_html, lambda told, inherited: mk.stamp_div(told, inherited), lambda e, stamp: _said(e["before"], stamp, e["after"]))
     title = F.coalesce(_some(F.col("name")), F.lit("OCR Result"))
-    begins = documents.join(first, "doc_id", "left").select("doc_id", _said([mk.header(title, F.lit(made), style), F.col("_first")]).alias("begin"))
-    return _joined(shown.select("doc_id", "page", "pos", part.alias("part")), begins, mk.FOOTER)
+    first = F.concat_ws(" | ", *mk.stamp_pieces_html(F.col("_first")).values())
+    begin = _said(mk.header(title, F.lit(made), style), F.when(first != "", mk.stamp_div(first, False)))
+    return found.select("doc_id", _said(begin, entries, F.lit(mk.FOOTER)).alias("content"))
 
 
 def markdown(blocks: DataFrame, documents: DataFrame, made: str) -> DataFrame:
@@ -75,29 +107,27 @@ def markdown(blocks: DataFrame, documents: DataFrame, made: str) -> DataFrame:
 
     Texts linked to an image stand below it and nowhere else; blocks without content have their heading only.
     """
-    links = bl.image_texts(blocks)
-    own_stamps = materialise(sp.page_stamps(blocks), "stamps")
-    # pages and contents are read twice each
-    pages = materialise(_pages(blocks, documents, own_stamps).select("doc_id", "page", "own", mk.stamp_markdown(F.col("parts")).alias("_stamp")), "pages")
-    read = mk.with_content_markdown(blocks.where(~sp.is_stamp(F.col("block_type"))), "ocr_text", "_content")
-    read = materialise(read.select("doc_id", "page", "pos", "id", "block_type", "linked_block_id", "_content"), "contents")
-    below = links.join(read.select("doc_id", F.col("id").alias("text_id"), F.col("_content").alias("_below")), ["doc_id", "text_id"]).select("doc_id", F.col("image_id").alias("id"), "_below")
-    shown = read.join(links.select("doc_id", F.col("text_id").alias("id")), ["doc_id", "id"], "left_anti").join(below, ["doc_id", "id"], "left")
-    shown = shown.join(pages.select("doc_id", "page", "_stamp"), ["doc_id", "page"], "left")
-    arrow = F.when(_some(F.col("linked_block_id")).isNotNull() & F.col("_below").isNull(), F.concat(F.lit("→"), ids.migrated(F.col("linked_block_id"))))
-    text = F.when(_some(F.col("_below")).isNotNull(), F.concat(F.lit(f"\n{LINKED_TEXT}\n"), "_below"))
-    part = _said([F.concat(F.lit("### BLOCK ["), F.upper("block_type"), F.lit("]: "), ids.migrated(F.col("id"))), arrow, _some(F.col("_stamp")), _some(F.col("_content")), text, F.lit("")])
-    own = lambda k: _some(F.col("own")[k])
-    sheet = F.when(own("total_sheets").isNotNull(), F.concat(F.lit(f"{SHEET} "), F.coalesce(F.col("own")["sheet_number"], F.lit("")), F.lit(" (из "), own("total_sheets"), F.lit(")"))).when(own("sheet_number").isNotNull(), F.concat(F.lit(f"{SHEET} "), own("sheet_number")))
-    name = F.when(own("sheet_name").isNotNull(), F.concat(F.lit(f"{SHEET_NAME} "), own("sheet_name")))
-    heading = _said([F.concat(F.lit(f"{PAGE} "), (F.col("page") + 1).cast("string")), sheet, name, F.lit("")])
-    with_blocks = blocks.where(~sp.is_stamp(F.col("block_type"))).select("doc_id", "page").distinct()
-    headings = pages.join(with_blocks, ["doc_id", "page"]).select("doc_id", "page", F.lit(None).cast("int").alias("pos"), heading.alias("part"))  # null comes first
-    stamps = _first_stamps(own_stamps).select("doc_id", mk.stamp_markdown(F.col("parts"), "\n").alias("_first"))
-    code = F.concat(F.lit("Шифр: "), F.col("inherited")["document_code"])
-    known = documents.join(stamps, "doc_id", "left").join(sp.from_names(documents).select("doc_id", code.alias("_named")), "doc_id", "left")
-    stamp = F.coalesce(F.col("_first"), F.col("_named"))
+    shown = ~sp.is_stamp(F.col("block_type"))
+    read = sp.with_own(blocks, "_own").withColumns({"_shown": shown, "_text": F.when(shown, F.col("ocr_text"))})
+    read = _dealt(mk.with_content_markdown(read, "_text", "_content").select("doc_id", "page", "pos", "_shown", "block_type", "_own", "_content", *(F.when(shown, F.col(c)).alias(c) for c in ("id", "linked_block_id"))))
+    read = bl.with_image_texts(read, "_content", "_below", "_moved")
+    def entry() -> tuple[Column, Column]:
+        own = lambda n: F.col(f"_page.{n}")
+        paged = F.col("page").isNotNull()
+        heading = F.when((F.col("_at") == 1) & F.col("_seen") & paged, _said(
+            F.concat(F.lit(f"{PAGE} "), (F.col("page") + 1).cast("string")), F.concat(F.lit(f"{SHEET} "), own("sheet")), F.concat(F.lit(f"{SHEET_NAME} "), own("sheet_name")), F.lit("")))
+        there = F.col("_shown") & ~F.col("_moved")
+        arrow = F.when(_some(F.col("linked_block_id")).isNotNull() & F.col("_below").isNull(), F.concat(F.lit("→"), ids.migrated(F.col("linked_block_id"))))
+        before = _some(_said(F.concat(F.lit("### BLOCK ["), F.upper("block_type"), F.lit("]: "), ids.migrated(F.col("id"))), arrow))
+        text = F.when(_some(F.col("_below")).isNotNull(), F.concat(F.lit(f"\n{LINKED_TEXT}\n"), "_below"))
+        after = _said(_some(F.col("_content")), text, F.lit(""))
+        fields = F.struct("page", "pos", heading.alias("heading"), F.when(there, before).alias("before"), F.when(there, after).alias("after"), *_own(mk.stamp_pieces_markdown))
+        return there | heading.isNotNull(), fields
+    found = _by_document(read, documents.select("doc_id", "name"), entry)
+    told = lambda e, stamp: F.when(e["after"].isNull(), e["heading"]).otherwise(_said(e["heading"], e["before"], stamp, e["after"]))
+    entries = _with_stamps(found, mk.stamp_pieces_markdown, lambda line, inherited: line, told)
+    first = F.concat_ws("\n", *mk.stamp_pieces_markdown(F.col("_first")).values())
+    stamp = F.when(F.col("_first").isNotNull(), first).otherwise(F.concat(F.lit("Шифр: "), sp.name_code(F.col("name"))))
     title = F.coalesce(_some(F.col("name")), F.lit("OCR Result"))
-    begin = _said([F.concat(F.lit("# "), title), F.lit(""), F.lit(f"{MADE} {made} UTC"), F.when(_some(stamp).isNotNull(), F.concat(F.lit(STAMP + "\n"), stamp)), F.lit(""), F.lit("---"), F.lit("")])
-    parts = headings.union(shown.select("doc_id", "page", F.col("pos").cast("int").alias("pos"), part.alias("part")))
-    return _joined(parts, known.select("doc_id", begin.alias("begin")), None)
+    begin = _said(F.concat(F.lit("# "), title), F.lit(""), F.lit(f"{MADE} {made} UTC"), F.when(_some(stamp).isNotNull(), F.concat(F.lit(STAMP + "\n"), stamp)), F.lit(""), F.lit("---"), F.lit(""))
+    return found.select("doc_id", _said(begin, entries).alias("content"))

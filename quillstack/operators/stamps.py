@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions import responses as rs
+from quillstack.functions.once import once
 from quillstack.scratch import materialise
 
 #: Fields that pages without a stamp take over.
@@ -19,23 +20,48 @@ def is_stamp(block_type: Column, category: Column | None = None) -> Column:
     return F.coalesce(block_type == "stamp", F.lit(False)) | other
 
 
-def _stamps(blocks: DataFrame) -> DataFrame:
-    return blocks.where(is_stamp(F.col("block_type"), F.col("category_code") if "category_code" in blocks.columns else None))
+def _is_stamp(blocks: DataFrame) -> Column:
+    return is_stamp(F.col("block_type"), F.col("category_code") if "category_code" in blocks.columns else None)
 
 
-def page_stamps(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, stamp): the fields of each page's first stamp whose text is a JSON object with any.
-
-    Values are texts, nested ones JSON. An ocr_json column goes before the text.
-    """
+def _fields(blocks: DataFrame) -> Column:
+    """The fields of a block's JSON. Values are texts, nested ones JSON. An ocr_json column goes before the text."""
     own = F.nullif(F.regexp_replace("ocr_json", r"^\s*\{\s*\}\s*$", ""), F.lit("")) if "ocr_json" in blocks.columns else F.lit(None).cast("string")
+    return F.from_json(F.when(_is_stamp(blocks), F.coalesce(own, rs.parsed_json(F.col("ocr_text")))), _MAP)
+
+
+def page_stamps(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, stamp): the fields of each page's first stamp whose text is a JSON object with any."""
     # exploded, as a filter would go below and have each text parsed again
-    stamp = F.filter(F.array(F.from_json(F.coalesce(own, rs.parsed_json(F.col("ocr_text"))), _MAP)), lambda m: F.size(m) > 0)
-    read = _stamps(blocks).select("doc_id", "page", "pos", F.explode(stamp).alias("stamp"))
+    stamp = F.filter(F.array(_fields(blocks)), lambda m: F.size(m) > 0)
+    read = blocks.where(_is_stamp(blocks)).select("doc_id", "page", "pos", F.explode(stamp).alias("stamp"))
     # dealt by documents, as what is asked of stamps is grouped by them
     return read.repartition("doc_id").groupBy("doc_id", "page").agg(F.min_by("stamp", "pos").alias("stamp"))
 
 
+def with_own(blocks: DataFrame, out: str) -> DataFrame:
+    """blocks with the values of each stamp's fields (with_stamp_values) as column ``out``, null for other blocks and for stamps without fields."""
+    steps = blocks.withColumn("_map", _fields(blocks))
+    return rs.with_stamp_values(steps.withColumn("_data", F.when(F.size("_map") > 0, F.to_json("_map"))).drop("_map"), "_data", out).drop("_data")
+
+
+def modes(stamps: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """struct of fields, each the value that most of a document's stamps have, that of the first page of equals; null where none has any.
+
+    stamps is array<struct<page, ...fields>>, one for each page: inherited() of documents that are rows already. Equal
+    values are counted as runs of sorted ones; a single stamp is taken as it is.
+    """
+    def mode(field: str) -> Column:
+        said = F.filter(F.transform(stamps, lambda s: F.struct(s[field].alias("value"), s["page"].alias("page"))), lambda v: v["value"].isNotNull())
+        def longest(v: Column) -> Column:
+            starts = F.filter(F.transform(v, lambda x, i: F.when((i == 0) | (F.get(v, i - 1)["value"] != x["value"]), i)), lambda i: i.isNotNull())
+            runs = once(starts, lambda at: F.transform(at, lambda i, k: F.struct((F.coalesce(F.get(at, k + 1), F.size(v)) - i).alias("n"), (-F.get(v, i)["page"]).alias("seen"), F.get(v, i)["value"].alias("value"))))
+            return F.array_max(runs)["value"]
+        return once(F.sort_array(said), longest)
+    one = F.struct(*(F.get(stamps, F.lit(0))[f].alias(f) for f in fields))
+    return F.when(F.size(stamps) < 2, one).otherwise(F.struct(*(mode(f).alias(f) for f in fields)))
+
+
 def inherited(stamps: DataFrame, fields: tuple[str, ...] | None = FIELDS) -> DataFrame:
     """(doc_id, inherited): of each field the value most pages have, that of the first page of equals; None takes every field.
 
@@ -49,10 +75,14 @@ def inherited(stamps: DataFrame, fields: tuple[str, ...] | None = FIELDS) -> Dat
     return modes.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("inherited"))
 
 
+def name_code(name: Column) -> Column:
+    """The code that a file name is; null if nothing is left of it."""
+    return F.nullif(F.trim(F.regexp_replace(name, r"(?i)\.pdf$", "")), F.lit(""))
+
+
 def from_names(documents: DataFrame) -> DataFrame:
     """(doc_id, inherited): the code that a document's file name is, for documents (doc_id, name) whose stamps say nothing."""
-    code = F.nullif(F.trim(F.regexp_replace("name", r"(?i)\.pdf$", "")), F.lit(""))
-    return documents.select("doc_id", code.alias("code")).where("code is not null").select("doc_id", F.create_map(F.lit("document_code"), "code").alias("inherited"))
+    return documents.select("doc_id", name_code(F.col("name")).alias("code")).where("code is not null").select("doc_id", F.create_map(F.lit("document_code"), "code").alias("inherited"))
 
 
 def first_full(stamps: DataFrame) -> DataFrame:

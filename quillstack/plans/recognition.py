@@ -98,9 +98,9 @@ def unread_blocks(spark, sf_dir):
     text = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("part "), part)).when(F.col("pos") % 3 == 1, F.concat(F.lit("<p>part "), part, F.lit("</p></p>"))).otherwise(
         F.concat(F.lit('{"ocr_html": "<div><h2>part</h2><p>'), part, F.lit('</p>"}')))
     said = F.when(F.col("block_type") == "stamp", stamp).when(F.col("block_type") == "image", image).otherwise(text)
-    code = lambda c: ids.encode(F.md5(F.col(c)))
-    return blocks.select("doc_id", "page", "pos", code("id").alias("id"), "block_type", said.alias("ocr_text"), F.when(F.col("linked_block_id").isNotNull(), code("linked_block_id")).alias("linked_block_id"),
-                        F.lit(None).cast("string").alias("created_at"), F.concat(F.lit("/tmp/"), part, F.lit(".pdf")).alias("image_file"))
+    told = blocks.select("doc_id", "page", "pos", "id", "block_type", said.alias("ocr_text"), "linked_block_id", part.alias("part"))
+    coded = ids.with_codes(told, {"id": F.md5("id"), "linked_block_id": F.md5("linked_block_id")})
+    return coded.select("doc_id", "page", "pos", "id", "block_type", "ocr_text", "linked_block_id", F.lit(None).cast("string").alias("created_at"), F.concat(F.lit("/tmp/"), "part", F.lit(".pdf")).alias("image_file"))
 
 
 def named_documents(blocks):
@@ -162,7 +162,7 @@ SELECT d.doc_id, {_HEAD_SQL} || CASE WHEN f.doc_id IS NULL THEN '' ELSE chr(10)
   || coalesce(chr(10) || body, '') || chr(10) || '</body></html>' AS content FROM docs d LEFT JOIN body USING (doc_id) LEFT JOIN firsts f USING (doc_id)""")
 def export_html(spark, sf_dir):
     """Whole documents as html: blocks of every kind, the stamp that holds on their page, links and crops."""
-    blocks = stamped_blocks(spark, sf_dir)
+    blocks = unread_blocks(spark, sf_dir)
     return ex.html(blocks, named_documents(blocks), MADE, "https://files", style="")
 
 
@@ -181,7 +181,7 @@ SELECT d.doc_id, '# ' || coalesce(name, 'OCR Result') || chr(10) || chr(10) || '
   WHEN name IS NOT NULL THEN chr(10) || '**Штамп:**' || chr(10) || 'Шифр: ' || replace(name, '.PDF', '') ELSE '' END || chr(10) || chr(10) || '---' || chr(10) || coalesce(chr(10) || body, '') AS content FROM docs d LEFT JOIN body USING (doc_id) LEFT JOIN firsts f USING (doc_id)""")
 def export_markdown(spark, sf_dir):
     """Whole documents as Markdown: a heading for each page, blocks of every kind, linked texts below their image."""
-    blocks = stamped_blocks(spark, sf_dir)
+    blocks = unread_blocks(spark, sf_dir)
     return ex.markdown(blocks, named_documents(blocks), MADE)
 
 

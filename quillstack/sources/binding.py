@@ -112,17 +112,21 @@ EVENTS = "evs AS (SELECT user_id AS job, ts, event_id AS seq, event_type AS stat
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of annotated pages: doc_id, page, pos, id, block_type, coords_px, linked_block_id, code, ocr_text, is_correction."""
-    line, order = F.col("line"), F.col("l_orderkey").cast("string")
+    """Blocks of annotated pages: doc_id, page, pos, id, block_type, coords_px, linked_block_id, code, ocr_text, is_correction.
+
+    Lines are numbered within doc_id, so that rows are dealt by documents already when they are grouped by them.
+    """
+    doc, line = F.col("doc_id"), F.col("line")
+    order = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    numbered = table(spark, sf_dir, "lineitem").withColumn("doc_id", F.concat(F.lit("O"), F.col("l_orderkey").cast("string"))).withColumn("line", F.row_number().over(order))
     kind = F.when(F.col("l_returnflag") == "N", "text").when(F.col("l_returnflag") == "R", "image").otherwise("stamp")
     x1, y1 = (F.col("l_quantity") * 24).cast("int"), (F.col("l_discount") * 15000 + F.col("l_tax") * 4000).cast("int")
     text = F.when(line == 3, "[Ошибка: timeout]").when(line == 4, "[НеПовторяемая ошибка: context]").when(line == 5, "").when(line == 6, F.lit(None).cast("string")).otherwise(
         F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" from "), F.col("l_suppkey").cast("string")))
-    return lines(spark, sf_dir).select(
-        F.concat(F.lit("O"), order).alias("doc_id"), F.floor((line - 1) / 2).cast("int").alias("page"), line.alias("pos"),
-        F.concat(F.lit("O"), order, F.lit("-"), line.cast("string")).alias("id"), kind.alias("block_type"),
+    return numbered.select(
+        doc, F.floor((line - 1) / 2).cast("int").alias("page"), line.alias("pos"), F.concat(doc, F.lit("-"), line.cast("string")).alias("id"), kind.alias("block_type"),
         F.array(x1, y1, x1 + (F.col("l_tax") * 2000).cast("int"), y1 + (F.col("l_quantity") * 3).cast("int")).alias("coords_px"),
-        F.when((line > 1) & (kind == "text"), F.concat(F.lit("O"), order, F.lit("-"), (line - 1).cast("string"))).alias("linked_block_id"),
+        F.when((line > 1) & (kind == "text"), F.concat(doc, F.lit("-"), (line - 1).cast("string"))).alias("linked_block_id"),
         F.concat(F.lit("DOC-"), (F.col("l_suppkey") % 3).cast("string")).alias("code"), text.alias("ocr_text"), (F.col("l_linestatus") == "F").alias("is_correction"))
 
 
