@@ -47,7 +47,7 @@ def has_markdown_table(text: Column) -> Column:
 
 
 def contains_html(text: Column) -> Column:
-    return text.rlike(TAG)
+    return text.contains("<") & text.rlike(TAG)
 
 
 def stem(name: Column) -> Column:
