@@ -269,23 +269,25 @@ _PLACE = ("zone_name", "grid_lines", "level_or_elevation")
 #: The JSON of an image, valid and without escapes by number, whose fields are texts, its place an object of texts and its entities a list of texts.
 _QUOTED, _BETWEEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"[\s,]*+"
 _FIELD = rf"{_QUOTED}\s*+:\s*+(?:{_QUOTED}|null){_BETWEEN}"
-_PLAIN = rf'(?s)^\{{\s*+(?:"key_entities"\s*+:\s*+\[\s*+(?:{_QUOTED}{_BETWEEN})*+\]{_BETWEEN}|"location"\s*+:\s*+\{{\s*+(?:{_FIELD})*+\}}{_BETWEEN}|(?!"key_entities"){_FIELD})*+\}}$'
+_PLAIN = rf'(?s)^\{{\s*+(?:"key_entities"\s*+:\s*+\[\s*+(?:{_QUOTED}{_BETWEEN})*+\]{_BETWEEN}|"location"\s*+:\s*+\{{\s*+(?:{_FIELD})*+\}}{_BETWEEN}|(?!"key_entities"|"location"|"analysis"){_FIELD})*+\}}$'
 _LONGEST = 4000
 
 
-def image_fields(data: Column, parsed: Column | None = None) -> Column:
+def flat_image(data: Column) -> Column:
+    """The fields of an image's JSON, a valid object, as a struct, if it is as plain as most are; else null. Read in one go, so for a column of its own."""
+    plain = (F.length(data) <= _LONGEST) & ~data.contains("\\u") & data.rlike(_PLAIN)
+    return F.from_json(F.when(plain, data), ", ".join(f"{f} string" for f in _TEXTS) + f", location struct<{', '.join(f'{k}: string' for k in _PLACE)}>, key_entities array<string>")
+
+
+def image_fields(data: Column, parsed: Column | None = None, flat: Column | None = None) -> Column:
     """Fields of an image's JSON, or of its analysis: type, place with its level, texts with what to check, and at most a hundred entities.
 
-    parsed is the same JSON as a variant, if it is there already. Texts come from it; JSON with fields of other kinds is
-    read again, as these are told as they are written.
+    parsed is the same JSON as a variant and flat its flat_image, if they are there already.
     """
-    def of(v: Column) -> Column:
-        said = lambda path: F.when(may_hold(data, path.rsplit(".", 1)[1]), F.try_variant_get(v, path, "string"))
-        placed = data.rlike(r'"location"\s*:\s*\{')
-        plain = _told({f: said(f"$.{f}") for f in _TEXTS}, {k: said(f"$.location.{k}") for k in _PLACE}, said("$.location"), placed, F.when(may_hold(data, "key_entities"), F.try_variant_get(v, "$.key_entities", "array<string>")))
-        simple = (F.length(data) <= _LONGEST) & ~data.contains("\\u") & ~data.contains('"analysis"') & data.rlike(_PLAIN)
-        return F.when(v.isNotNull() & simple, plain).otherwise(_read_again(data, v))
-    return once(F.try_parse_json(data), of) if parsed is None else of(parsed)
+    if flat is not None:
+        told = _told({f: flat[f] for f in _TEXTS}, {k: flat["location"][k] for k in _PLACE}, F.lit(None).cast("string"), flat["location"].isNotNull(), flat["key_entities"])
+        return F.when(flat.isNotNull(), told).otherwise(image_fields(data, parsed))
+    return once(F.try_parse_json(data) if parsed is None else parsed, lambda v: _read_again(data, v))
 
 
 _TEXTS = ("fragment_type", "content_summary", "detailed_description", "verification_recommendations")
